@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import language_id, quality
+from tessera.llm import language_id, near_dedup, quality
 from tessera.llm.common import fold, table
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.groups(table(spark, sf_dir, "documents", "doc_id", "text"), n_words=4, percent=80)
+
+
 def op2_quality_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     return quality.resample(docs, table(spark, sf_dir, "labels", "doc_id", "quality"))
@@ -21,7 +25,7 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score", "n_spans")
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_resampling, op8_language_id)}
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_quality_resampling, op8_language_id)}
 
 #: DuckDB SQL of the queries that SQL can express.
 ORACLE_SQL: dict[str, str] = {}
