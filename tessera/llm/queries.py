@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import language_id, near_dedup, quality
+from tessera.llm import language_id, lm_score, near_dedup, quality
 from tessera.llm.common import fold, table
 
 
@@ -18,6 +18,11 @@ def op2_quality_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.resample(docs, table(spark, sf_dir, "labels", "doc_id", "quality"))
 
 
+def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lm_score.score(table(spark, sf_dir, "documents", "doc_id", "text"), fold("doc_id", 7) != 2)
+    return found.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "vocabulary")
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
     model = language_id.fit(docs.where(fold("doc_id", 5) != 0))
@@ -25,7 +30,7 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score", "n_spans")
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_quality_resampling, op8_language_id)}
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_quality_resampling, op5_lm_score, op8_language_id)}
 
 #: DuckDB SQL of the queries that SQL can express.
 ORACLE_SQL: dict[str, str] = {}
