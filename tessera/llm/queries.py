@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import language_id, lm_score, near_dedup, quality
+from tessera.llm import decontaminate, language_id, license_scan, lm_score, near_dedup, quality
 from tessera.llm.common import fold, table
 
 
@@ -23,6 +23,10 @@ def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "vocabulary")
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
     model = language_id.fit(docs.where(fold("doc_id", 5) != 0))
@@ -30,7 +34,11 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score", "n_spans")
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_quality_resampling, op5_lm_score, op8_language_id)}
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_quality_resampling, op5_lm_score, op7_decontamination, op8_language_id, op10_license_scan)}
 
 #: DuckDB SQL of the queries that SQL can express.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op10_license_scan": license_scan.oracle_sql()}
