@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, language_id, license_scan, lm_score, near_dedup, quality
+from tessera.llm import decontaminate, language_id, license_scan, lm_score, mixing, near_dedup, quality
 from tessera.llm.common import fold, table
 
 
@@ -23,6 +23,11 @@ def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "vocabulary")
 
 
+def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents", "doc_id", "text", "source"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"))
 
@@ -38,7 +43,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_quality_resampling, op5_lm_score, op7_decontamination, op8_language_id, op10_license_scan)}
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_quality_resampling, op5_lm_score, op6_source_mixing, op7_decontamination, op8_language_id, op10_license_scan)}
 
 #: DuckDB SQL of the queries that SQL can express.
 ORACLE_SQL: dict[str, str] = {"op10_license_scan": license_scan.oracle_sql()}
