@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, language_id, license_scan, lm_score, mixing, near_dedup, quality
+from tessera.llm import ann, decontaminate, language_id, license_scan, lm_score, mixing, near_dedup, quality
 from tessera.llm.common import fold, table
 
 
@@ -18,6 +18,11 @@ def op2_quality_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.resample(docs, table(spark, sf_dir, "labels", "doc_id", "quality"))
 
 
+def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings", "vec_id", "embedding")
+    return ann.search(vectors, F.col("vec_id") % 20 == 0, k=20)
+
+
 def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = lm_score.score(table(spark, sf_dir, "documents", "doc_id", "text"), fold("doc_id", 7) != 2)
     return found.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "vocabulary")
@@ -43,7 +48,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_quality_resampling, op5_lm_score, op6_source_mixing, op7_decontamination, op8_language_id, op10_license_scan)}
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_quality_resampling, op4_nearest_neighbours, op5_lm_score, op6_source_mixing, op7_decontamination, op8_language_id, op10_license_scan)}
 
 #: DuckDB SQL of the queries that SQL can express.
 ORACLE_SQL: dict[str, str] = {"op10_license_scan": license_scan.oracle_sql()}
