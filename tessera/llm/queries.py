@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import ann, decontaminate, language_id, license_scan, lm_score, mixing, near_dedup, quality
+from tessera.llm import ann, decontaminate, html_extract, language_id, license_scan, lm_score, mixing, near_dedup, quality
 from tessera.llm.common import fold, table
 
 
@@ -44,11 +44,15 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score", "n_spans")
 
 
+def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.main_text(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+
+
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_quality_resampling, op4_nearest_neighbours, op5_lm_score, op6_source_mixing, op7_decontamination, op8_language_id, op10_license_scan)}
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_quality_resampling, op4_nearest_neighbours, op5_lm_score, op6_source_mixing, op7_decontamination, op8_language_id, op9_main_text, op10_license_scan)}
 
 #: DuckDB SQL of the queries that SQL can express.
 ORACLE_SQL: dict[str, str] = {"op10_license_scan": license_scan.oracle_sql()}
