@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import ann, decontaminate, html_extract, language_id, license_scan, lm_score, mixing, near_dedup, quality
+from tessera.llm import ann, decontaminate, html_extract, language_id, license_scan, lm_score, mixing, near_dedup, quality, toxicity
 from tessera.llm.common import fold, table
 
 
@@ -18,6 +18,13 @@ def op2_quality_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.resample(docs, table(spark, sf_dir, "labels", "doc_id", "quality"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "labels", "doc_id", "toxic")
+    model = toxicity.fit(docs, labels.where(fold("doc_id", 3) != 1))
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings", "vec_id", "embedding")
     return ann.search(vectors, F.col("vec_id") % 20 == 0, k=20)
@@ -52,7 +59,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_quality_resampling, op4_nearest_neighbours, op5_lm_score, op6_source_mixing, op7_decontamination, op8_language_id, op9_main_text, op10_license_scan)}
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_quality_resampling, op3_toxicity, op4_nearest_neighbours, op5_lm_score, op6_source_mixing, op7_decontamination, op8_language_id, op9_main_text, op10_license_scan)}
 
 #: DuckDB SQL of the queries that SQL can express.
 ORACLE_SQL: dict[str, str] = {"op10_license_scan": license_scan.oracle_sql()}
