@@ -26,6 +26,10 @@ from tessera.llm.common import Batches, WordHash, as_bytes, mix, settle, uniform
 SIZE = 1 << 16
 #: At most so many labelled rows fit the target model.
 LABEL_BOUND = 20_000
+#: Standard deviations from which on a bucket tells the models apart.
+SIGMAS = 3.0
+#: Scale of the Gumbel noise, in units of log weight.
+NOISE = 0.25
 TOKEN = re.compile(rb"[0-9A-Za-z_\x80-\xff]+|[^0-9A-Za-z_\x80-\xff\s]+")
 CAPS, SAME = (1 << 62) + 1, (1 << 62) + 3
 
@@ -48,22 +52,24 @@ class Ratio:
     cut: float
 
 
-def _counts(docs: DataFrame) -> np.ndarray:
-    """Bucket counts over every row of (text)."""
+def _counts(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Of every bucket, over every row of (text): n-grams, and texts that hold one."""
 
     def count(batches: Batches) -> Batches:
-        total, hashes = np.zeros(SIZE, np.int64), WordHash()
+        total, texts, hashes = np.zeros(SIZE, np.int64), np.zeros(SIZE, np.int64), WordHash()
         for b in batches:
             parts = [ngrams(t, hashes) for t in as_bytes(b.column(0))]
-            total += np.bincount(np.concatenate(parts), minlength=SIZE) if parts else 0
+            if parts:
+                total += np.bincount(np.concatenate(parts), minlength=SIZE)
+                texts += np.bincount(np.concatenate([np.unique(p) for p in parts]), minlength=SIZE)
             hashes.trim()
         i = np.flatnonzero(total)
-        yield pa.RecordBatch.from_pydict({"i": pa.array(i, pa.int64()), "n": pa.array(total[i], pa.int64())})
+        yield pa.RecordBatch.from_pydict({"i": pa.array(i, pa.int64()), "n": pa.array(total[i], pa.int64()), "texts": pa.array(texts[i], pa.int64())})
 
-    got = docs.mapInArrow(count, "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(SIZE)
-    out[got["i"].to_numpy(int)] = got["n"]
-    return out
+    got = docs.mapInArrow(count, "i long, n long, texts long").groupBy("i").agg(F.sum("n").alias("n"), F.sum("texts").alias("texts")).toPandas()
+    out = np.zeros((2, SIZE))
+    out[:, got["i"].to_numpy(int)] = got["n"], got["texts"]
+    return out[0], out[1]
 
 
 def weights(docs: DataFrame, ratio: np.ndarray, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -91,6 +97,18 @@ def best_cut(weight: np.ndarray, good: np.ndarray) -> float:
     return -math.inf if i == 0 else math.inf if i == len(w) else float(w[i - 1] + w[i]) / 2
 
 
+def log_ratio(target: np.ndarray, raw: np.ndarray, target_texts: np.ndarray, raw_texts: np.ndarray, n_target: int, n_raw: int) -> np.ndarray:
+    """Log ratio of both models by bucket; 0 where the numbers of texts that hold it do not tell them apart.
+
+    Without that test a text outside the labelled rows would lose on each of its own rare words.
+    """
+    share = np.maximum(raw_texts / max(n_raw, 1), 1 / max(n_raw, 1))
+    expected = n_target * share
+    z = (target_texts - expected) / np.sqrt(np.maximum(expected * np.maximum(1 - n_target / max(n_raw, 1), 0.05) * np.maximum(1 - share, 0.01), 1e-9))
+    ratio = np.log((target + 0.5) / (target.sum() + 0.5 * SIZE)) - np.log((raw + 0.5) / (raw.sum() + 0.5 * SIZE))
+    return np.where((np.abs(z) >= SIGMAS) & (raw > 0), np.clip(ratio, -6, 6), 0.0)
+
+
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", label_bound: int = LABEL_BOUND) -> Ratio | None:
     """Target model from at most ``label_bound`` labelled rows, chosen by a hash of the key; raw model from every row."""
     chosen = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(key).agg(F.min(label).alias("_good")).orderBy(F.xxhash64(F.lit(17), key), key).limit(label_bound)
@@ -98,12 +116,8 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     good = known.where("_good = 1")
     if good.isEmpty() or known.where("_good = 0").isEmpty():
         return None
-    target, raw = _counts(good.select(text)), _counts(docs.select(text))
-    raw = raw + target  # labelled rows are raw text as well, even where the table of all rows lacks them
-    share = raw / raw.sum()
-    smooth = 20.0  # pseudo-counts that pull a rarely seen bucket towards the raw model
-    ratio = np.log((target + smooth * np.maximum(share * SIZE, 1e-3)) / (target.sum() + smooth * SIZE) / np.maximum(share, 1e-300))
-    ratio[raw == 0] = 0
+    (target, target_texts), (raw, raw_texts) = _counts(good.select(text)), _counts(docs.select(text))
+    ratio = log_ratio(target, raw, target_texts, raw_texts, good.count(), docs.count())
     got = weights(known, ratio, key, text).join(F.broadcast(chosen), key).toPandas()
     return Ratio(ratio, best_cut(got["log_weight"].to_numpy(), got["_good"].to_numpy() == 1))
 
@@ -144,11 +158,11 @@ def top_k(df: DataFrame, score: str, key: str, k: int, small: int = 20_000) -> D
     return df.withColumn("sampled", (F.col(score) > last) | ((F.col(score) == last) & (F.col(key) <= edge_key)))
 
 
-def resample(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", seed: int = 11, label_bound: int = LABEL_BOUND) -> DataFrame:
+def resample(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", seed: int = 11, noise: float = NOISE, label_bound: int = LABEL_BOUND) -> DataFrame:
     """key, n_grams, log_weight, noisy_weight and sampled, one row per row of docs."""
     model = fit(docs, labels, key, text, label, label_bound)
     scored = weights(docs, model.log_ratio if model else np.zeros(SIZE), key, text)
-    noise = -F.log(-F.log(uniform(key, seed)))
-    scored = settle(scored.withColumn("noisy_weight", F.col("log_weight") + F.coalesce(noise, F.lit(0.0))))
+    gumbel = -F.log(-F.log(uniform(key, seed)))
+    scored = settle(scored.withColumn("noisy_weight", F.col("log_weight") + noise * F.coalesce(gumbel, F.lit(0.0))))
     k = scored.where(F.col("log_weight") >= F.lit(model.cut)).count() if model and math.isfinite(model.cut) else scored.count()
     return top_k(scored, "noisy_weight", key, k)
