@@ -30,3 +30,68 @@ def connected_components(edges: DataFrame, settle: Callable[[DataFrame], DataFra
         small = large.join(least, "u").where(v != F.col("m")).select(v.alias("u"), F.col("m").alias("v"))
         e = settle(small.union(least.select("u", F.col("m").alias("v"))).distinct())
     raise RuntimeError(f"connected_components did not converge in {max_rounds} rounds")
+
+
+def closure(edges: DataFrame, settle: Callable[[DataFrame], DataFrame], src: str = "src", dst: str = "dst", seeds: DataFrame | None = None, max_rounds: int = 64) -> DataFrame:
+    """(src, dst, depth) of every reachable pair, depth the fewest edges; from the seeds (column ``src``) only, if given.
+
+    Each round extends the newest pairs by one edge and drops what is known: work is per new pair, not per path.
+    """
+    e = edges.select(F.col(src).alias("src"), F.col(dst).alias("dst")).distinct()
+    front = settle((e.join(seeds.select("src").distinct(), "src", "left_semi") if seeds is not None else e).withColumn("depth", F.lit(1)))
+    known = front
+    for depth in range(2, max_rounds + 2):
+        step = front.select("src", F.col("dst").alias("mid")).join(e.select(F.col("src").alias("mid"), "dst"), "mid").select("src", "dst").distinct()
+        front = settle(step.join(known, ["src", "dst"], "left_anti").withColumn("depth", F.lit(depth)))
+        if front.isEmpty():
+            return known
+        known = known.union(front)
+    raise RuntimeError(f"closure did not end in {max_rounds} rounds")
+
+
+def layers(edges: DataFrame, settle: Callable[[DataFrame], DataFrame], src: str = "src", dst: str = "dst", max_rounds: int = 64) -> DataFrame:
+    """(node, layer): 0 for nodes that depend on nothing, else one more than the deepest dependency; null on or behind a cycle.
+
+    Kahn's peeling, one round per layer: the nodes all of whose dependencies (src depends on dst) have a layer.
+    """
+    e = settle(edges.select(F.col(src).alias("src"), F.col(dst).alias("dst")).distinct())
+    nodes = e.select(F.col("src").alias("node")).union(e.select("dst")).distinct()
+    left = e
+    done = settle(nodes.join(e.select(F.col("src").alias("node")).distinct(), "node", "left_anti").withColumn("layer", F.lit(0)))
+    new = done
+    for k in range(1, max_rounds + 1):
+        left = settle(left.join(new.select(F.col("node").alias("dst")), "dst", "left_anti"))
+        waiting = left.select(F.col("src").alias("node")).distinct()
+        new = settle(nodes.join(waiting, "node", "left_anti").join(done.select("node"), "node", "left_anti").withColumn("layer", F.lit(k)))
+        if new.isEmpty():
+            return nodes.join(done, "node", "left")
+        done = settle(done.union(new))
+    raise RuntimeError(f"layers did not end in {max_rounds} rounds")
+
+
+def longest_path(edges: DataFrame, settle: Callable[[DataFrame], DataFrame], src: str = "src", dst: str = "dst", max_rounds: int = 64) -> DataFrame:
+    """(node, depth): edges on the longest way down from a node of a graph without cycles."""
+    return layers(edges, settle, src, dst, max_rounds).withColumnRenamed("layer", "depth")
+
+
+def cycles(edges: DataFrame, settle: Callable[[DataFrame], DataFrame], src: str = "src", dst: str = "dst", max_length: int = 6) -> DataFrame:
+    """(path, length): every elementary cycle of at most max_length edges, once, from its smallest node; path repeats it at the end.
+
+    Paths start at their smallest node and only grow through larger ones, so each cycle is met once.
+    """
+    e = edges.select(F.col(src).alias("src"), F.col(dst).alias("dst")).distinct()
+    loops = e.where("src = dst").select(F.array("src", "dst").alias("path"))
+    grow = e.where("src < dst").select(F.array("src", "dst").alias("path"), F.col("src").alias("first"), F.col("dst").alias("last"))
+    for _ in range(2, max_length + 1):
+        grow = settle(grow)
+        step = grow.join(e.select(F.col("src").alias("last"), F.col("dst").alias("next")), "last").where("next >= first")
+        loops = loops.union(step.where("next = first").select(F.concat("path", F.array("next"))))
+        grow = step.where((F.col("next") > F.col("first")) & ~F.array_contains("path", F.col("next"))).select(F.concat("path", F.array("next")).alias("path"), "first", F.col("next").alias("last"))
+    return loops.withColumn("length", F.size("path") - 1)
+
+
+def change_impact(edges: DataFrame, changed: DataFrame, settle: Callable[[DataFrame], DataFrame], src: str = "src", dst: str = "dst") -> DataFrame:
+    """(node, direct, indirect) dependents of each changed node (column ``src``): src depends on dst."""
+    back = closure(edges.select(F.col(dst).alias("src"), F.col(src).alias("dst")), settle, seeds=changed)
+    n = back.groupBy("src").agg(F.sum((F.col("depth") == 1).cast("long")).alias("direct"), F.sum((F.col("depth") > 1).cast("long")).alias("indirect"))
+    return changed.select("src").distinct().join(n, "src", "left").fillna(0).withColumnRenamed("src", "node")

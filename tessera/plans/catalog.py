@@ -2,9 +2,5 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from tessera.plans import fact_queries, graph_queries, state_queries, text_queries, vector_queries  # noqa: F401
+from tessera.plans.registry import ORACLE_SQL, QUERIES  # noqa: F401
