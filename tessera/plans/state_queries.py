@@ -31,7 +31,7 @@ def cache_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(spark, sf_dir).select("key", "accesses", "size", F.round("recency", 6).alias("recency"), F.round("score", 6).alias("score"))
 
 
-@query("""with a as (select user_id, event_type, coalesce(epoch_us(ts) - lag(epoch_us(ts)) over (partition by user_id order by ts) <= 3600 * 1000000, false) hit from events) select event_type, count(*) filter (hit) hits, count(*) filter (not hit) misses, round(avg(hit::int), 6) hit_rate from a group by 1""")
+@query("""with a as (select user_id, event_type, coalesce(epoch_us(ts) - lag(epoch_us(ts)) over (partition by user_id order by ts) <= 3600000000, false) hit from events) select event_type, count(*) filter (hit) hits, count(*) filter (not hit) misses, round(avg(hit::int), 6) hit_rate from a group by 1""")
 def hit_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = cache.hit_rates(cache.access_outcomes(facts.table(spark, sf_dir, "events"), "user_id", "ts", 3600), "event_type")
     return h.withColumn("hit_rate", F.round("hit_rate", 6))
