@@ -103,13 +103,15 @@ def contextual(h: DataFrame, new_lines: DataFrame, key: str, n: int = 3) -> Data
     return t.select(key, "hunk", "type", "old_start", "old_end", "new_start", "new_end", F.array_join(F.transform("_l", lambda x: x["line"]), "\n").alias("content"))
 
 
-def apply_hunks(text: str, changes: list[dict]) -> str:
-    """Text with the hunks applied: positioned by old lines where they have them, else inserted before new_start."""
+def apply_hunks(text: str, changes: list[dict], parity: bool = False) -> str:
+    """Text with the hunks, given in order, applied. Added lines go where new_start says; under ``parity`` after all hunks with old lines."""
     lines, out, at = text.split("\n"), [], 1
-    for c in sorted(changes, key=lambda c: (c["old_start"] if c["old_start"] is not None else c["new_start"], c["type"] != "added")):
-        start = c["old_start"] if c["old_start"] is not None else max(at, min(c["new_start"] - len(out) + at - 1, len(lines) + 1))
-        out += lines[at - 1 : start - 1]
-        at = start
+    if parity:
+        changes = sorted(changes, key=lambda c: (c["old_start"] is None, c["old_start"] or 0))
+    for c in changes:
+        upto = c["old_start"] if c["old_start"] is not None else at if parity else at + max(c["new_start"] - 1 - len(out), 0)
+        out += lines[at - 1 : upto - 1]
+        at = upto
         if c["type"] != "removed":
             out += c["content"].split("\n")
         if c["old_end"] is not None:

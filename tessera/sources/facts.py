@@ -78,7 +78,7 @@ def scan_imports(df: DataFrame, path: str = "file_path", content: str = "content
     s = df.select(F.col(path).alias("file_path"), F.posexplode(F.regexp_extract_all(F.col(content), F.lit(pattern), F.lit(1))).alias("stmt_pos", "raw"))
     s = s.withColumn("source", F.regexp_extract("raw", r"""['"]([^'"]+)['"]""", 1)).withColumn("clause", F.trim(F.regexp_extract("raw", r"(?s)^import\s+(.*?)\s+from\s", 1)))
     braces = F.regexp_extract("clause", r"(?s)\{([^}]*)\}", 1)
-    named = F.transform(F.filter(F.transform(F.split(braces, ","), F.trim), lambda x: x != ""), lambda x: F.struct(F.regexp_extract(x, r"^([\w$]+)", 1).alias("name"), F.nullif(F.regexp_extract(x, r"\sas\s+([\w$]+)$", 1), F.lit("")).alias("alias"), F.lit(False).alias("is_default"), F.lit(False).alias("is_namespace")))
+    named = F.transform(F.filter(F.transform(F.split(braces, ","), lambda x: F.trim(x)), lambda x: x != ""), lambda x: F.struct(F.regexp_extract(x, r"^([\w$]+)", 1).alias("name"), F.nullif(F.regexp_extract(x, r"\sas\s+([\w$]+)$", 1), F.lit("")).alias("alias"), F.lit(False).alias("is_default"), F.lit(False).alias("is_namespace")))
     one = lambda rx, d, n: F.when(F.regexp_extract("clause", rx, 1) != "", F.array(F.struct(F.regexp_extract("clause", rx, 1).alias("name"), F.lit(None).cast("string").alias("alias"), F.lit(d).alias("is_default"), F.lit(n).alias("is_namespace"))))
     empty = F.slice(named, 1, 0)
     every = F.concat(F.coalesce(one(r"^([\w$]+)", True, False), empty), F.coalesce(one(r"\*\s+as\s+([\w$]+)", False, True), empty), named)
