@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import scalars as S
-from tessera.operators import relational, scopes
+from tessera.operators import features, relational, requests, scopes
 from tessera.plans.registry import query
+from tessera.plans.tables import settle
 from tessera.sources import facts
 
 _REL = facts.RELATIONSHIPS_SQL
@@ -230,3 +231,52 @@ def path_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def refactoring_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = facts.table(spark, sf_dir, "supplier").groupBy("s_nationkey").agg(F.count("*").alias("n"), F.round(F.avg("s_acctbal"), 4).alias("mean"))
     return s.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "s_nationkey")).cast("long"))
+
+
+@query("""with f as (select p_partkey as key, replace(p_name, ' ', '_') || case when p_size % 3 = 0 then 'Manager' when p_size % 3 = 1 then '_user_update' else 'Factory' end as name, case p_type when 'PROMO' then 'interface' when 'LARGE' then 'class' when 'SMALL' then 'function' else 'variable' end kind, p_size * 4 as line_count, (p_partkey % 23)::int as dependencies, p_type = 'PROMO' as exported from part)
+select key, name, case when contains(name, 'Factory') then 'factory' else '' end design, case when contains(name, 'Manager') then 'god-object' else '' end anti_pattern, case kind when 'interface' then 0.9 when 'class' then 0.6 when 'function' then 0.4 else 0.1 end::double abstraction,
+  case when contains(name, 'update') then 0.7 else 0.2 end::double side_effect_risk, case when contains(lower(name), 'old') then 0.9 else 0.1 end::double deprecation_risk, case when contains(name, '_user_') then 0.8 else 0.2 end::double business_relevance,
+  round(0.25 * (case when line_count > 100 then 0.3 else 0.1 end + least(1.0, dependencies / 10.0) + case when contains(name, 'update') then 0.7 else 0.2 end + case when contains(lower(name), 'old') then 0.9 else 0.1 end), 6)::double risk_score from f""")
+def symbol_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = features.symbol_features(_named(spark, sf_dir))
+    one = lambda c: F.array_join(c, ",")
+    return f.select("key", "name", one("design_patterns").alias("design"), one("anti_patterns").alias("anti_pattern"), "abstraction", "side_effect_risk", "deprecation_risk", "business_relevance", F.round("risk_score", 6).alias("risk_score"))
+
+
+def _named(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = facts.table(spark, sf_dir, "part")
+    end = F.when(F.col("p_size") % 3 == 0, "Manager").when(F.col("p_size") % 3 == 1, "_user_update").otherwise("Factory")
+    t = F.col("p_type")
+    kind = F.when(t == "PROMO", "interface").when(t == "LARGE", "class").when(t == "SMALL", "function").otherwise("variable")
+    return p.select(F.col("p_partkey").alias("key"), F.concat(F.replace("p_name", F.lit(" "), F.lit("_")), end).alias("name"), kind.alias("kind"), F.lit("/src/core/x.ts").alias("file_path"), (F.col("p_size") * 4).alias("line_count"), (F.col("p_partkey") % 23).cast("int").alias("dependencies"), (t == "PROMO").alias("exported"))
+
+
+@query("""with s as (select p_partkey as key, (p_partkey % 97) / 97.0 sem, p_size cx, p_type = 'PROMO' pub, p_type = 'SMALL' dep, p_partkey % 130 u, p_partkey % 7 x, (p_partkey % 10) / 20.0 r, p_size % 5 = 0 sf, p_size % 7 = 0 rc from part),
+t as (select key, sem, greatest(0, least(1, case when cx < 5 then 0.2 else 0 end + case when pub then 0.3 else 0 end + least(u / 100.0, 0.3) - case when dep then 0.4 else 0 end)) st, case when sf then 0.4 else 0 end + case when rc then 0.3 else 0 end ct, greatest(0, least(1, least(u / 50.0, 0.4) + least(x / 10.0, 0.3) + least(r, 0.3))) us from s)
+select key, round(0.4 * sem + 0.2 * st + 0.2 * ct + 0.2 * us, 6)::double score, array_to_string(list_filter([case when sem > 0.7 then 'High semantic similarity to query' end, case when st > 0.6 then 'Good structural match (complexity, API status)' end, case when ct > 0.5 then 'Relevant to current context' end, case when us > 0.6 then 'Frequently used symbol' end], lambda x: x is not null), '; ') explanation from t""")
+def combined_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p, k = facts.table(spark, sf_dir, "part"), F.col("p_partkey")
+    c = features.combined_score((k % 97) / 97, F.col("p_size"), F.col("p_type") == "PROMO", F.col("p_type") == "SMALL", k % 130, k % 7, (k % 10) / 20, F.col("p_size") % 5 == 0, F.col("p_size") % 7 == 0)
+    s = p.select(k.alias("key"), c.alias("c"))
+    return s.select("key", F.round("c.score", 6).alias("score"), features.explanation(F.col("c")).alias("explanation"))
+
+
+@query()
+def architectural_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = _named(spark, sf_dir).select("key", "name", "kind")
+    r = facts.relationships(spark, sf_dir)
+    by = lambda a, b: n.select(F.col("key").alias(a), F.col("name").alias(b))
+    rel = r.join(by("src", "s"), "src").join(by("dst", "d"), "dst").select(F.col("s").alias("src"), F.col("d").alias("dst"), F.when(F.col("type") == "A", "contains").otherwise("calls").alias("type"))
+    below = rel.where("type = 'contains'").groupBy("src").agg(F.count_distinct("dst").alias("n"))
+    return features.patterns(n.select("name", "kind").distinct(), rel, below)
+
+
+@query()
+def code_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files, every fifth line a symbol that depends on the next one: the context of the first symbol within 60 tokens."""
+    f = facts.files(spark, sf_dir).select("file_path", "content")
+    n = F.size(F.split("content", "\n", -1))
+    at = f.select("file_path", n.alias("n"), F.explode(F.sequence(F.lit(1), n, F.lit(5))).alias("start_line"))
+    s = at.select("file_path", F.concat(F.lit("s"), "start_line").alias("name"), "start_line", F.least(F.col("start_line") + 1, F.col("n")).alias("end_line"), F.when(F.col("start_line") < 12, F.array(F.concat(F.lit("s"), F.col("start_line") + 5))).otherwise(F.array().cast("array<string>")).alias("dependencies"))
+    req = f.select("file_path", F.array(F.lit("s1")).alias("targets"))
+    return requests.extract_code_context(req, f, s, settle, max_tokens=60).select("file_path", "extracted_code", "token_count", "relevance_score")

@@ -172,3 +172,26 @@ def test_stream_cache_and_file_watch(spark, sf, tmp_path):
     (folder / "b.txt").write_text("three")
     run()
     assert sorted(r.line for r in state.current_facts(spark, out).collect()) == ["one", "three", "two"]
+
+
+def test_requests(spark):
+    from tessera.operators import features, requests
+
+    src = "import a from './a';\nimport 'side';\nfunction f() {\n  return g()\n}\nfunction g() {\n  return 1\n}\nclass H {}"
+    files = spark.createDataFrame([("m.ts", src)], "file_path string, content string")
+    symbols = spark.createDataFrame([("m.ts", "f", 3, 5, ["f", "g"]), ("m.ts", "g", 6, 8, []), ("m.ts", "H", 9, 9, [])], "file_path string, name string, start_line int, end_line int, dependencies array<string>")
+    ask = lambda t: spark.createDataFrame([("m.ts", t)], "file_path string, targets array<string>")
+    imports = facts.scan_imports(files)
+    one = requests.extract_code_context(ask(["f"]), files, symbols, settle, imports).first()
+    assert one.symbols == ["f", "g"] and one.extracted_code.startswith("function f") and "class H" not in one.extracted_code and one.relevance_score == 1.0 and len(one.imports) == 2
+    assert requests.extract_code_context(ask([]), files, symbols, settle, imports, max_tokens=10).first().token_count <= 10
+    assert requests.extract_code_context(ask(["none"]), files, symbols, settle).first().extracted_code == ""
+    got = requests.optimize_imports(imports, spark.createDataFrame([("m.ts", "zzz")], "file_path string, symbol string")).first()
+    assert got.optimized == ["import 'side';"] and got.removed == ["import a from './a';"] and got.token_savings == 5
+    v = spark.createDataFrame([(1, src, src.replace("function g()", "function g(x)").replace("class H {}", "")), (2, src, src)], "k int, old string, new string")
+    d = {r.k: r for r in requests.analyze_code_diff(v, "k").collect()}
+    assert d["1"].affected == ["H", "g"] and "// REMOVE H" in d["1"].minimal_update and d["2"].minimal_update == "" and d["2"].token_savings == d["2"].new_tokens
+    s = spark.createDataFrame([("UserModel", "class"), ("UserView", "class"), ("UserController", "class"), ("sortStrategy", "class"), ("Single", "class")], "name string, kind string")
+    r = spark.createDataFrame([("Single", "theInstance", "contains"), ("UserModel", "notifyAll", "calls")], "src string, dst string, type string")
+    below = spark.createDataFrame([("sortStrategy", 3)], "src string, n int")
+    assert {x.type for x in features.patterns(s, r, below).collect()} == {"mvc", "strategy", "singleton", "observer"}
