@@ -2,20 +2,44 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark import SparkContext
+from pyspark.sql import DataFrame, SparkSession
 
+_folders: set[str] = set()
 
-def settle(df: DataFrame) -> DataFrame:
-    """Write to the session's checkpoint folder and read back: computed once, lineage cut."""
-    spark = df.sparkSession
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; one is made only where the session names none (tests)."""
     sc = spark.sparkContext
     folder = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not folder:
         folder = tempfile.mkdtemp(prefix="tessera-")
         sc.setCheckpointDir(folder)
-    path = f"{folder.rstrip('/')}/tables/{uuid.uuid4().hex}"
+    return folder.rstrip("/")
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Write a table to the shared folder and read it back: computed once, lineage cut, survives lost executors.
+
+    The tables of an application lie in one folder, which is removed when the driver ends.
+    """
+    spark = df.sparkSession
+    folder = f"{shared_dir(spark)}/tables-{spark.sparkContext.applicationId}"
+    _folders.add(folder)
+    path = f"{folder}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+@atexit.register
+def _remove() -> None:
+    sc = SparkContext._active_spark_context
+    if sc is None or sc._jsc is None:
+        return
+    for folder in _folders:
+        path = sc._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
