@@ -6,8 +6,6 @@ read twice is written to the folder all executors share (``settle``).
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,6 +14,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.plans.tables import settle, shared_dir  # noqa: F401
+
 #: Rows and bytes of one Arrow batch: bounds what a Python worker holds at once.
 BATCH_ROWS, BATCH_BYTES = 1024, 16 << 20
 #: Words a worker remembers the hash of.
@@ -34,24 +34,6 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one is made only where the session names none (tests)."""
-    sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not named:
-        named = tempfile.mkdtemp(prefix="tessera-")
-        sc.setCheckpointDir(named)
-    return named.rstrip("/")
-
-
-def settle(df: DataFrame) -> DataFrame:
-    """Write a table to the shared folder and read it back: computed once, lineage cut, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def fold(key: str | Column, mod: int) -> Column:
     """crc32 of the key's decimal text, modulo ``mod``."""
     key = F.col(key) if isinstance(key, str) else key

@@ -18,7 +18,6 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import settle
 
 BLOCK, CONTAINMENT = 128, 0.8
 # The phrases of the base labels.

@@ -33,6 +33,8 @@ def test_lm_edges(spark):
     got = lm_score.score(d, fold("doc_id", 7) != 99).collect()
     assert len(got) == 6 and {r.n_tokens for r in got if r.doc_id in (1, 2)} == {1}
     assert lm_score.score(d.limit(0), F.lit(True)).count() == 0
+    small = lm_score.score(d, F.lit(True), max_filter_bytes=8).collect()
+    assert all(r.score < 0 and r.n_known == r.n_tokens for r in small)
     none = lm_score.score(d, F.lit(False)).collect()
     assert all(r.score == 0 and r.base_score == 0 and r.train_tokens == 0 for r in none)
 
@@ -41,8 +43,8 @@ def test_filter_counts_never_exceed_but_for_false_positives():
     r = np.random.default_rng(1)
     keys = np.unique(r.integers(0, 2**63, 20_000, dtype=np.int64).astype(np.uint64) * np.uint64(2))
     counts = np.maximum(1, r.pareto(0.7, len(keys)) * 2).astype(np.int64)
-    parts = {i: lm_score.segment(keys[s], counts[s], lm_score.UNIGRAM_LEVELS) for i, s in lm_score._slices(keys, 8)}
-    f = lm_score._filter(parts, 8, lm_score.UNIGRAM_LEVELS)
+    parts = {i: lm_score.segment(keys[s], counts[s], lm_score.levels(1.05, 1)) for i, s in lm_score._slices(keys, 8)}
+    f = lm_score._filter(parts, 8, lm_score.levels(1.05, 1))
     got = f.counts(keys)
     assert (got * 1.0 >= counts / 1.12 - 1).all() and (got > counts).mean() < 0.02
     assert (f.counts(keys + np.uint64(1)) > 0).mean() < 0.02

@@ -197,3 +197,8 @@ def test_word_split_is_the_contract():
     t = "A\x0bb\x0cC\xa0d é É \x1c x\x85y"
     assert [w.decode() for w in words_of(t.encode())] == [re.sub("[A-Z]", lambda m: m[0].lower(), w) for w in re.findall(r"[^\x20\x09-\x0D]+", t)]
     assert len(set(WordHash().of([b"a", b"b", b"a"]).tolist())) == 2
+
+
+def test_near_duplicates_equal_sql(spark, sf):
+    name = "op1_near_dedup"
+    assert rows(queries.QUERIES[name](spark, sf).toPandas()) == rows(connect(sf).execute(queries.ORACLE_SQL[name]).df())
