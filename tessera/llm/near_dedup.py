@@ -6,8 +6,9 @@ buckets borrow the register of another bucket in an order fixed per bucket. 32 b
 candidates: two sets with similarity 0.8 share no band with probability 5e-8.
 
 Texts with the same words are one class from the start. In each bucket of a band every class is compared with the
-bucket's smallest class only; classes of one bucket that this leaves in different components are then compared pairwise,
-so no link is lost and a bucket of mutual copies never makes all its pairs. A pair must reach the threshold less
+bucket's smallest class only; classes of one bucket that this leaves in different components are then compared pairwise
+where they share a rare shingle or have enough frequent ones for a link, so no link is lost and a bucket of mutual
+copies never makes all its pairs. A pair must reach the threshold less
 ``MARGIN`` in the collision-corrected estimate before its full sets are compared.
 
 Defined results: null text, or text without a word, has an empty set and is linked with nothing; with fewer words than
@@ -23,7 +24,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import Batches, WordHash, as_bytes, mix, settle, words_of
@@ -33,6 +34,8 @@ BUCKET_BITS, MANTISSA, BANDS = 7, 10, 32
 M = 1 << BUCKET_BITS
 #: Six standard deviations of an estimate from 128 registers.
 MARGIN = 0.21
+#: A shingle of at most so many sets is rare: pairs that share one are enumerated.
+RARE = 8
 _EDGES = np.arange(M, dtype=np.uint64) << np.uint64(64 - BUCKET_BITS)
 _BORROW = np.stack([np.argsort(mix(np.arange(M, dtype=np.uint64) + np.uint64(1000 * (b + 1)), 7), kind="stable") for b in range(M)])
 
@@ -143,6 +146,48 @@ def _linked(pairs: DataFrame, texts: DataFrame, n_words: int, percent: int) -> D
     return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "text_a", "text_b").mapInArrow(run, f"a {kind}, b {kind}")
 
 
+def _bands() -> Column:
+    """The 32 band hashes of a sketch."""
+    width = 2 * M // BANDS
+    return F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring(F.col("sig"), i * width + 1, F.lit(width))))
+
+
+def _remaining(rest: DataFrame, near: DataFrame, texts: DataFrame, n_words: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components in ``rest`` (h, rep, component: buckets of bands) that can have a link.
+
+    With the numbers of sets in ``rest`` that hold a shingle, a pair either shares a rare one (at most ``RARE`` sets) and
+    is found there, or its intersection is at most the smaller number of frequent shingles of the two, which must allow a
+    link; those pairs meet in the first band they share. This drops no link, but it drops copies edited so much that they
+    only resemble a group and would otherwise be compared with all of it.
+    """
+    kind = texts.schema["rep"].dataType.simpleString()
+
+    def run(batches: Batches) -> Batches:
+        hashes = WordHash()
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t, hashes, n_words).view(np.int64) for t in as_bytes(b.column(1))], pa.list_(pa.int64()))], names=["rep", "s"])
+            hashes.trim()
+
+    member = rest.select("rep", "component").distinct()
+    each = settle(texts.join(member, "rep", "left_semi").select("rep", "text").mapInArrow(run, f"rep {kind}, s array<long>").select("rep", F.explode("s").alias("s")))
+    df = each.groupBy("s").agg(F.count("*").alias("df")).where("df > 1")
+    known = each.join(df, "s")
+
+    rare = known.where(F.col("df") <= RARE).select("s", "rep").join(member, "rep")
+    x, y = rare.alias("x"), rare.alias("y")
+    by_shingle = x.join(y, (F.col("x.s") == F.col("y.s")) & (F.col("x.component") < F.col("y.component"))).select("x.rep", F.col("y.rep").alias("other"))
+
+    held = known.where(F.col("df") > RARE).groupBy("rep").agg(F.count("*").alias("held"))
+    able = held.join(near.select("rep", "n_shingles", _bands().alias("bands")), "rep").where(100 * F.col("held") >= percent * F.col("n_shingles"))
+    some = rest.join(settle(able), "rep")
+    x, y = some.alias("x"), some.alias("y")
+    least = F.least("x.held", "y.held")
+    first = F.array_position(F.zip_with("x.bands", "y.bands", lambda p, q: p == q), F.lit(True)) == F.array_position("x.bands", F.col("x.h"))
+    possible = (F.col("x.component") < F.col("y.component")) & (100 * least >= percent * (F.col("x.n_shingles") + F.col("y.n_shingles") - least)) & first
+    by_band = x.join(y, (F.col("x.h") == F.col("y.h")) & possible).select("x.rep", F.col("y.rep").alias("other"))
+    return by_shingle.union(by_band).select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).distinct()
+
+
 def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", n_words: int = 5, percent: int = 80) -> DataFrame:
     """key, n_shingles, component_id and kept (key = component_id), one row per row of docs."""
     docs = docs.select(F.col(key), F.col(text).alias("text"))
@@ -152,9 +197,7 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", n_words: in
     own = some.dropDuplicates([key]) if _repeats(some, key) else some
     reps = settle(own.join(classes.select(F.col("rep").alias(key)), key, "left_semi").select(F.col(key).alias("rep"), "n_shingles", "sig"))
 
-    width = 2 * M // BANDS
-    band = F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring(F.col("sig"), i * width + 1, F.lit(width)))))
-    banded = reps.select("rep", band.alias("h"))
+    banded = reps.select("rep", F.explode(_bands()).alias("h"))
     pivots = banded.groupBy("h").agg(F.min("rep").alias("pivot"), F.count("*").alias("n")).where("n > 1").select("h", "pivot")
     shared = settle(banded.join(pivots, "h"))  # only buckets with company
     star = settle(shared.where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct())
@@ -173,8 +216,7 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", n_words: in
     comp = shared.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("h", "rep", F.coalesce("component", "rep").alias("component"))
     mixed = comp.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("h")
     rest = settle(comp.join(mixed, "h"))
-    pairs = rest.alias("x").join(rest.alias("y"), (F.col("x.h") == F.col("y.h")) & (F.col("x.component") < F.col("y.component")))
-    pairs = pairs.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
+    pairs = _remaining(rest, near, texts, n_words, percent).join(star, ["a", "b"], "left_anti")
     more = settle(_linked(_likely(pairs, near, least), texts, n_words, percent))
     if not more.isEmpty():
         found = settle(connected_components(links.union(more), settle, "a", "b"))
@@ -187,3 +229,18 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", n_words: in
 def _repeats(df: DataFrame, key: str) -> bool:
     """Whether a key occurs on several rows."""
     return not df.groupBy(key).count().where("count > 1").isEmpty()
+
+
+def oracle_sql(n_words: int = 4, percent: int = 80) -> str:
+    """DuckDB SQL: every pair that shares a shingle, components by recursion."""
+    shingle = " || ' ' || ".join(f"w[i + {k}]" for k in range(n_words))
+    return f"""
+with recursive w as (select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') w from documents),
+s as (select distinct doc_id, unnest(case when len(w) = 0 then [] when len(w) < {n_words} then [array_to_string(w, ' ')] else list_transform(range(1, len(w) - {n_words - 2}), lambda i: {shingle}) end) g from w),
+n as (select doc_id, count(*) n from s group by 1),
+p as (select a.doc_id x, b.doc_id y, count(*) c from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by all),
+e as (select x, y from p join n a on a.doc_id = x join n b on b.doc_id = y where 100 * c >= {percent} * (a.n + b.n - c)),
+u as (select x a, y b from e union select y, x from e),
+r as (select a, a b from u union select r.a, u.b from r join u on u.a = r.b),
+m as (select a doc_id, min(b) component_id from r group by 1)
+select d.doc_id, coalesce(n, 0)::bigint n_shingles, coalesce(component_id, d.doc_id) component_id, coalesce(component_id, d.doc_id) = d.doc_id kept from documents d left join n on n.doc_id = d.doc_id left join m on m.doc_id = d.doc_id"""

@@ -62,4 +62,4 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_quality_resampling, op3_toxicity, op4_nearest_neighbours, op5_lm_score, op6_source_mixing, op7_decontamination, op8_language_id, op9_main_text, op10_license_scan)}
 
 #: DuckDB SQL of the queries that SQL can express.
-ORACLE_SQL: dict[str, str] = {"op10_license_scan": license_scan.oracle_sql()}
+ORACLE_SQL: dict[str, str] = {"op1_near_dedup": near_dedup.oracle_sql(4, 80), "op10_license_scan": license_scan.oracle_sql()}
