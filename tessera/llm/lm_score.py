@@ -1,8 +1,9 @@
 """Language-model scores from a log-frequency Bloom filter that holds quantised n-gram counts.
 
-The filter stores for every n-gram one entry per level of its count (levels are integers at first, then geometric), so a
-count is read back by probing level 1, 2, ... until a miss. Two filters are broadcast: unigrams (fine levels) and
-bigrams seen at least ``min_count`` times (coarse levels). The model interpolates
+The filter stores for every n-gram, from count 1 on, one entry per level of its count (levels are integers at first,
+then geometric), so a count is read back by probing level 1, 2, ... until a miss. There are two filters, of unigrams
+(fine levels) and of bigrams (coarse levels), each sized by its n-grams and split by ranges of their hashes: a task
+builds the segment of one range and reads back the counts of all n-grams that the chunks ask of it. The model interpolates
 
     p(w | v) = lam(v) * c'(v, w) / c(v) + (1 - lam(v)) * (c'(w) + 1) / (N + V + 1)
 
@@ -12,11 +13,11 @@ likelihood of all training bigrams (EM over a table of counts by class, which al
 text's first word is the end token.
 
 Counting: texts are dealt into chunks of about 4 MB; a chunk sends each range of hashes its distinct tokens with their
-counts as one binary block, and gets the totals back in the same order. So a frequent word is one entry per chunk, and
-exact counts reach every text without a broadcast of the vocabulary. Bigrams go the same way, one way.
+training counts as one binary block, and gets the totals and the levels read from the filter back in the same order. So
+a frequent word is one entry per chunk, and counts reach every text without a broadcast. Bigrams go the same way.
 
-Bounded: each filter, by ``max_filter_bytes``: where it would need more, the least count it stores doubles until it
-fits; rarer n-grams then count as unseen in the model (never in the exact base).
+Bounded: a segment, by ``max_filter_bytes``: the n-grams are split into more ranges where the text is larger. An
+n-gram has at most as many entries as occurrences, so both filters grow with the text and nothing is left out of them.
 Defined results: null text is empty and consists of the end token; a null key is never training text; without training
 text N = V = 0 and every token has probability 1 (log 0).
 """
@@ -34,12 +35,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Batches, WordHash, as_bytes, mix, settle, words_of
+from tessera.llm.common import WordHash, as_bytes, mix, settle, words_of
 
-CHUNK_BYTES, BLOCK_TOKENS = 4 << 20, 1 << 20
+CHUNK_BYTES = 4 << 20
 PROBES, BITS = 5, 16
 MAX_FILTER_BYTES = 192 << 20
-MIN_COUNT = 2
 #: Not a word: words hold no white space.
 END = xxhash.xxh3_64_intdigest(b"\n")
 CLASSES = 32
@@ -98,8 +98,8 @@ class LogFrequencyFilter:
             out[left] &= test(s, base[left])
         return out
 
-    def counts(self, keys: np.ndarray) -> np.ndarray:
-        """Quantised count of each key: probes levels 1, 2, 4, ... until a miss, then halves the range in between; 0 if level 1 misses."""
+    def found(self, keys: np.ndarray) -> np.ndarray:
+        """Level of each key's count: probes levels 1, 2, 4, ... until a miss, then halves the range in between; 0 if level 1 misses."""
         bucket = (keys >> np.uint64(self.shift)).astype(np.int64)
         base, size = self.offset[bucket], (self.offset[bucket + 1] - self.offset[bucket]) * 8
         low, high = np.zeros(len(keys), np.int64), np.full(len(keys), len(self.thresholds) + 1)
@@ -120,52 +120,35 @@ class LogFrequencyFilter:
             low[left[hit]] = middle[hit]
             high[left[~hit]] = middle[~hit]
             left = left[high[left] - low[left] > 1]
-        return np.where(low > 0, self.thresholds[np.maximum(low, 1) - 1], 0)
-
-
-def _filter(parts: dict[int, bytes], buckets: int, thresholds: np.ndarray) -> LogFrequencyFilter:
-    sizes = [len(parts.get(i, b"")) for i in range(buckets)]
-    return LogFrequencyFilter(np.frombuffer(b"".join(parts.get(i, b"") for i in range(buckets)) or b"\0", np.uint8), np.concatenate([[0], np.cumsum(sizes)]), 64 - int(math.log2(buckets)), thresholds)
-
-
-def _least(count: np.ndarray, n: np.ndarray, base: float, least: int, max_bytes: int) -> tuple[int, np.ndarray]:
-    """The least count (doubled as often as needed) whose filter fits, and its levels; n keys have each count."""
-    while True:
-        steps = levels(base, least)
-        if (np.searchsorted(steps, count, side="right") * n).sum() * BITS / 8 <= max_bytes:
-            return least, steps
-        least *= 2
+        return low
 
+    def counts(self, keys: np.ndarray) -> np.ndarray:
+        """Quantised count of each key."""
+        return count_of(self.found(keys), self.thresholds)
 
-def _segments(counted: DataFrame, least: int, steps: np.ndarray) -> DataFrame:
-    """(bucket, keys, counts) -> bucket, bits."""
-
-    def build(batches: Batches) -> Batches:
-        for b in batches:
-            for bucket, k, c in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                keys, counts = np.frombuffer(k, np.uint64), np.frombuffer(c, np.int64)
-                keep = counts >= least
-                yield pa.RecordBatch.from_pydict({"bucket": pa.array([bucket], pa.int32()), "bits": pa.array([segment(keys[keep], counts[keep], steps) if keep.any() else b""], pa.binary())})
 
-    return counted.mapInArrow(build, "bucket int, bits binary")
+def count_of(level: np.ndarray, thresholds: np.ndarray) -> np.ndarray:
+    return np.where(level > 0, thresholds[np.maximum(level, 1) - 1], 0)
 
 
-def _classes(counted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """(counts) -> count (middle of its class) and how many keys have it."""
+def _filter(parts: dict[int, bytes], buckets: int, thresholds: np.ndarray) -> LogFrequencyFilter:
+    sizes = [len(parts.get(i, b"")) for i in range(buckets)]
+    return LogFrequencyFilter(np.frombuffer(b"".join(parts.get(i, b"") for i in range(buckets)) or b"\0", np.uint8), np.concatenate([[0], np.cumsum(sizes)]), 64 - int(math.log2(buckets)), thresholds)
 
-    def run(batches: Batches) -> Batches:
-        for b in batches:
-            for c in b.column(0).to_pylist():
-                k, n = np.unique(_count_class(np.frombuffer(c, np.int64)), return_counts=True)
-                yield pa.RecordBatch.from_pydict({"k": pa.array(k, pa.int64()), "n": pa.array(n, pa.int64())})
 
-    got = counted.mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toPandas()
-    return _class_count(got["k"].to_numpy(np.int64)), got["n"].to_numpy(np.int64)
+def _levels(keys: np.ndarray, counts: np.ndarray, thresholds: np.ndarray) -> np.ndarray:
+    """Builds the segment of one range from the keys that have a count, and reads back the level of every key."""
+    seen = counts > 0
+    bits = segment(keys[seen], counts[seen], thresholds) if seen.any() else b""
+    return _filter({0: bits}, 1, thresholds).found(keys).astype(np.uint16)
 
 
-def _gathered(parts: DataFrame, buckets: int, thresholds: np.ndarray) -> LogFrequencyFilter:
-    """The filter from its segments (bucket, bits), fetched one partition at a time; their size is bounded by ``_least``."""
-    return _filter({r.bucket: bytes(r.bits) for r in parts.toLocalIterator()}, buckets, thresholds)
+def _merged(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, counts) of a range's chunks -> its distinct keys, their totals, the place of each chunk's keys among them, and where a chunk's end."""
+    keys = [np.frombuffer(x, np.uint64) for x in t.column("keys").to_pylist()]
+    every, inverse = distinct(np.concatenate(keys))
+    sums = np.bincount(inverse, np.concatenate([np.frombuffer(x, np.int32) for x in t.column("counts").to_pylist()]), len(every)).astype(np.int64)
+    return every, sums, inverse, np.cumsum([len(k) for k in keys])[:-1]
 
 
 def hashes_of(text: bytes | None, hashes: WordHash) -> np.ndarray:
@@ -181,6 +164,19 @@ def distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return values[order], rank[codes]
 
 
+def _blocks(chunk: int, keys: np.ndarray, counts: np.ndarray, buckets: int) -> pa.Table:
+    """bucket, chunk, keys, counts: what a chunk sends each range of hashes."""
+    rows = _slices(keys, buckets)
+    counts = counts.astype(np.int32)
+    return pa.table({"bucket": pa.array([b for b, _ in rows], pa.int32()), "chunk": pa.array([chunk] * len(rows), pa.int32()), "keys": pa.array([keys[s].tobytes() for _, s in rows], pa.binary()), "counts": pa.array([counts[s].tobytes() for _, s in rows], pa.binary())})
+
+
+def _joined(reply: pa.Table, kind: int, column: str, dtype: type) -> np.ndarray:
+    """The replies of one kind to a chunk, in the order of its sorted keys."""
+    got = sorted((b, x) for k, b, x in zip(*(reply.column(c).to_pylist() for c in ("kind", "bucket", column)), strict=True) if k == kind)
+    return np.frombuffer(b"".join(x for _, x in got), dtype)
+
+
 def _slices(keys: np.ndarray, buckets: int) -> list[tuple[int, slice]]:
     """Bucket and place of each range of sorted keys that is not empty."""
     edges = np.searchsorted(keys, np.arange(1, buckets, dtype=np.uint64) << np.uint64(64 - int(math.log2(buckets))))
@@ -207,83 +203,60 @@ def _class_count(k: np.ndarray) -> np.ndarray:
     return np.where(k < 16, k, 2.0 ** (4 + (k - 16 + 0.5) / 4))
 
 
-@dataclass(frozen=True)
-class Model:
-    unigrams: LogFrequencyFilter
-    bigrams: LogFrequencyFilter
-    lam: np.ndarray
-    n: int
-    v: int
-
-
 def _chunked(docs: DataFrame, key: str, text: str, train: Column, chunks: int) -> DataFrame:
     return docs.select(F.pmod(F.xxhash64(F.lit(5), key), F.lit(chunks)).cast("int").alias("chunk"), F.col(key).alias("key"), F.coalesce(train, F.lit(False)).alias("train"), F.col(text).alias("text"))
 
 
+SENT = "bucket int, chunk int, keys binary, counts binary"
+UNIGRAM, BIGRAM = 1, 2
+UNIGRAM_LEVELS, BIGRAM_LEVELS = levels(UNIGRAM_BASE, 1), levels(BIGRAM_BASE, 1)
+
+
+def _tokens(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a chunk: its distinct tokens, the place of each token among them, the number of tokens of each text, and whether a token is training text."""
+    hashes = WordHash()
+    texts = [hashes_of(x, hashes) for x in as_bytes(t.column("text").combine_chunks())] if len(t) else []
+    sizes = np.array([len(h) for h in texts], np.int64)
+    keys, inverse = distinct(np.concatenate(texts) if texts else np.zeros(0, np.uint64))
+    return keys, inverse, sizes, np.repeat(np.array(t.column("train").to_pylist(), bool), sizes)
+
+
 def _unigram_totals(chunked: DataFrame, buckets: int) -> DataFrame:
-    """bucket, chunk, totals: training counts of the chunk's distinct tokens in that range of hashes; with chunk -1 one row per bucket: n, v, the tokens of training text and their counts."""
+    """bucket, chunk, totals and levels: training counts of the chunk's distinct tokens in that range of hashes, exact and from the filter; with chunk -1 one row per bucket: n, v."""
 
     def send(t: pa.Table) -> pa.Table:
-        hashes = WordHash()
-        parts = [(hashes_of(x, hashes), y) for x, y in zip(as_bytes(t.column("text").combine_chunks()), t.column("train").to_pylist(), strict=True)]
-        keys, inverse = distinct(np.concatenate([p for p, _ in parts]))
-        counts = np.bincount(inverse, np.concatenate([np.full(len(p), y, np.int8) for p, y in parts]), len(keys)).astype(np.int64)
-        rows = _slices(keys, buckets)
-        return pa.table({"bucket": pa.array([b for b, _ in rows], pa.int32()), "chunk": pa.array([t.column("chunk")[0].as_py()] * len(rows), pa.int32()), "keys": pa.array([keys[s].tobytes() for _, s in rows], pa.binary()), "counts": pa.array([counts[s].tobytes() for _, s in rows], pa.binary())})
+        keys, inverse, _, train = _tokens(t)
+        return _blocks(t.column("chunk")[0].as_py(), keys, np.bincount(inverse, train, len(keys)), buckets)
 
     def total(t: pa.Table) -> pa.Table:
-        keys = [np.frombuffer(x, np.uint64) for x in t.column("keys").to_pylist()]
-        every, inverse = distinct(np.concatenate(keys))
-        sums = np.bincount(inverse, np.concatenate([np.frombuffer(x, np.int64) for x in t.column("counts").to_pylist()]), len(every)).astype(np.int64)
-        back = np.split(sums[inverse], np.cumsum([len(k) for k in keys])[:-1])
-        seen, n = sums > 0, len(keys) + 1
-        return pa.table({"bucket": pa.array([t.column("bucket")[0].as_py()] * n, pa.int32()), "chunk": pa.array([*t.column("chunk").to_pylist(), -1], pa.int32()), "totals": pa.array([*[x.tobytes() for x in back], sums[seen].tobytes()], pa.binary()), "keys": pa.array([*[b""] * len(keys), every[seen].tobytes()], pa.binary()), "n": pa.array([*[0] * len(keys), int(sums.sum())], pa.int64()), "v": pa.array([*[0] * len(keys), int((sums > 0).sum())], pa.int64())})
-
-    sent = chunked.groupBy("chunk").applyInArrow(send, "bucket int, chunk int, keys binary, counts binary")
-    return sent.groupBy("bucket").applyInArrow(total, "bucket int, chunk int, totals binary, keys binary, n long, v long")
-
-
-def _bigram_counts(train: DataFrame, shared, buckets: int) -> DataFrame:
-    """bucket, cell, n: bigrams by classes of both words and count; and with cell -1 the bucket's bigrams and counts from MIN_COUNT on."""
-
-    def block(texts: list[np.ndarray]) -> pa.RecordBatch:
-        every = np.concatenate(texts)
-        keys, inverse = distinct(every)
-        cls = frequency_class(shared.value.counts(keys))[inverse]
-        k, c = np.unique(bigrams(every, cls), return_counts=True)  # one text's end token is the context of the next one's first word
-        rows = _slices(k, buckets)
-        many = c > 1
-        return pa.RecordBatch.from_pydict({"bucket": pa.array([b for b, _ in rows], pa.int32()), "once": pa.array([k[s][~many[s]].tobytes() for _, s in rows], pa.binary()), "more": pa.array([k[s][many[s]].tobytes() for _, s in rows], pa.binary()), "counts": pa.array([c[s][many[s]].astype(np.int64).tobytes() for _, s in rows], pa.binary())})
-
-    def send(batches: Batches) -> Batches:
-        hashes, kept, size = WordHash(), [], 0
-        for b in batches:
-            for t in as_bytes(b.column(0)):
-                kept.append(hashes_of(t, hashes))
-                size += len(kept[-1])
-            hashes.trim()
-            if size >= BLOCK_TOKENS:
-                yield block(kept)
-                kept, size = [], 0
-        if kept:
-            yield block(kept)
+        every, sums, inverse, ends = _merged(t)
+        exact, level = np.split(sums[inverse], ends), np.split(_levels(every, sums, UNIGRAM_LEVELS)[inverse], ends)
+        n = len(exact)
+        return pa.table({"bucket": pa.array([t.column("bucket")[0].as_py()] * (n + 1), pa.int32()), "chunk": pa.array([*t.column("chunk").to_pylist(), -1], pa.int32()), "totals": pa.array([*[x.tobytes() for x in exact], b""], pa.binary()), "levels": pa.array([*[x.tobytes() for x in level], b""], pa.binary()), "n": pa.array([*[0] * n, int(sums.sum())], pa.int64()), "v": pa.array([*[0] * n, int((sums > 0).sum())], pa.int64())})
+
+    sent = chunked.groupBy("chunk").applyInArrow(send, SENT)
+    return sent.groupBy("bucket").applyInArrow(total, "bucket int, chunk int, totals binary, levels binary, n long, v long")
+
+
+def _bigram_levels(chunked: DataFrame, replies: DataFrame, buckets: int) -> DataFrame:
+    """bucket, chunk, levels: training counts of the chunk's distinct bigrams in that range of hashes, from the filter; with chunk -1 cell, n: training bigrams by classes of both words and count."""
+
+    def send(t: pa.Table, reply: pa.Table) -> pa.Table:
+        keys, inverse, _, train = _tokens(t)
+        cls = frequency_class(count_of(_joined(reply, UNIGRAM, "levels", np.uint16), UNIGRAM_LEVELS))
+        grams, place = distinct(bigrams(keys[inverse], cls[inverse]))
+        return _blocks(t.column("chunk")[0].as_py(), grams, np.bincount(place, train, len(grams)), buckets)
 
     def total(t: pa.Table) -> pa.Table:
-        once = np.frombuffer(b"".join(t.column("once").to_pylist()), np.uint64)
-        more = np.frombuffer(b"".join(t.column("more").to_pylist()), np.uint64)
-        keys = np.concatenate([once, more])
-        counts = np.concatenate([np.ones(len(once), np.int64), np.frombuffer(b"".join(t.column("counts").to_pylist()), np.int64)])
-        order = np.argsort(keys, kind="stable")
-        keys, counts = keys[order], counts[order]
-        first = np.flatnonzero(np.diff(keys, prepend=keys[0] + np.uint64(1)))
-        keys, counts = keys[first], np.add.reduceat(counts, first)
-        cell, n = np.unique((_count_class(counts) << 10) | (keys & np.uint64(0x3FF)).astype(np.int64), return_counts=True)
-        keep = counts >= MIN_COUNT
-        blank = [b""] * len(cell)
-        return pa.table({"bucket": pa.array([t.column("bucket")[0].as_py()] * (len(cell) + 1), pa.int32()), "cell": pa.array([*cell, -1], pa.int64()), "n": pa.array([*n, int(keep.sum())], pa.int64()), "keys": pa.array([*blank, keys[keep].tobytes()], pa.binary()), "counts": pa.array([*blank, counts[keep].tobytes()], pa.binary())})
-
-    sent = train.mapInArrow(send, "bucket int, once binary, more binary, counts binary")
-    return sent.groupBy("bucket").applyInArrow(total, "bucket int, cell long, n long, keys binary, counts binary")
+        every, sums, inverse, ends = _merged(t)
+        level = np.split(_levels(every, sums, BIGRAM_LEVELS)[inverse], ends)
+        seen = sums > 0
+        cell, n = np.unique((_count_class(sums[seen]) << 10) | (every[seen] & np.uint64(0x3FF)).astype(np.int64), return_counts=True)
+        rows, k = len(level), len(cell)
+        return pa.table({"bucket": pa.array([t.column("bucket")[0].as_py()] * (rows + k), pa.int32()), "chunk": pa.array([*t.column("chunk").to_pylist(), *[-1] * k], pa.int32()), "levels": pa.array([*[x.tobytes() for x in level], *[b""] * k], pa.binary()), "cell": pa.array([*[0] * rows, *cell], pa.int64()), "n": pa.array([*[0] * rows, *n], pa.int64())})
+
+    sent = chunked.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(send, SENT)
+    return sent.groupBy("bucket").applyInArrow(total, "bucket int, chunk int, levels binary, cell long, n long")
 
 
 def _fit_lam(cells: np.ndarray, n: np.ndarray, total: int, vocab: int) -> np.ndarray:
@@ -294,7 +267,7 @@ def _fit_lam(cells: np.ndarray, n: np.ndarray, total: int, vocab: int) -> np.nda
     c, cv, cw = _class_count(cells >> 10), (cells >> 5) & 31, cells & 31
     of = lambda k: 2.0 ** (k + 0.5) - 1  # noqa: E731  the middle of a class
     left = c - 1
-    q = np.where(left >= MIN_COUNT, left, 0) / np.maximum(of(cv) - 1, np.maximum(left, 1))
+    q = left / np.maximum(of(cv) - 1, np.maximum(left, 1))
     p = (np.maximum(of(cw) - 1, 0) + 1) / (total + vocab + 1)
     tokens = n * c
     lam[:] = 0.3
@@ -306,50 +279,37 @@ def _fit_lam(cells: np.ndarray, n: np.ndarray, total: int, vocab: int) -> np.nda
 
 def score(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text", max_filter_bytes: int = MAX_FILTER_BYTES) -> DataFrame:
     """key, train, n_tokens, n_known, train_tokens, vocabulary, base_score (add-one unigrams, exact counts) and score (the model)."""
-    spark, sc = docs.sparkSession, docs.sparkSession.sparkContext
     kind = docs.schema[key].dataType.simpleString()
     size = docs.agg(F.sum(F.octet_length(text) + F.lit(16))).first()[0] or 0
     chunks = max(8, -(-size // CHUNK_BYTES))
-    buckets = 1 << max(3, math.ceil(math.log2(chunks / 8)))
+    # a token takes two bytes of a filter at most and two bytes of text at least, so a range's segment is no larger than its share of the text
+    buckets = 1 << max(3, math.ceil(math.log2(max(chunks / 8, size / max_filter_bytes))))
     chunked = _chunked(docs, key, text, train, chunks)
 
     totals = settle(_unigram_totals(chunked, buckets))
-    stats = totals.where("chunk = -1")
-    n, v = (x or 0 for x in stats.agg(F.sum("n"), F.sum("v")).first())
-    least, steps = _least(*_classes(stats.select("totals")), UNIGRAM_BASE, 1, max_filter_bytes)
-    unigrams = _gathered(_segments(stats.select("bucket", "keys", "totals"), least, steps), buckets, steps)
-    shared = sc.broadcast(unigrams)
-
-    wide = buckets * 4
-    counted = settle(_bigram_counts(docs.where(train).select(text), shared, wide))
-    cells = counted.where("cell >= 0").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
-    lam = _fit_lam(cells["cell"].to_numpy(np.int64), cells["n"].to_numpy(np.int64), n, v)
+    n, v = (x or 0 for x in totals.where("chunk = -1").agg(F.sum("n"), F.sum("v")).first())
+    unigrams = totals.where("chunk >= 0").select("chunk", F.lit(UNIGRAM).alias("kind"), "bucket", "totals", "levels")
 
-    least, steps = _least(_class_count(cells["cell"].to_numpy(np.int64) >> 10), cells["n"].to_numpy(np.int64), BIGRAM_BASE, MIN_COUNT, max_filter_bytes)
-    parts = _segments(counted.where("cell = -1").select("bucket", "keys", "counts"), least, steps)
-    model = sc.broadcast(Model(unigrams, _gathered(parts, wide, steps), lam, n, v))
+    counted = settle(_bigram_levels(chunked, unigrams, buckets * 4))
+    cells = counted.where("chunk = -1").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    lam = _fit_lam(cells["cell"].to_numpy(np.int64), cells["n"].to_numpy(np.int64), n, v)
 
     def run(t: pa.Table, reply: pa.Table) -> pa.Table:
-        m, hashes = model.value, WordHash()
-        texts = [hashes_of(x, hashes) for x in as_bytes(t.column("text").combine_chunks())] if len(t) else []
-        sizes = np.array([len(h) for h in texts], np.int64)
-        keys, inverse = distinct(np.concatenate(texts) if texts else np.zeros(0, np.uint64))
-        order = np.argsort(reply.column("bucket").to_numpy())
-        blocks = reply.column("totals").to_pylist()
-        exact = np.frombuffer(b"".join(blocks[i] for i in order), np.int64)
-        rough = m.unigrams.counts(keys)
-        cls = frequency_class(rough)
-        out_of = m.n + m.v + 1
+        keys, inverse, sizes, _ = _tokens(t)
+        exact = _joined(reply, UNIGRAM, "totals", np.int64)
+        rough = count_of(_joined(reply, UNIGRAM, "levels", np.uint16), UNIGRAM_LEVELS)
+        out_of = n + v + 1
         base, uni = np.log10((exact + 1) / out_of), (rough + 1) / out_of
         ends = np.cumsum(sizes)
-        h_all, rough_all = keys[inverse], rough[inverse]
-        grams, before = bigrams(h_all, cls[inverse]), np.roll(rough_all, 1)
-        seen = np.minimum(m.bigrams.counts(grams), np.minimum(before, rough_all))
-        lam_all = m.lam[frequency_class(before)]
+        rough_all = rough[inverse]
+        _, place = distinct(bigrams(keys[inverse], frequency_class(rough)[inverse]))
+        before = np.roll(rough_all, 1)
+        seen = np.minimum(count_of(_joined(reply, BIGRAM, "levels", np.uint16), BIGRAM_LEVELS)[place], np.minimum(before, rough_all))
+        lam_all = lam[frequency_class(before)]
         p = lam_all * seen / np.maximum(before, 1) + (1 - lam_all) * uni[inverse]
-        add = lambda x: np.add.reduceat(x, ends - sizes) if texts else np.zeros(0)
-        k = len(texts)
-        return pa.table({key: t.column("key"), "train": t.column("train"), "n_tokens": pa.array(sizes, pa.int64()), "n_known": pa.array(add((exact > 0)[inverse].astype(np.int64)).astype(np.int64), pa.int64()), "train_tokens": pa.array([m.n] * k, pa.int64()), "vocabulary": pa.array([m.v] * k, pa.int64()), "base_score": pa.array(add(base[inverse]), pa.float64()), "score": pa.array(add(np.log10(np.maximum(p, 1e-300))), pa.float64())})
+        add = lambda x: np.add.reduceat(x, ends - sizes) if len(sizes) else np.zeros(0)
+        k = len(sizes)
+        return pa.table({key: t.column("key"), "train": t.column("train"), "n_tokens": pa.array(sizes, pa.int64()), "n_known": pa.array(add((exact > 0)[inverse].astype(np.int64)).astype(np.int64), pa.int64()), "train_tokens": pa.array([n] * k, pa.int64()), "vocabulary": pa.array([v] * k, pa.int64()), "base_score": pa.array(add(base[inverse]), pa.float64()), "score": pa.array(add(np.log10(np.maximum(p, 1e-300))), pa.float64())})
 
-    replies = totals.where("chunk >= 0").select("chunk", "bucket", "totals")
+    replies = unigrams.unionByName(counted.where("chunk >= 0").select("chunk", F.lit(BIGRAM).alias("kind"), "bucket", F.lit(b"").alias("totals"), "levels"))
     return chunked.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(run, f"`{key}` {kind}, train boolean, n_tokens long, n_known long, train_tokens long, vocabulary long, base_score double, score double")

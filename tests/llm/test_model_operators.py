@@ -39,6 +39,18 @@ def test_lm_edges(spark):
     assert all(r.score == 0 and r.base_score == 0 and r.train_tokens == 0 for r in none)
 
 
+def test_lm_keeps_bigrams_seen_once_under_any_bound(spark):
+    prepare(spark)
+    often = [(i, f"v{i % 200} w{i % 200}") for i in range(600)]
+    once = [(1000 + i, f"v{i} x{i}") for i in range(200)]
+    asked = [(2000 + i, f"v{i} x{i}") for i in range(200)] + [(3000 + i, f"v{i} x{(i + 1) % 200}") for i in range(200)]
+    d = spark.createDataFrame(often + once + asked, "doc_id long, text string")
+    for bound in (lm_score.MAX_FILTER_BYTES, 64):
+        got = {r.doc_id: r.score for r in lm_score.score(d, F.col("doc_id") < 2000, max_filter_bytes=bound).collect()}
+        seen, unseen = sum(got[2000 + i] for i in range(200)), sum(got[3000 + i] for i in range(200))
+        assert seen > unseen + 50, (bound, seen, unseen)
+
+
 def test_filter_counts_never_exceed_but_for_false_positives():
     r = np.random.default_rng(1)
     keys = np.unique(r.integers(0, 2**63, 20_000, dtype=np.int64).astype(np.uint64) * np.uint64(2))
