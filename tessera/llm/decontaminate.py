@@ -2,9 +2,11 @@
 
 Numbers, units and names become typed placeholders; windows of ``WINDOW`` canonical tokens of every document are
 hash-joined with those of the benchmark. A document holds an item where the windows found cover ``coverage`` of the
-item's. Where an item has slots, the windows found are aligned (document position less item position) and an alignment
-counts only if its slot values map one to one: a question asked again with other numbers is found, a text that merely
-has numbers and names in the same places is not.
+item's. Where an item has slots, the windows found are aligned (document position less item position). A window with
+the item's own slot values always counts; of an alignment's other windows those count whose numbers and names the
+document replaces by the same ones throughout (units are left out of this, and two values may get the same one). So a
+question asked again with other numbers is found, and so is a copy with a number changed here and there; a text that has
+different numbers where the item repeats one is not found by the windows that hold them.
 
 The benchmark's windows are broadcast when their number is at most ``BROADCAST_WINDOWS`` (checked by a count, 24 bytes
 each); beyond that the join shuffles.
@@ -97,10 +99,12 @@ def find(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "te
         placed = placed.join(small(index.where("has_slots").select("h", "item", "pos", "slots")), "h").join(slotted, ["key", "item"])
         aligned = placed.withColumn("shift", F.col("at") - F.col("pos"))
         where = ["key", "item", "shift"]
-        values = aligned.select(*where, F.explode(F.arrays_zip("slots", "other")).alias("s"))
-        check = values.groupBy(*where).agg(F.count_distinct("s.slots").alias("n1"), F.count_distinct("s.other").alias("n2"), F.count_distinct("s").alias("n12"), F.min(F.col("s.slots") == F.col("s.other")).alias("same"))
-        bad = check.where("n1 <> n12 or n2 <> n12").select(*where)
-        kept = aligned.join(bad, where, "left_anti").join(check.select(*where, "same"), where, "left")
-        again = kept.groupBy("key", "item", "n_windows").agg(F.count_distinct("h").alias("n_found"), F.max(F.coalesce("same", F.lit(True))).alias("exact")).where(F.col("n_found") >= coverage * F.col("n_windows"))
+        aligned = aligned.withColumn("equal", F.col("slots") == F.col("other"))
+        slot, moved = F.col("s.slots"), F.when(~F.col("equal"), F.col("s.other"))
+        values = aligned.select(*where, "equal", F.explode_outer(F.arrays_zip("slots", "other")).alias("s")).groupBy(*where, slot.alias("slot")).agg(F.count_distinct(moved).alias("n"), F.min("equal").alias("same"))
+        split = F.collect_list(F.when((F.col("n") > 1) & ~F.col("slot").startswith(UNIT), F.col("slot")))
+        check = values.groupBy(*where).agg(split.alias("split"), F.min("same").alias("same"))
+        kept = aligned.join(check, where).where("equal or not arrays_overlap(slots, split)")
+        again = kept.groupBy("key", "item", "n_windows").agg(F.count_distinct("h").alias("n_found"), F.max("same").alias("exact")).where(F.col("n_found") >= coverage * F.col("n_windows"))
         plain = plain.union(again.select("key", "item", "n_windows", "n_found", "exact"))
     return plain.select(F.col("key").alias(key), F.col("item").alias(item), "n_windows", "n_found", (F.col("n_found") / F.col("n_windows")).alias("coverage"), "exact")

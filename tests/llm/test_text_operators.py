@@ -112,6 +112,23 @@ def test_decontamination(spark):
     assert decontaminate.find(docs(spark, []), items).count() == 0 and decontaminate.find(docs(spark, d), items.limit(0)).count() == 0
 
 
+def test_decontamination_checks_slots_window_by_window(spark):
+    prepare(spark)
+    twice = "the clerk sold 3 red pencils to the old teacher who lived on the hill above the harbour with a small dog and then the baker brought 3 loaves of fresh bread to the same house"
+    asked = "a farmer had 3 apples in one basket and then 5 pears in another, how many were there at noon"
+    unit = "the road is 3 km long and the river is 2 miles long so the walk is shorter than the swim"
+    items = spark.createDataFrame([(1, twice), (2, asked), (3, unit)], "item_id int, text string")
+    d = [
+        (1, twice.replace("3 loaves", "9 loaves")), (2, asked.replace("3 apples", "4 apples").replace("5 pears", "4 pears")), (3, unit.replace("3 km", "5 km").replace("2 miles", "4 km")),
+        (4, twice.replace("3 red", "8 red").replace("3 loaves", "9 loaves")), (5, "the road is 3 km long and nothing else is like it in any other way at all"),
+    ]
+    got = {(x.doc_id, x.item_id): (x.exact, x.n_found, x.n_windows) for x in decontaminate.find(docs(spark, d), items, coverage=0.2).collect()}
+    assert {k: v[0] for k, v in got.items()} == {(1, 1): False, (2, 2): False, (3, 3): False, (4, 1): False}
+    assert all(got[k][1] == got[k][2] for k in ((1, 1), (2, 2), (3, 3)))
+    assert got[(4, 1)][1] == got[(4, 1)][2] - 12  # windows 0 to 3 hold the first 3, eight more the second
+    assert decontaminate.find(docs(spark, d[3:]), items, coverage=0.9).count() == 0
+
+
 def test_decontamination_matches_brute_force(spark, sf):
     con = connect(sf)
     whole = set(con.execute("select d.doc_id, b.item_id from documents d join benchmark b on contains(d.text, b.text)").fetchall())
