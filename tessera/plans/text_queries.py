@@ -89,12 +89,11 @@ def symbol_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def version_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """key, old, new: documents a < b that share a line of at least 20 characters which few documents have, and differ."""
+    """key, old, new: each document b beside the first document a < b (by doc_id) that has one of its lines of at least 20 characters, for each such line, where the texts differ."""
     d = facts.table(spark, sf_dir, "documents").select("doc_id", "text")
     ln = facts.lines(d, "doc_id", text="text").where(F.length("line") >= 20).select("doc_id", F.xxhash64("line").alias("h")).distinct()
-    rare = ln.groupBy("h").agg(F.count("*").alias("n")).where("n between 2 and 5").select("h")
-    some = ln.join(rare, "h")
-    pairs = some.alias("x").join(some.alias("y"), (F.col("x.h") == F.col("y.h")) & (F.col("x.doc_id") < F.col("y.doc_id"))).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
+    first = ln.groupBy("h").agg(F.min("doc_id").alias("a"))
+    pairs = ln.join(first, "h").where("a < doc_id").select("a", F.col("doc_id").alias("b")).distinct()
     t = lambda k, c: d.select(F.col("doc_id").alias(k), F.col("text").alias(c))
     both = pairs.join(t("a", "old"), "a").join(t("b", "new"), "b").where("old <> new")
     return both.select(F.concat_ws("-", "a", "b").alias("key"), "old", "new")

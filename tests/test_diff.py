@@ -5,6 +5,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tessera.operators import diff
+from tessera.plans import catalog
 
 texts = st.lists(st.sampled_from("abc"), max_size=8).map("\n".join)
 
@@ -64,3 +65,15 @@ def test_hunks_rebuild_the_new_text(spark, pairs):
 def test_summary(spark):
     df = spark.createDataFrame([(1, 2, 0), (0, 0, 0)], "a int, r int, m int").select(diff.summary(F.col("a"), F.col("r"), F.col("m")).alias("s"))
     assert [r.s for r in df.collect()] == ["1 line added, 2 lines removed", "No changes detected"]
+
+
+def test_every_document_is_compared_whatever_the_size_of_its_group(spark, tmp_path):
+    line = "a line that all the versions have in common"
+    docs = [(i, f"{line}\nversion {i}") for i in range(1, 9)] + [(9, f"{line}\nversion 1"), (10, f"nothing else\n{line}\na second line that only two of them hold"), (11, "a second line that only two of them hold\nx"), (12, "a text that is alone with its own line"), (13, None)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    lines = {i: {x for x in (t or "").split("\n") if len(x) >= 20} for i, t in docs}
+    text = dict(docs)
+    want = {f"{a}-{b}" for b in lines for x in lines[b] for a in [min(i for i in lines if x in lines[i])] if a < b and text[a] != text[b]}
+    assert {f"1-{i}" for i in (2, 3, 4, 5, 6, 7, 8, 10)} | {"10-11"} == want
+    for name in ("line_diff", "diff_hunks", "contextual_diff", "diff_summary"):
+        assert {r.key for r in catalog.QUERIES[name](spark, str(tmp_path)).select("key").distinct().collect()} == want
