@@ -1,43 +1,67 @@
 """License scans: phrases, and an exact set-similarity join with license templates, in DataFrame operations only.
 
-Base labels: a phrase's words stand consecutively. The method's labels: a block (at most ``BLOCK`` consecutive words of
-a line, the next block starting half a block on) holds at least ``CONTAINMENT`` of a template's distinct words. The join
-is exact: template words are ordered by their frequency over all documents, rarest first; a block that meets the
-threshold has one of the template's first |T| - need + 1 words (prefix filter), at least ``need`` template words of any
-kind (length filter), and enough words left after the first common one on both sides (positional filter). Candidates
-that pass are verified by their whole intersection.
-
-Bounded and broadcast: the templates' words, which do not grow with the documents.
-Defined results: null text is empty and has no word, label or place; repeated rows are scanned each.
+Base labels: a phrase's words stand consecutively. The method's labels: a block of the text holds at least
+``CONTAINMENT`` of a template's distinct words. Blocks are cut from the words of the whole text, whatever its lines, and
+overlap by half; a template is compared with blocks of the smallest of ``BLOCKS`` sizes that is twice its own length or
+more, so a notice that stands whole in the text stands whole in a block, and a short template is not pieced together
+from a long block.
+
+The join is exact: template words are ordered by their frequency over all documents, rarest first; a block that meets
+the threshold has one of the template's first |T| - need + 1 words (prefix filter), at least ``need`` template words of
+any kind (length filter, first for the whole text), and enough words left after the first common one on both sides
+(positional filter). Candidates that pass are verified by their whole intersection.
+
+Templates come from ``licenses.tsv`` (label, words), or are given. Bounded and broadcast: the templates' words, which do
+not grow with the documents. Texts are split into words once; the words of those that hold enough words of a template
+are written for the join, the others are done.
+Defined results: null text is empty and has no word, label or place; repeated rows are scanned each; a null key is
+scanned like any other; labels found twice come once and in order, so ties need no rule; an empty table gives no row;
+columns with clashing names are never read; a very long text is scanned whole.
 """
 
 from __future__ import annotations
 
 import math
+from functools import cache
+from pathlib import Path
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.llm.common import settle
 
-BLOCK, CONTAINMENT = 128, 0.8
+BLOCKS, CONTAINMENT = (64, 128, 256), 0.8
 # The phrases of the base labels.
 PHRASES = [("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc")]
-# Well-known license notices.
-TEMPLATES = [
-    ("mit", "released under the mit license"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files to deal in the software without restriction"),
-    ("apache-2", "licensed under the apache license version 2 0"),
-    ("apache-2", "you may not use this file except in compliance with the license you may obtain a copy of the license at"),
-    ("gpl-3", "this work is licensed under the gnu general public license version 3"),
-    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
-    ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license"),
-    ("cc-by-nc", "licensed under cc by nc 4 0"),
-    ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0"),
-]
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-VOCABULARY = sorted({w for _, t in TEMPLATES for w in t.split()})
+Templates = tuple[tuple[str, str], ...]
+
+
+@cache
+def templates(path: str = str(Path(__file__).with_name("licenses.tsv"))) -> Templates:
+    """(label, words) of each well-known notice."""
+    return tuple(tuple(line.split("\t")) for line in Path(path).read_text().splitlines() if line)
+
+
+@cache
+def families(known: Templates, containment: float = CONTAINMENT) -> tuple[tuple[int, int], ...]:
+    """Of each template: its family, named by the first in it, and the words of the blocks it is compared with.
+
+    Templates of different labels are of one family where a text that holds one whole holds enough of the other.
+    """
+    sets, up = [set(t.split()) for _, t in known], list(range(len(known)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets):
+            if known[i][0] != known[j][0] and len(a & b) >= needed(known[i][1], containment):
+                lo, hi = sorted((up[i], up[j]))
+                up = [lo if x == hi else x for x in up]
+    most = {f: max(len(t.split()) for (_, t), x in zip(known, up, strict=True) if x == f) for f in up}
+    return tuple((f, next((b for b in BLOCKS if b >= 2 * most[f]), 2 * most[f])) for f in up)
+
+
+def vocabulary(known: Templates) -> list[str]:
+    return sorted({w for _, t in known for w in t.split()})
 
 
 def words(text: Column) -> Column:
@@ -63,54 +87,73 @@ def needed(template: str, containment: float = CONTAINMENT) -> int:
     return math.ceil(round(containment * len(set(template.split())), 9))
 
 
-def _ordered(docs: DataFrame) -> dict[str, int]:
+def _ordered(held: DataFrame, known: Templates) -> dict[str, int]:
     """Rank of each template word by the number of documents that hold it, rarest first; ties by the word."""
-    got = docs.select(F.explode(F.array_intersect(words(F.col("text")), F.array(*map(F.lit, VOCABULARY)))).alias("w")).groupBy("w").count().collect()
+    got = held.select(F.explode("held").alias("w")).groupBy("w").count().collect()
     n = {r["w"]: r["count"] for r in got}
-    return {w: i for i, w in enumerate(sorted(VOCABULARY, key=lambda w: (n.get(w, 0), w)))}
+    return {w: i for i, w in enumerate(sorted(vocabulary(known), key=lambda w: (n.get(w, 0), w)))}
+
+
+def _enough(held: Column, known: Templates, containment: float) -> Column:
+    """Length filter of a whole text: it holds as many words of some template as a block must."""
+    out = F.lit(False)
+    for t in {t for _, t in known}:
+        out = out | (F.size(F.array_intersect(held, F.array(*map(F.lit, sorted(set(t.split())))))) >= needed(t, containment))
+    return (F.size(held) > 0) & out
+
+
+def _blocks(ranked: DataFrame, length: int, least: int) -> DataFrame:
+    """rid, length and held: the template words of each block of so many words that holds at least so many; equal ones of a text once."""
+    half = length // 2
+    n_blocks = F.greatest(F.ceil((F.size("r") - length) / half) + 1, F.lit(1)).cast("int")
+    cut = F.transform(F.sequence(F.lit(0), n_blocks - 1), lambda i: F.array_sort(F.array_distinct(F.array_compact(F.slice("r", i * half + 1, length)))))
+    return ranked.select("rid", F.lit(length).alias("length"), F.explode(F.array_distinct(F.filter(cut, lambda b: F.size(b) >= least))).alias("held"))
 
 
-def contained(docs: DataFrame, containment: float = CONTAINMENT) -> DataFrame:
-    """(rid, text) -> rid, label, containment: every template that a block of the row holds."""
-    spark, rank = docs.sparkSession, _ordered(docs)
-    rows = []
-    for i, (label, t) in enumerate(TEMPLATES):
+def contained(some: DataFrame, rank: dict[str, int], known: Templates, containment: float = CONTAINMENT) -> DataFrame:
+    """(rid, w: the words, held: the template words among them) -> rid, label, containment: every template that a block of the row holds."""
+    spark, rows, kin = some.sparkSession, [], families(known, containment)
+    for i, ((label, t), (family, length)) in enumerate(zip(known, kin, strict=True)):
         own = sorted(rank[w] for w in set(t.split()))
         need = needed(t, containment)
-        rows += [(i, label, own, len(own), need, r, k) for k, r in enumerate(own[: len(own) - need + 1])]
-    prefixes = F.broadcast(spark.createDataFrame(rows, "template int, label string, own array<int>, n_own int, need int, rank int, k int"))
-    by_rank = sorted(rank, key=rank.get)
-    opening = sorted({by_rank[r[5]] for r in rows})
-
-    ranks = F.create_map(*[F.lit(x) for w in VOCABULARY for x in (w, rank[w])])
-    some = docs.where(F.arrays_overlap(words(F.col("text")), F.array(*map(F.lit, opening))))
-    lines = some.select("rid", F.explode(F.split("text", "\n")).alias("line")).select("rid", words(F.col("line")).alias("w"))
-    half = BLOCK // 2
-    n_blocks = F.greatest(F.ceil((F.size("w") - BLOCK) / half) + 1, F.lit(1)).cast("int")
-    blocks = lines.where(F.arrays_overlap("w", F.array(*map(F.lit, opening)))).select("rid", F.explode(F.transform(F.sequence(F.lit(0), n_blocks - 1), lambda i: F.slice("w", i * half + 1, BLOCK))).alias("w"))
-    held = blocks.select("rid", F.array_sort(F.transform(F.array_intersect("w", F.array(*map(F.lit, VOCABULARY))), lambda x: F.element_at(ranks, x))).alias("held"))
-    held = held.distinct()  # the same words found once more add nothing
-    cand = held.select("rid", "held", F.posexplode("held").alias("j", "rank")).join(prefixes, "rank").where(F.size("held") >= F.col("need"))
+        rows += [(i, label, family, length, own, len(own), need, r, k) for k, r in enumerate(own[: len(own) - need + 1])]
+    prefixes = F.broadcast(spark.createDataFrame(rows, "template int, label string, family int, length int, own array<int>, n_own int, need int, rank int, k int"))
+
+    ranks = F.create_map(*[F.lit(x) for w in rank for x in (w, rank[w])])
+    ranked = some.select("rid", "w", "held", F.transform("held", lambda x: F.element_at(ranks, x)).alias("of"))
+    ranked = ranked.select("rid", F.transform("w", lambda x: F.get("of", F.array_position("held", x).cast("int") - 1)).alias("r"))  # null: no template word
+    parts = [_blocks(ranked, length, min(needed(t, containment) for (_, t), (_, n) in zip(known, kin, strict=True) if n == length)) for length in sorted({n for _, n in kin})]
+    held = parts[0]
+    for p in parts[1:]:
+        held = held.union(p)
+    cand = held.select("rid", "length", "held", F.posexplode("held").alias("j", "rank")).join(prefixes, ["length", "rank"]).where(F.size("held") >= F.col("need"))
     cand = cand.where(1 + F.least(F.col("n_own") - F.col("k") - 1, F.size("held") - F.col("j") - 1) >= F.col("need"))
     both = F.size(F.array_intersect("held", "own"))
     first = F.col("rank") == F.array_min(F.array_intersect("held", "own"))  # a pair that shares several prefix words is one candidate
-    return cand.where(first & (both >= F.col("need"))).select("rid", "label", (both / F.col("n_own")).alias("containment"))
+    found = cand.where(first & (both >= F.col("need"))).select("rid", "length", "held", "family", "label", (both / F.col("n_own")).alias("containment"), "n_own")
+    most = F.max(F.struct("containment", "n_own")).over(Window.partitionBy("rid", "length", "held", "family"))
+    return found.withColumn("most", most).where(F.struct("containment", "n_own") == F.col("most")).select("rid", "label", "containment")
 
 
-def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", containment: float = CONTAINMENT) -> DataFrame:
+def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", containment: float = CONTAINMENT, known: Templates | None = None) -> DataFrame:
     """key, n_words, n_base, first_word, last_word, base_labels, labels and score, one row per row of docs.
 
     score is the largest share of a template found, 1 where a base phrase stands.
     """
-    docs = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("rid", F.struct("key", F.xxhash64("text").alias("x")))
-    w = docs.select("rid", "text", words(F.col("text")).alias("w"))
-    held = [F.when(F.arrays_overlap("w", F.array(F.lit(p.split()[k]))), places(F.col("w"), p)) for (p, _), k in zip(PHRASES, (2, 0, 0), strict=True)]
-    base = w.select("rid", F.size("w").cast("long").alias("n_words"), *[F.coalesce(h, F.array().cast("array<int>")).alias(f"p{i}") for i, h in enumerate(held)])
+    known = known or templates()
+    w = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text")).select(F.struct("key", F.xxhash64("text").alias("x")).alias("rid"), words(F.col("text")).alias("w"))
+    places_ = [F.when(F.arrays_overlap("w", F.array(F.lit(p.split()[k]))), places(F.col("w"), p)) for (p, _), k in zip(PHRASES, (2, 0, 0), strict=True)]
+    held = F.array_intersect("w", F.array(*map(F.lit, vocabulary(known))))
+    base = w.select("rid", "w", held.alias("held"), F.size("w").cast("long").alias("n_words"), *[F.coalesce(h, F.array().cast("array<int>")).alias(f"p{i}") for i, h in enumerate(places_)])
     every = F.concat(*[F.col(f"p{i}") for i in range(len(PHRASES))])
     names = F.array_compact(F.array(*[F.when(F.size(f"p{i}") > 0, F.lit(label)) for i, (_, label) in enumerate(PHRASES)]))
-    base = base.select("rid", "n_words", F.size(every).cast("long").alias("n_base"), F.array_min(every).cast("long").alias("first_word"), F.array_max(every).cast("long").alias("last_word"), names.alias("names"))
-    more = contained(docs.select("rid", "text"), containment).groupBy("rid").agg(F.collect_set("label").alias("more"), F.max("containment").alias("most"))
-    out = base.join(more, "rid", "left")
+    found = [F.size(every).cast("long").alias("n_base"), F.array_min(every).cast("long").alias("first_word"), F.array_max(every).cast("long").alias("last_word"), names.alias("names")]
+    done = settle(base.select("rid", "n_words", *found, "held", F.when(_enough(F.col("held"), known, containment), F.col("w")).alias("w")))
+    some = done.where("w is not null")
+    more = contained(some.select("rid", "w", "held"), _ordered(done, known), known, containment).groupBy("rid").agg(F.collect_set("label").alias("more"), F.max("containment").alias("most"))
+    columns = ["rid", "n_words", "n_base", "first_word", "last_word", "names"]
+    few = done.where("w is null").select(*columns, F.lit(None).cast("array<string>").alias("more"), F.lit(None).cast("double").alias("most"))
+    out = some.select(*columns).join(more, "rid", "left").unionByName(few)
     joined = lambda a: F.array_join(F.array_sort(F.array_distinct(a)), ",")
     every_name = F.concat("names", F.coalesce("more", F.array().cast("array<string>")))
     score = F.when(F.col("n_base") > 0, 1.0).otherwise(F.coalesce("most", F.lit(0.0)))
@@ -118,21 +161,22 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", containment:
 
 
 def oracle_sql() -> str:
-    """DuckDB SQL: every block of every line against every template, without filters."""
+    """DuckDB SQL: every block of every text against every template of its length, without filters."""
     gap = r"[^0-9a-z\x{80}-\x{10FFFF}]+"
     word = lambda t: f"list_filter(string_split_regex(translate({t}, '{_UPPER}', '{_LOWER}'), '{gap}'), lambda x: x <> '')"
     found = ", ".join(f"list_filter(range(0, len(w) - {len(p.split()) - 1}), lambda i: {' and '.join(f"w[i + {k + 1}] = '{x}'" for k, x in enumerate(p.split()))}) p{j}" for j, (p, _) in enumerate(PHRASES))
     names = ", ".join(f"case when len(p{j}) > 0 then '{label}' end" for j, (_, label) in enumerate(PHRASES))
-    templates = ", ".join(f"('{label}', ['{"', '".join(sorted(set(t.split())))}'], {needed(t)})" for label, t in TEMPLATES)
+    values = ", ".join(f"('{label}', {family}, {length}, ['{"', '".join(sorted(set(t.split())))}'], {needed(t)})" for (label, t), (family, length) in zip(templates(), families(templates()), strict=True))
+    lengths = ", ".join(f"({n})" for n in sorted({n for _, n in families(templates())}))
     every = " || ".join(f"p{j}" for j in range(len(PHRASES)))
     return f"""
-with d as (select row_number() over () rid, doc_id, coalesce(text, '') text from documents),
-w as (select rid, doc_id, {word('text')} w from d),
+with w as (select row_number() over () rid, doc_id, {word("coalesce(text, '')")} w from documents),
 b as (select rid, doc_id, len(w) n, {found} from w),
-lines as (select rid, {word('line')} w from (select rid, unnest(string_split(text, chr(10))) line from d)),
-blocks as (select rid, list_slice(w, i * {BLOCK // 2} + 1, i * {BLOCK // 2} + {BLOCK}) w from (select rid, w, unnest(range(0, greatest(ceil((len(w) - {BLOCK}) / {BLOCK // 2}.0)::bigint + 1, 1))) i from lines)),
-t as (select * from (values {templates}) v(label, own, need)),
-m as (select rid, list(distinct label) more, max(overlap / len(own)::double) most from (select rid, label, own, need, len(list_intersect(w, own)) overlap from blocks, t) where overlap >= need group by rid)
+blocks as (select rid, length, i, list_distinct(list_slice(w, i * (length // 2) + 1, i * (length // 2) + length)) w from (select rid, w, length, unnest(range(0, greatest(ceil((len(w) - length) / (length / 2.0))::bigint + 1, 1))) i from w, (values {lengths}) l(length))),
+t as (select * from (values {values}) v(label, family, length, own, need)),
+o as (select rid, length, i, family, label, len(own) n_own, need, len(list_intersect(w, own)) overlap from blocks join t using (length)),
+f as (select rid, label, overlap / n_own::double containment, row(overlap / n_own::double, n_own) own, max(row(overlap / n_own::double, n_own)) over (partition by rid, length, i, family) most from o where overlap >= need),
+m as (select rid, list(distinct label) more, max(containment) most from f where own = most group by rid)
 select b.doc_id, b.n::bigint n_words, len({every})::bigint n_base, list_min({every})::bigint first_word, list_max({every})::bigint last_word,
   array_to_string(list_sort(list_distinct(list_filter([{names}], lambda x: x is not null))), ',') base_labels,
   array_to_string(list_sort(list_distinct(list_filter([{names}], lambda x: x is not null) || coalesce(more, []))), ',') labels,

@@ -96,6 +96,42 @@ def test_license_scan_equals_sql_and_edges(spark, sf):
     assert license_scan.scan(docs(spark, [])).count() == 0
 
 
+def test_license_notices_may_be_wrapped_and_long(spark):
+    notice = dict(license_scan.templates())
+    wrap = lambda t, n=7: "\n * ".join(" ".join(t.split()[i : i + n]) for i in range(0, len(t.split()), n))
+    filler = " ".join(f"x{i}" for i in range(1000))
+    every = [(100 + i, f"{filler} {wrap(t)}\n{filler}") for i, (_, t) in enumerate(license_scan.templates())]
+    short = "this work is licensed under a creative commons attribution 4 0 international license"
+    d = [(1, wrap(notice["bsd"])), (2, f"{filler} {wrap(short)}"), (3, "this library is free software"), (4, wrap(" ".join(w for i, w in enumerate(notice["isc"].split()) if i % 9))), (5, " the ".join(f"x{i} of and or" for i in range(500)))]
+    got = {x.doc_id: (x.labels, x.score) for x in license_scan.scan(docs(spark, d + every)).collect()}
+    assert got[1] == ("bsd", 1.0) and got[2] == ("cc-by", 1.0) and got[3] == ("", 0.0) and got[4][0] == "isc" and got[5] == ("", 0.0)
+    for i, (label, _) in enumerate(license_scan.templates()):
+        assert label in got[100 + i][0].split(",") and got[100 + i][1] == 1.0, (label, got[100 + i])
+    v3 = next(t for label, t in license_scan.templates() if label == "gpl-3" and "program" in t)
+    assert license_scan.scan(docs(spark, [(1, v3)])).first().labels == "gpl-3"
+
+
+def test_license_scan_matches_brute_force(spark):
+    r = random.Random(8)
+    known = (("a", "one two three four five"), ("b", "one two three four six seven"), ("c", " ".join(f"t{i}" for i in range(40))))
+    pool = sorted({w for _, t in known for w in t.split()}) + ["z"] * 20
+    d = [(i, " ".join(r.choice(pool) for _ in range(r.randrange(0, 300)))) for i in range(60)] + [(100 + i, " ".join(w for w in known[i % 3][1].split() if r.random() < 0.9)) for i in range(40)]
+    kin = license_scan.families(known)
+    want = {}
+    for i, t in d:
+        w, best = t.split(), {}
+        for n in {n for _, n in kin}:
+            for at in range(0, max(-(-(len(w) - n) // (n // 2)), 0) * (n // 2) + 1, n // 2):
+                block = set(w[at : at + n])
+                for (label, x), (family, length) in zip(known, kin, strict=True):
+                    own = set(x.split())
+                    if length == n and len(own & block) >= license_scan.needed(x):
+                        best.setdefault((n, at, family), []).append((len(own & block) / len(own), len(own), label))
+        want[i] = ",".join(sorted({label for rows_ in best.values() for *x, label in rows_ if x == list(max(rows_)[:2])}))
+    got = {x.doc_id: x.labels for x in license_scan.scan(docs(spark, d), known=known).collect()}
+    assert got == want and len({x for x in want.values()}) > 3
+
+
 def test_decontamination(spark):
     prepare(spark)
     item = "Yesterday Tom bought 3 apples and 4.5 kg of pears while Ann paid 3 dollars at the corner shop near Paris."
