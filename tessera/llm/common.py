@@ -47,6 +47,25 @@ def uniform(key: str | Column, seed: int) -> Column:
     return (bits.cast("double") + 0.5) / F.lit(float(1 << 53))
 
 
+def numbered(df: DataFrame, *order: Column, name: str = "number") -> DataFrame:
+    """df, written, with a number of each row from 0 on in the given order (``name``).
+
+    Rows are dealt by ranges of the order and of a number of their own, so equal rows spread over several ranges: no
+    task gets more than a range. The driver sees one count per range. Rows that the order does not tell apart are numbered
+    as they lie in df.
+    """
+    last = F.monotonically_increasing_id()
+    placed = settle(df.withColumn("_last", last).repartitionByRange(*order, F.col("_last")).sortWithinPartitions(*order, F.col("_last")).withColumn("_at", last).drop("_last"))
+    part = F.shiftright("_at", 33)
+    before, starts = 0, []
+    for r in placed.groupBy(part.alias("part")).count().orderBy("part").collect():
+        starts.append((r["part"], before))
+        before += r["count"]
+    first = df.sparkSession.createDataFrame(starts, "_part long, _first long")
+    joined = placed.withColumn("_part", part).join(F.broadcast(first), "_part")
+    return joined.withColumn(name, F.col("_first") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).drop("_part", "_at", "_first")
+
+
 def as_bytes(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()
 
