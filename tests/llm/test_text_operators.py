@@ -199,6 +199,40 @@ def test_language_spans_and_edges(spark, sf):
     assert {x.lang_pred for x in language_id.detect(docs(spark, EDGE), language_id.fit(train.limit(0))).collect()} == {"und"}
 
 
+def test_long_texts_are_labelled_like_short_ones(spark, sf):
+    prepare(spark)
+    train = spark.read.parquet(f"{sf}/documents.parquet").select("text", "lang")
+    model = language_id.fit(train)
+    rows_ = train.collect()
+    texts = [r.text for r in rows_[:40]] + ["", "12 3", " ".join(r.text for r in rows_[:12]), "x" * 9000]
+    (_, every, _, owner_), *more = language_id.labelled(texts, model, 1 << 30)
+    whole = [every[owner_ == t] for t in range(len(texts))]
+    assert not more
+    for size in (300, 5000):
+        got = {}
+        for at, labels, sizes, owner in language_id.labelled(texts, model, size):
+            for t in np.unique(owner):
+                got[at + int(t)] = (labels[owner == t], sizes[owner == t])
+        for t in range(len(texts) - 1):
+            assert np.array_equal(got.get(t, (np.zeros(0),))[0], whole[t]), (size, t)
+        assert got[len(texts) - 1][1].sum() == 9000
+    assert all("".join(language_id.pieces(t, 300)) == t and max(map(len, language_id.pieces(t, 300)), default=0) <= 300 for t in texts)
+
+
+def test_more_languages_than_a_byte_counts(spark):
+    prepare(spark)
+    r = random.Random(6)
+    alphabet = "abcdefghijklmnopqrstuvwxyz"
+    words_ = {f"l{i:03}": ["".join(r.choice(alphabet) for _ in range(6)) for _ in range(30)] for i in range(300)}
+    say = lambda k, n: " ".join(r.choice(words_[k]) for _ in range(n))
+    train = spark.createDataFrame([(say(k, 200), k) for k in words_] + [(None, "l000"), ("x", None)], "text string, lang string")
+    model = language_id.fit(train)
+    asked = [(i, say(k, 40)) for i, k in enumerate(words_)] + [(400, "\U00032010\U00032011"), (401, None)]
+    got = {x.doc_id: x for x in language_id.detect(docs(spark, asked), model, spans=False).collect()}
+    assert len(model.langs) == 300 and sum(got[i].lang_pred == k for i, k in enumerate(words_)) >= 295
+    assert got[400].lang_pred != "und" and got[401].lang_pred == "und"
+
+
 def test_language_held_out_accuracy(spark, sf):
     got = queries.QUERIES["op8_language_id"](spark, sf).join(spark.read.parquet(f"{sf}/documents.parquet"), "doc_id").where("held_out")
     assert got.where("lang = lang_pred").count() >= 0.97 * got.count()
@@ -207,12 +241,50 @@ def test_language_held_out_accuracy(spark, sf):
 def test_quality_resampling(spark, sf):
     got = queries.QUERIES["op2_quality_resampling"](spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id")
     n = {(r.quality, r.sampled): r["count"] for r in got.groupBy("quality", "sampled").count().collect()}
-    assert n[(1, True)] >= 0.98 * (n[(1, True)] + n.get((1, False), 0)) and n[(0, False)] >= 0.6 * (n[(0, False)] + n.get((0, True), 0))
+    assert n[(1, True)] >= 0.98 * (n[(1, True)] + n.get((1, False), 0)) and n[(0, False)] >= 0.9 * (n[(0, False)] + n.get((0, True), 0))
     labels = spark.createDataFrame([(4, 1), (5, None)], "doc_id long, quality int")
     assert quality.resample(docs(spark, EDGE, more=True), labels).where("sampled").count() == len(EDGE)
     assert quality.resample(docs(spark, []), labels).count() == 0
 
 
+def test_quality_weights_match_brute_force(spark, sf):
+    con = connect(sf)
+    d, labels = con.execute("select doc_id, text from documents").fetchall(), dict(con.execute("select doc_id, quality from labels").fetchall())
+    hashes = WordHash()
+    counts = {}
+    for kind, some in (("target", [t for i, t in d if labels.get(i) == 1]), ("raw", [t for _, t in d])):
+        counts[kind] = np.zeros(quality.SIZE)
+        for t in some:
+            for g in quality.ngrams(t.encode(), hashes):
+                counts[kind][g] += 1
+    p = {k: (c + 0.5) / (c.sum() + 0.5 * quality.SIZE) for k, c in counts.items()}
+    got = {x.doc_id: x for x in queries.QUERIES["op2_quality_resampling"](spark, sf).collect()}
+    for i, t in d:
+        grams = quality.ngrams(t.encode(), hashes)
+        assert got[i].n_grams == len(grams)
+        assert abs(got[i].log_weight - sum(np.log(p["target"][g] / p["raw"][g]) for g in grams)) < 1e-6
+    k = round(sum(labels.values()) / len(labels) * len(d))
+    assert {i for i, x in got.items() if x.sampled} == set(sorted(got, key=lambda i: (-got[i].noisy_weight, i))[:k])
+
+
+def test_words_in_capitals_and_said_twice_are_ngrams_of_their_kind():
+    grams = lambda t: sorted(quality.ngrams(t, WordHash()).tolist())
+    assert len(grams(b"One two")) == 3 and len(grams(b"ONE two")) == 4 and len(grams(b"one One")) == 4 and len(grams(b"")) == 0
+    assert len(set(grams(b"AAA b")) & set(grams(b"CCC d"))) == 1
+
+
+def test_gumbel_top_k_draws_in_proportion_to_the_weights(spark):
+    n = 4000
+    d = spark.range(n).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
+    from tessera.llm.common import uniform
+
+    w = F.when(F.col("doc_id") % 2 == 0, F.lit(np.log(3.0))).otherwise(0.0)
+    noisy = d.withColumn("s", w - F.log(-F.log(uniform("doc_id", 11))))
+    some = quality.top_k(noisy, "s", "doc_id", 400).where("sampled")
+    share = some.where("doc_id % 2 = 0").count() / some.count()
+    assert some.count() == 400 and 0.68 < share < 0.82
+
+
 @pytest.mark.parametrize("k", [0, 1, 7, 50, 99, 100, 200])
 def test_top_k(spark, k):
     df = spark.createDataFrame([(i, float(i * 7919 % 20)) for i in range(100)], "key int, s double").cache()
@@ -221,6 +293,16 @@ def test_top_k(spark, k):
         assert {r.key for r in quality.top_k(df, "s", "key", k, small).where("sampled").collect()} == want
 
 
+def test_top_k_with_null_and_repeated_keys(spark):
+    df = spark.createDataFrame([(None, 1.0)] * 30 + [(5, 1.0)] * 10 + [(3, 1.0), (9, 2.0), (8, 0.0), (None, 0.0)], "key int, s double").cache()
+    for k in (1, 2, 8, 13, 30, 42, 43):
+        for small in (1, 20_000):
+            got = quality.top_k(df, "s", "key", k, small).collect()
+            kept = [r for r in got if r.sampled]
+            assert len(got) == 44 and len(kept) == k and all(r.sampled is not None for r in got)
+            assert sorted((-r.s, r.key is None, r.key or 0) for r in kept) == sorted((-r.s, r.key is None, r.key or 0) for r in got)[:k]
+
+
 def test_toxicity_held_out_and_edges(spark, sf):
     got = queries.QUERIES["op3_toxicity"](spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id").where("held_out").toPandas()
     assert (got.predicted == got.toxic).mean() > 0.93
