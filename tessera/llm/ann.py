@@ -8,12 +8,17 @@ query travels as its vector and one number.
 The budget is calibrated: for a bounded sample of queries all vectors are compared, and the budget is what their true
 neighbours need for the aimed recall. Every row is indexed and every asked query searched.
 
-Cells are packed into shards of at most ``SHARD`` vectors; a cell with more (a very common vector) is split over several
-shards by a hash. A task keeps one shard and streams the queries that visit it, in blocks of ``QUERY_BLOCK``.
-
-Bounded: centroids are fitted on ``SAMPLE`` rows, the budget on ``CALIBRATE`` queries, both chosen by a hash of the key.
+The index grows with the table: ``centroids_for`` gives the centroids of a half, ``shard_for`` the vectors of a shard.
+Cells are packed into shards; a cell with more vectors than a shard (a very common vector) is split over several by a
+hash. Queries travel to the shards that hold their cells. A task keeps one shard and streams queries past it; where more
+than ``QUERY_BLOCK`` queries visit a shard, they are dealt into blocks, each with a copy of that shard, so copies are at
+most one vector for every ``QUERY_BLOCK / shard`` visits and no group is larger than a shard and a block.
+
+Bounded: centroids are fitted on ``SAMPLE`` rows, the budget on ``CALIBRATE`` queries, both chosen by a hash of the key;
+a half has at most ``MOST_CENTROIDS``, so the index has at most their square in cells (2 MB of counts).
 Defined results: vectors that are null, zero, of another length than most, or hold null or non-finite components take no
-part; a null key takes no part; of a key's repeated rows the smallest vector counts; ties go to the smaller key.
+part; a null key takes no part; of a key's repeated rows the smallest vector counts; ties go to the smaller key; an empty
+table, or no query, gives no row; columns with clashing names are never read.
 """
 
 from __future__ import annotations
@@ -29,11 +34,24 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import Batches, mix, settle
 
-CENTROIDS, SAMPLE, CALIBRATE, RECALL = 32, 16_384, 96, 0.96
-SHARD, QUERY_BLOCK = 8192, 16_384
+SAMPLE, CALIBRATE, RECALL = 32_768, 96, 0.96
+PER_CELL, LEAST_CENTROIDS, MOST_CENTROIDS = 50, 16, 512
+LEAST_SHARD, MOST_SHARD, QUERY_BLOCK = 512, 32_768, 16_384
+#: Scores of queries against a shard that are worked on at once.
+CELLS = 1 << 21
 TIE = 1e-9
 
 
+def centroids_for(n: int) -> int:
+    """Centroids of each half for n vectors: about ``PER_CELL`` vectors a cell."""
+    return min(max(round(math.sqrt(n / PER_CELL)), LEAST_CENTROIDS), MOST_CENTROIDS)
+
+
+def shard_for(n: int) -> int:
+    """Vectors of a shard: about 64 shards for small tables, bounded memory for large ones."""
+    return min(max(n // 64, LEAST_SHARD), MOST_SHARD)
+
+
 def matrix(column: pa.Array) -> np.ndarray:
     """Rows of a list column of one length, as doubles."""
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
@@ -88,14 +106,14 @@ class MultiIndex:
         return -(q[:, : self.half] @ self.left.T), -(q[:, self.half :] @ self.right.T)
 
 
-def traverse(a: np.ndarray, b: np.ndarray, counts: np.ndarray, budget: int) -> float:
+def traverse(a: np.ndarray, b: np.ndarray, counts: list[list[int]], budget: int) -> float:
     """Visit centroid pairs by a[i] + b[j] with a heap until they hold the budget; the sum of the last one."""
-    i_of, j_of = np.argsort(a, kind="stable"), np.argsort(b, kind="stable")
-    x, y, n = a[i_of].tolist(), b[j_of].tolist(), counts[np.ix_(i_of, j_of)].tolist()
+    order, other = np.argsort(a, kind="stable"), np.argsort(b, kind="stable")
+    x, y, i_of, j_of = a[order].tolist(), b[other].tolist(), order.tolist(), other.tolist()
     heap, held, last = [(x[0] + y[0], 0, 0)], 0, -math.inf
     while heap:
         last, i, j = heapq.heappop(heap)
-        held += n[i][j]
+        held += counts[i_of[i]][j_of[j]]
         if held >= budget:
             return last
         if j + 1 < len(y):
@@ -118,27 +136,24 @@ def top(ids: np.ndarray, x: np.ndarray, rough: np.ndarray, q: np.ndarray, own: i
     return ids[near][best], score[best]
 
 
-def build(vectors: DataFrame, centroids: int = CENTROIDS, sample: int = SAMPLE) -> MultiIndex | None:
-    """Centroids from at most ``sample`` rows; counts of cells over all rows."""
+def build(vectors: DataFrame, n: int, sample: int = SAMPLE, centroids: int | None = None, shard: int | None = None) -> MultiIndex:
+    """Centroids from at most ``sample`` of the n rows; counts of cells over all rows, cells packed into shards."""
     rows = vectors.orderBy(F.xxhash64(F.lit(23), "key"), "key").limit(sample).select("v").toPandas()
-    if rows.empty:
-        return None
     x = np.stack(rows["v"].to_numpy())
     if x.shape[1] < 2:
         x = np.column_stack([x, np.zeros(len(x))])
-    half = x.shape[1] // 2
-    index = MultiIndex(kmeans(x[:, :half], centroids), kmeans(x[:, half:], centroids), *[np.zeros(0)] * 3)
-    got = assigned(vectors, index, place=False).groupBy("cell").count().collect()
+    half, k, most = x.shape[1] // 2, centroids or centroids_for(n), shard or shard_for(n)
+    index = MultiIndex(kmeans(x[:, :half], k), kmeans(x[:, half:], k), *[np.zeros(0)] * 3)
     counts = np.zeros(len(index.left) * len(index.right), np.int64)
-    for r in got:
+    for r in assigned(vectors, index, place=False).groupBy("cell").count().collect():
         counts[r["cell"]] = r["count"]
     first, shards, at, filled = np.zeros(len(counts), np.int64), np.ones(len(counts), np.int64), 0, 0
-    for c, n in enumerate(counts.tolist()):
-        if filled + n > SHARD and filled:
+    for c, held in enumerate(counts.tolist()):
+        if filled + held > most and filled:
             at, filled = at + 1, 0
-        first[c], filled = at, filled + n
-        if n > SHARD:
-            shards[c] = -(-n // SHARD)
+        first[c], filled = at, filled + held
+        if held > most:
+            shards[c] = -(-held // most)
             at, filled = at + int(shards[c]), 0
     return MultiIndex(index.left, index.right, counts.reshape(len(index.left), -1), first, shards)
 
@@ -198,45 +213,44 @@ def calibrate(vectors: DataFrame, queries: DataFrame, index: MultiIndex, k: int,
     return int(np.quantile(need, recall, method="higher")) if need else 0
 
 
-def search(vectors: DataFrame, is_query: Column, key: str = "vec_id", vector: str = "embedding", k: int = 20, recall: float = RECALL) -> DataFrame:
+def search(vectors: DataFrame, is_query: Column, key: str = "vec_id", vector: str = "embedding", k: int = 20, recall: float = RECALL, centroids: int | None = None, shard: int | None = None, query_block: int = QUERY_BLOCK) -> DataFrame:
     """query_id, rank, ``key`` and score of the k nearest of each row that ``is_query`` selects (an expression on ``key``)."""
     spark = vectors.sparkSession
-    empty = spark.createDataFrame([], f"query_id long, rank int, {key} long, score double")
     rows = settle(usable(vectors.select(F.col(key), F.col(vector)), key, vector).withColumn(key, F.col("key")).withColumn("asked", F.coalesce(is_query, F.lit(False))).drop(key))
-    index = build(rows)
-    if index is None:
-        return empty
+    n = rows.count()
+    if not n:
+        return spark.createDataFrame([], f"query_id long, rank int, {key} long, score double")
+    index = build(rows, n, centroids=centroids, shard=shard)
     stored = settle(assigned(rows, index))
     asked = rows.where("asked").select(F.col("key").cast("long").alias("key"), "v")
     budget = calibrate(stored, asked, index, k, recall)
     shared = spark.sparkContext.broadcast(index)
 
-    def visit(batches: Batches) -> Batches:
+    def route(batches: Batches) -> Batches:
         m = shared.value
-        n_shards = int((m.first + m.shards).max())
+        n_shards, counts = int((m.first + m.shards).max()), m.counts.tolist()
         for b in batches:
             if not b.num_rows:
                 continue
             q = matrix(b.column(1))
             left, right = m.sums(q if q.shape[1] > 1 else np.column_stack([q, np.zeros(len(q))]))
-            stop = [traverse(x, y, m.counts, budget) for x, y in zip(left, right, strict=True)]
-            at, shard = [], []
+            stop = [traverse(x, y, counts, budget) for x, y in zip(left, right, strict=True)]
+            to = []
             for i, s in enumerate(stop):
                 seen = np.zeros(n_shards, bool)
                 open_ = np.flatnonzero(((left[i][:, None] + right[i][None, :]) <= s).ravel() & (m.counts.ravel() > 0))
                 for j in range(int(m.shards[open_].max(initial=0))):
                     seen[m.first[open_] + np.minimum(j, m.shards[open_] - 1)] = True
-                hit = np.flatnonzero(seen)
-                at.append(np.full(len(hit), i))
-                shard.append(hit)
-            at, shard = np.concatenate(at), np.concatenate(shard)
-            yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), b.column(0).take(pa.array(at)), b.column(1).take(pa.array(at)), pa.array(np.array(stop)[at], pa.float64())], names=["shard", "key", "v", "stop"])
-
-    n_blocks = max(1, -(-asked.count() // QUERY_BLOCK))
-    visits = asked.mapInArrow(visit, "shard int, key long, v array<double>, stop double")
-    block = F.pmod(F.xxhash64("key"), F.lit(n_blocks)).cast("int")
-    sent = visits.select("shard", block.alias("block"), F.lit(1).alias("tag"), "key", "v", F.lit(0).alias("cell"), "stop")
-    every = stored.select("shard", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"), F.lit(0).alias("tag"), "key", "v", "cell", F.lit(0.0).alias("stop"))
+                to.append(np.flatnonzero(seen).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(stop, pa.float64()), pa.array(to, pa.list_(pa.int32()))], names=["key", "v", "stop", "shards"])
+
+    routed = settle(asked.mapInArrow(route, "key long, v array<double>, stop double, shards array<int>"))
+    # one row per shard that is visited at all: as many as the index has, which every task holds anyway
+    blocks = F.ceil(F.count("*") / F.lit(query_block)).cast("int").alias("blocks")
+    load = F.broadcast(settle(routed.select(F.explode("shards").alias("shard")).groupBy("shard").agg(blocks)))
+    sent = routed.select(F.explode("shards").alias("shard"), "key", "v", "stop").join(load, "shard")
+    sent = sent.select("shard", F.pmod(F.xxhash64("key"), "blocks").cast("int").alias("block"), F.lit(1).alias("tag"), "key", "v", F.lit(0).alias("cell"), "stop")
+    held = stored.join(load, "shard").select("shard", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(0).alias("tag"), "key", "v", "cell", F.lit(0.0).alias("stop"))
 
     def rerank(batches: Batches) -> Batches:
         m, now, parts, held = shared.value, None, [], None
@@ -252,21 +266,19 @@ def search(vectors: DataFrame, is_query: Column, key: str = "vec_id", vector: st
                 if tags[s] == 0:
                     parts.append((ids, x, cell))
                     continue
-                if not parts:
-                    continue
                 held = held or tuple(np.concatenate(y) for y in zip(*parts, strict=True))
-                out = ([], [], [])
-                for i in range(0, len(ids), 256):
-                    q = x[i : i + 256]
+                row, col = np.divmod(held[2], len(m.right))
+                step, out = max(1, CELLS // len(row)), ([], [], [])
+                for i in range(0, len(ids), step):
+                    q = x[i : i + step]
                     left, right = m.sums(q if q.shape[1] > 1 else np.column_stack([q, np.zeros(len(q))]))
-                    row, col = np.divmod(held[2], len(m.right))
-                    rough = np.where(left[:, row] + right[:, col] <= stop[i : i + 256, None], q @ held[1].T, -np.inf)
+                    rough = np.where(left[:, row] + right[:, col] <= stop[i : i + step, None], q @ held[1].T, -np.inf)
                     for j in range(len(q)):
                         found, score = top(held[0], held[1], rough[j], q[j], ids[i + j], k)
                         for y, z in zip(out, (np.full(len(found), ids[i + j]), found, score), strict=True):
                             y.append(z)
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out[0]), pa.int64()), pa.array(np.concatenate(out[1]), pa.int64()), pa.array(np.concatenate(out[2]), pa.float64())], names=["query_id", "key", "score"])
 
-    near = every.union(sent).repartition("shard", "block").sortWithinPartitions("shard", "block", "tag").mapInArrow(rerank, "query_id long, key long, score double")
+    near = held.union(sent).repartition("shard", "block").sortWithinPartitions("shard", "block", "tag").mapInArrow(rerank, "query_id long, key long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "key")
     return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", F.col("key").alias(key), "score")

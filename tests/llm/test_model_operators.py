@@ -115,6 +115,21 @@ def test_nearest_neighbours(spark, sf):
     assert len(got) == len(want) and hits >= 0.9 * len(want)
 
 
+def test_nearest_neighbours_over_many_shards_and_blocks(spark):
+    prepare(spark)
+    r = np.random.default_rng(4)
+    x = r.normal(size=(900, 8)).round(2)
+    x[100:400] = x[0]  # one very common vector
+    d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    want = brute([(i, v.tolist()) for i, v in enumerate(x)], 5, 3)
+    for shard, block in ((40, 7), (64, 10**6)):
+        got = {(q.query_id, q.rank): (q.vec_id, q.score) for q in ann.search(d, F.col("vec_id") % 3 == 0, k=5, recall=1.0, centroids=6, shard=shard, query_block=block).collect()}
+        assert len(got) == len(want) and sum(got[k][0] == v for k, v in want.items()) >= 0.98 * len(want)
+        assert all(abs(s - float((x[q] * x[v]).sum())) < 1e-9 for (q, _), (v, s) in got.items())
+    assert ann.search(d, F.lit(False)).count() == 0
+    assert ann.centroids_for(10**4) < ann.centroids_for(10**6) <= ann.MOST_CENTROIDS and ann.shard_for(10**9) == ann.MOST_SHARD
+
+
 def test_nearest_neighbours_edges(spark):
     rows = [(0, [1.0, 0.0, 0.0]), (20, [0.0, 0.0, 0.0]), (40, None), (60, [1.0, None, 2.0]), (80, [float("nan"), 1.0, 1.0]), (None, [1.0, 1.0, 1.0]), (100, [1.0, 2.0]), *[(i, [1.0, 1.0, 0.0]) for i in range(1, 15)], (16, [2.0, 0.0, 0.0])]
     d = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("key", F.lit(1)).withColumn("v", F.lit("x"))
