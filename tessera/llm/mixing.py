@@ -8,9 +8,13 @@ while one probability after the other reaches 0 or 1. Documents are dealt into b
 block leaves at most three undecided, those of ``BLOCK`` blocks make the blocks of the next level, until one small
 landing problem per source remains, whose best rounding is searched. So no task ever holds a source, however hot.
 
-Everything follows from the key, a repeat's number and a seed: reruns agree.
+Everything follows from the key, a repeat's number and a seed: reruns agree. The order of the sources and the level at
+which shares stop come from ranges and sums over the sources, so their number is not bound by a task either.
+
 Defined results: null text has size 0 and is taken 0 times; a source without words has target 0; a null source is a
-source of its own, last in order; rows with the same key, source and size are told apart by number.
+source of its own, last in order; rows with the same key, source and size are told apart by a number (which of them is
+taken more often makes no difference to the result), so a repeated or null key is dealt into blocks like any other; an
+empty table gives no row; columns with clashing names are never read; a very long text counts whole.
 """
 
 from __future__ import annotations
@@ -19,10 +23,10 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import settle
+from tessera.llm.common import numbered, settle
 
 WEIGHTS, SHARE, MOST = (5, 2, 1), 1.5, 2.0
 BLOCK, LANDING = 512, 12
@@ -37,21 +41,36 @@ def n_words(text: str | Column) -> Column:
 def targets(sized: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
     """source, source_size and target of each source, from (source, size): one row per source from the first aggregation on.
 
-    A source stops at most * size exactly if that is at most its weight times the level at which the budget is used up;
-    the level follows from running sums over the sources ordered by most * size / weight.
+    The target is the smaller of most * size and weight * level, where the level uses up the budget. The level rises from
+    an even split: sources full at it leave what they do not take to the others, until no other is full.
     """
-    src = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    order = F.row_number().over(Window.orderBy(F.asc_nulls_last("source"))) - 1
-    w = F.get(F.array(*[F.lit(float(x)) for x in weights]), order % len(weights))
-    src = src.withColumn("w", w).withColumn("cap", most * F.col("source_size")).withColumn("full_at", F.col("cap") / F.col("w"))
-    everything = Window.partitionBy()
-    before = Window.orderBy("full_at", F.asc_nulls_last("source")).rowsBetween(Window.unboundedPreceding, -1)
-    budget = share * F.sum("source_size").over(everything)
-    left_w = F.sum("w").over(everything) - F.coalesce(F.sum("w").over(before), F.lit(0.0))
-    level = (budget - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / left_w
-    src = src.withColumn("level", level).withColumn("open", F.col("full_at") > F.col("level"))
-    final = F.min(F.when(F.col("open"), F.struct("full_at", "source", "level"))).over(everything)["level"]
-    return src.select("source", "source_size", F.when(F.col("open"), F.col("w") * final).otherwise(F.col("cap")).alias("target"))
+    src = numbered(sized.groupBy("source").agg(F.sum("size").alias("source_size")), F.asc_nulls_last("source"), name="rank")
+    w = F.get(F.array(*[F.lit(float(x)) for x in weights]), (F.col("rank") % len(weights)).cast("int"))
+    src = settle(src.select("source", "source_size", w.alias("w"), (most * F.col("source_size")).alias("cap")))
+    full_at = F.col("cap") / F.col("w")
+    budget = share * (src.agg(F.sum("source_size")).first()[0] or 0)
+    level = 0.0
+    while True:
+        full, rest = src.agg(F.sum(F.when(full_at <= level, F.col("cap"))), F.sum(F.when(full_at > level, F.col("w")))).first()
+        new = (budget - (full or 0.0)) / rest if rest else level
+        if new <= level:
+            break
+        level = new
+    return src.select("source", "source_size", F.least("cap", F.col("w") * F.lit(float(level)) if rest else F.col("cap")).alias("target"))
+
+
+def _counted(sized: DataFrame) -> DataFrame:
+    """sized with ``copy``: the number, from 0, among the rows of the same key, source and size."""
+    same = ["key", "source", "size"]
+    again = settle(sized.groupBy(*same).count().where("count > 1"))
+    if again.isEmpty():
+        return sized.withColumn("copy", F.lit(0).cast("long"))
+    renamed = lambda df: df.select(*[F.col(c).alias(f"_{c}") for c in same], *[c for c in df.columns if c not in same])
+    meets = (F.col("key").eqNullSafe(F.col("_key"))) & (F.col("source").eqNullSafe(F.col("_source"))) & (F.col("size") == F.col("_size"))
+    once = sized.join(renamed(again), meets, "left_anti").withColumn("copy", F.lit(0).cast("long"))
+    repeated = numbered(sized.join(renamed(again), meets, "left_semi"), F.col("key"), F.col("source"), F.col("size"))
+    first = renamed(repeated.groupBy(*same).agg(F.min("number").alias("_first")))
+    return once.unionByName(repeated.join(first, meets).select(*same, (F.col("number") - F.col("_first")).alias("copy")))
 
 
 def _direction(x: np.ndarray) -> np.ndarray:
@@ -112,7 +131,7 @@ def _decide(rows: DataFrame, level: int, seed: int) -> DataFrame:
     """One level: every block flies; a source that is one block also lands. p becomes 0 or 1, or stays undecided."""
 
     def fly(t: pd.DataFrame) -> pd.DataFrame:
-        t = t.sort_values(["h", "key", "size"], kind="stable")
+        t = t.sort_values(["h", "size"], kind="stable")
         p, size = t["p"].to_numpy(float), t["size"].to_numpy(float)
         scale = max(size.max(), 1.0)
         x, draw = np.column_stack([size / scale, np.ones(len(p))]), np.random.default_rng([seed, level, int(t["h"].iloc[0]) & 0xFFFFFFFF, len(t)])
@@ -125,12 +144,13 @@ def _decide(rows: DataFrame, level: int, seed: int) -> DataFrame:
 def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = 3, block: int = BLOCK) -> DataFrame:
     """key, source, size, source_size, target, copies and taken (size * copies), one row per row of docs."""
     sized = settle(docs.select(F.col(key).alias("key"), F.col(source).alias("source"), n_words(text).alias("size")))
+    sized = settle(_counted(sized))
     of = settle(targets(sized, weights, share, most))
     rate = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(most)))).otherwise(0.0)
     floor = F.floor(rate + EPS)
     per = of.select(F.col("source").alias("s"), "source_size", "target", floor.alias("whole"), F.greatest(rate - floor, F.lit(0.0)).alias("p"))
     rows = sized.join(per, F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    rows = rows.withColumn("h", F.xxhash64(F.lit(seed), "key", "size"))
+    rows = rows.withColumn("h", F.xxhash64(F.lit(seed), "key", "size", "copy")).drop("copy")
 
     left, done, level = rows, None, 0
     while True:
