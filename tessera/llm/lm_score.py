@@ -12,14 +12,17 @@ but for false positives of the filter. lam depends on the frequency class of v a
 likelihood of all training bigrams (EM over a table of counts by class, which all training text feeds). The context of a
 text's first word is the end token.
 
-Counting: texts are dealt into chunks of about 4 MB; a chunk sends each range of hashes its distinct tokens with their
+Counting: texts are dealt into chunks of about 4 MB by a hash of the key, those of a chunk that a null or repeated key
+makes too large by a number of their own; a chunk sends each range of hashes its distinct tokens with their
 training counts as one binary block, and gets the totals and the levels read from the filter back in the same order. So
 a frequent word is one entry per chunk, and counts reach every text without a broadcast. Bigrams go the same way.
 
 Bounded: a segment, by ``max_filter_bytes``: the n-grams are split into more ranges where the text is larger. An
 n-gram has at most as many entries as occurrences, so both filters grow with the text and nothing is left out of them.
-Defined results: null text is empty and consists of the end token; a null key is never training text; without training
-text N = V = 0 and every token has probability 1 (log 0).
+Defined results: null text is empty and consists of the end token; where ``train`` is null (as for a null key) a row is
+no training text; without training text N = V = 0 and every token has probability 1 (log 0); rows of a repeated key
+are counted and scored each; a very long text is scored whole and makes its chunk as much larger; an empty table gives no
+row; columns with clashing names are never read.
 """
 
 from __future__ import annotations
@@ -203,8 +206,21 @@ def _class_count(k: np.ndarray) -> np.ndarray:
     return np.where(k < 16, k, 2.0 ** (4 + (k - 16 + 0.5) / 4))
 
 
-def _chunked(docs: DataFrame, key: str, text: str, train: Column, chunks: int) -> DataFrame:
-    return docs.select(F.pmod(F.xxhash64(F.lit(5), key), F.lit(chunks)).cast("int").alias("chunk"), F.col(key).alias("key"), F.coalesce(train, F.lit(False)).alias("train"), F.col(text).alias("text"))
+def _chunked(docs: DataFrame, key: str, text: str, train: Column, chunks: int, chunk_bytes: int) -> DataFrame:
+    """chunk, key, train, text. Chunks that one key fills are written and dealt anew by row."""
+    chunk = F.pmod(F.xxhash64(F.lit(5), key), F.lit(chunks)).cast("int").alias("chunk")
+    named = docs.select(chunk, F.col(key).alias("key"), F.coalesce(train, F.lit(False)).alias("train"), F.col(text).alias("text"))
+    size = F.coalesce(F.octet_length("text"), F.lit(0)) + 16
+    # beside its longest text, which cannot be dealt out
+    loads = named.groupBy("chunk").agg((F.sum(size) - F.max(size)).alias("bytes")).where(F.col("bytes") > 3 * chunk_bytes).orderBy("chunk").collect()
+    if not loads:
+        return named
+    parts = [-(-r["bytes"] // chunk_bytes) for r in loads]
+    firsts = np.cumsum([chunks, *parts[:-1]]).tolist()
+    hot = F.broadcast(docs.sparkSession.createDataFrame([(r["chunk"], f, p) for r, f, p in zip(loads, firsts, parts, strict=True)], "chunk int, _first long, _parts long"))
+    row = F.pmod(F.xxhash64(F.monotonically_increasing_id()), "_parts")
+    dealt = settle(named.join(hot, "chunk").select((F.col("_first") + row).cast("int").alias("chunk"), "key", "train", "text"))
+    return named.join(hot, "chunk", "left_anti").union(dealt)
 
 
 SENT = "bucket int, chunk int, keys binary, counts binary"
@@ -277,14 +293,14 @@ def _fit_lam(cells: np.ndarray, n: np.ndarray, total: int, vocab: int) -> np.nda
     return np.clip(lam, 0, 0.95)
 
 
-def score(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text", max_filter_bytes: int = MAX_FILTER_BYTES) -> DataFrame:
+def score(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text", max_filter_bytes: int = MAX_FILTER_BYTES, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """key, train, n_tokens, n_known, train_tokens, vocabulary, base_score (add-one unigrams, exact counts) and score (the model)."""
     kind = docs.schema[key].dataType.simpleString()
     size = docs.agg(F.sum(F.octet_length(text) + F.lit(16))).first()[0] or 0
-    chunks = max(8, -(-size // CHUNK_BYTES))
+    chunks = max(8, -(-size // chunk_bytes))
     # a token takes two bytes of a filter at most and two bytes of text at least, so a range's segment is no larger than its share of the text
     buckets = 1 << max(3, math.ceil(math.log2(max(chunks / 8, size / max_filter_bytes))))
-    chunked = _chunked(docs, key, text, train, chunks)
+    chunked = _chunked(docs, key, text, train, chunks, chunk_bytes)
 
     totals = settle(_unigram_totals(chunked, buckets))
     n, v = (x or 0 for x in totals.where("chunk = -1").agg(F.sum("n"), F.sum("v")).first())
