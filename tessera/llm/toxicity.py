@@ -5,10 +5,13 @@ others. Features are densities of the lexicon, closeness of its words to second-
 punctuation and obfuscation. The labelled rows are split by a hash of the key in three: one part for the lexicon, one
 for the trees, one for the calibration, so none is fitted on what another has learned by heart.
 
-Bounded: labelled rows (``label_bound``), chosen by a hash of the key, and the lexicon (``LEXICON_BOUND`` entries).
+Bounded: labelled rows (``label_bound``), chosen by a hash of the key, and the lexicon learned from them
+(``lexicon_bound`` entries, those that tell most first).
 Every text is scored whole. Labels and other columns are never inputs of a score.
 Defined results: null text counts as empty and gets the score of an empty text; without labels of both kinds every score
-is the share of toxic labels (0 without any); repeated labels of a key count once, toxic if any is.
+is the share of toxic labels (0 without any); repeated labels of a key count once, toxic if any is; rows of a null or
+repeated key are scored each by their text; a very long text is read whole; equal terms of the lexicon are taken in order
+of the term; an empty table gives no row; columns with clashing names are never read.
 """
 
 from __future__ import annotations
@@ -165,8 +168,8 @@ class Model:
         return np.clip(np.interp(raw, *self.knots), 0.0, 1.0)
 
 
-def _lexicon(known: DataFrame, n_toxic: int, n_clean: int) -> tuple[dict[str, float], dict[str, float]]:
-    """Words and beginnings whose share of toxic rows stands out, by smoothed log odds; at most ``LEXICON_BOUND`` in all."""
+def _lexicon(known: DataFrame, n_toxic: int, n_clean: int, bound: int) -> tuple[dict[str, float], dict[str, float]]:
+    """Words and beginnings whose share of toxic rows stands out, by smoothed log odds; at most ``bound`` in all."""
 
     def count(batches: Batches) -> Batches:
         for b in batches:
@@ -180,7 +183,7 @@ def _lexicon(known: DataFrame, n_toxic: int, n_clean: int) -> tuple[dict[str, fl
     terms = known.select("text", "toxic").mapInArrow(count, "term string, k int, clean long, toxic long").groupBy("term", "k").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     odds = F.log((F.col("toxic") + 0.1) / (n_toxic + 1.0)) - F.log((F.col("clean") + 0.3) / (n_clean + 1.0))
     # a row's chance to hold the term without being toxic must be small against what toxic rows show
-    top = terms.where(F.col("toxic") >= 2).withColumn("odds", odds).where((F.col("odds") > 2.5) & (F.col("toxic") >= 2 * F.col("clean") * n_toxic / (n_clean + 1.0))).orderBy(F.desc(F.col("odds") * F.log1p("toxic")), "term", "k").limit(LEXICON_BOUND).collect()
+    top = terms.where(F.col("toxic") >= 2).withColumn("odds", odds).where((F.col("odds") > 2.5) & (F.col("toxic") >= 2 * F.col("clean") * n_toxic / (n_clean + 1.0))).orderBy(F.desc(F.col("odds") * F.log1p("toxic")), "term", "k").limit(bound).collect()
     words, stems = {w: 4.0 for w in SEED_WORDS}, {}
     for r in top:
         (stems if r["k"] else words)[r["term"]] = float(min(r["odds"], 8.0))
@@ -202,8 +205,8 @@ def _featured(docs: DataFrame, model: tuple[dict, dict], keep: list[str]) -> Dat
     return docs.select("text", *keep).mapInArrow(run, f"{kinds}, x array<double>")
 
 
-def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", label_bound: int = LABEL_BOUND) -> Model:
-    """A model from at most ``label_bound`` labelled rows."""
+def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", label_bound: int = LABEL_BOUND, lexicon_bound: int = LEXICON_BOUND) -> Model:
+    """A model from at most ``label_bound`` labelled rows, with at most ``lexicon_bound`` learned terms."""
     chosen = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(key).agg(F.max(label).cast("int").alias("toxic")).orderBy(F.xxhash64(F.lit(31), key), key).limit(label_bound)
     part = F.pmod(F.xxhash64(F.lit(37), key), F.lit(10)).cast("int").alias("part")
     known = settle(docs.select(key, F.col(text).alias("text")).join(F.broadcast(chosen), key).select(key, "text", "toxic", part))
@@ -212,7 +215,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     if not n_toxic or not n_clean:
         share = 1.0 if n_toxic else 0.0
         return Model({}, {}, None, (np.zeros(1), np.array([share])))
-    words, stems = _lexicon(known.where("part < 4"), counts.get((1, 1), 0), counts.get((0, 1), 0))
+    words, stems = _lexicon(known.where("part < 4"), counts.get((1, 1), 0), counts.get((0, 1), 0), lexicon_bound)
     got = _featured(known.where("part >= 4"), (words, stems), ["toxic", "part"]).orderBy("part", "toxic", F.hash("x")).toPandas()
     y, p = got["toxic"].to_numpy(int), got["part"].to_numpy(int)
     x = np.stack(got["x"].to_numpy())

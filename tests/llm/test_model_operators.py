@@ -1,6 +1,7 @@
 """Language-model scores, mixing, nearest neighbours, HTML, the pipeline."""
 
 import math
+import random
 from collections import Counter
 
 import numpy as np
@@ -26,6 +27,30 @@ def test_lm_scores(spark, sf):
     assert (got.score <= 0).all() and out.score.sum() > out.base_score.sum()
 
 
+def test_lm_model_matches_brute_force_but_for_false_positives(spark, sf):
+    got = queries.QUERIES["op5_lm_score"](spark, sf).toPandas().set_index("doc_id")
+    docs = {i: [*(t or "").encode().lower().split(), b"\n"] for i, t in connect(sf).execute("select doc_id, text from documents").fetchall()}
+    train = [ts for i, ts in docs.items() if not got.held_out[i]]
+    level = lambda n, of: int(of[np.searchsorted(of, n, side="right") - 1]) if n else 0
+    c = Counter(w for ts in train for w in ts)
+    n, v = sum(c.values()), len(c)
+    rough = {w: level(k, lm_score.UNIGRAM_LEVELS) for w, k in c.items()}
+    cls = lambda w: int(lm_score.frequency_class(np.array([rough.get(w, 0)]))[0])
+    pairs = Counter((a, b) for ts in train for a, b in zip([b"\n", *ts], ts, strict=False))
+    cells = Counter(int(lm_score._count_class(np.array([k]))[0]) << 10 | cls(a) << 5 | cls(b) for (a, b), k in pairs.items())
+    lam = lm_score._fit_lam(np.array(list(cells)), np.array(list(cells.values())), n, v)
+    off = []
+    for i, ts in docs.items():
+        total = 0.0
+        for a, b in zip([b"\n", *ts], ts, strict=False):
+            before = rough.get(a, 0)
+            seen = min(level(pairs.get((a, b), 0), lm_score.BIGRAM_LEVELS), before, rough.get(b, 0))
+            total += math.log10(lam[cls(a)] * seen / max(before, 1) + (1 - lam[cls(a)]) * (rough.get(b, 0) + 1) / (n + v + 1))
+        off.append((got.score[i] - total) / -total)
+    # false positives of the filters also reach the weights of all classes a little
+    assert np.mean(np.abs(off)) < 0.005 and np.quantile(np.abs(off), 0.95) < 0.015 and max(np.abs(off)) < 0.1
+
+
 def test_lm_edges(spark):
     prepare(spark)
     rows = [(1, None), (2, ""), (3, "a b a b"), (None, "a"), (3, "a b a b"), (4, "z " * 5000)]
@@ -97,6 +122,30 @@ def test_mixing_many_blocks_and_edges(spark):
     assert mixing.mix(d.limit(0)).count() == 0
 
 
+def test_mixing_deals_a_repeated_key_out(spark):
+    rows = spark.range(100_000).select(F.when(F.col("id") < 60_000, F.lit(None)).otherwise(F.lit(7)).cast("long").alias("doc_id"), F.lit("a b c").alias("text"), F.lit("hot").alias("source"))
+    rows = rows.union(spark.createDataFrame([(i, "a b", f"s{i % 5}") for i in range(500)], "doc_id long, text string, source string"))
+    got = mixing.mix(rows).groupBy("source", "doc_id").agg(F.count("*").alias("n"), F.sum("taken").alias("taken"), F.first("target").alias("target")).toPandas()
+    hot = got[got.source == "hot"]
+    assert hot.n.sum() == 100_000 and abs(hot.taken.sum() - hot.target.iloc[0]) <= 60
+    assert abs(hot.taken / hot.n - hot.taken.sum() / 100_000).max() < 0.05
+    sized = rows.select(F.col("doc_id").alias("key"), "source", F.lit(3).alias("size"))
+    copies = mixing._counted(sized).where("source = 'hot'").groupBy("key").agg(F.count_distinct("copy").alias("n"), F.max("copy").alias("last")).collect()
+    assert {(r.n, r["last"]) for r in copies} == {(60_000, 59_999), (40_000, 39_999)}
+
+
+def test_lm_score_deals_a_repeated_key_out(spark):
+    prepare(spark)
+    rows = spark.range(20_000).select(F.when(F.col("id") < 15_000, F.lit(None)).otherwise(F.lit(7)).cast("long").alias("doc_id"), F.concat(F.lit("w"), (F.col("id") % 50).cast("string"), F.lit(" x y")).alias("text"))
+    rows = rows.union(spark.createDataFrame([(100 + i, f"w{i} x") for i in range(200)], "doc_id long, text string"))
+    chunked = lm_score._chunked(rows, "doc_id", "text", F.lit(True), 8, 20_000)
+    assert chunked.count() == 20_200 and chunked.groupBy("chunk").agg(F.sum(F.length("text") + 16).alias("n")).agg(F.max("n")).first()[0] < 60_000
+    key = lambda r: (r.doc_id is None, r.doc_id or 0, r.n_tokens, round(r.base_score, 9), round(r.score, 6))
+    train = F.coalesce(F.col("doc_id") % 3 == 0, F.lit(False))
+    whole, small = (sorted(map(key, lm_score.score(rows, train, chunk_bytes=n).collect())) for n in (4 << 20, 20_000))
+    assert whole == small and len(whole) == 20_200
+
+
 def brute(rows, k, every):
     ok = {}
     for i, v in rows:
@@ -151,6 +200,74 @@ def test_html(spark, sf):
     assert html_extract.main_text(d.limit(0)).count() == 0
 
 
+BAD_BLOCKS = ["<nav><ul><li><a href=/>{}</a></ul></nav>", "<div class=ad>{}</div>", "<aside>{}</aside>", "<div class='site-footer x'>{}</div>", "<form>{}<input></form>", "<div id=cookie-notice>{}</div>", "<script>{}</script>", "<div hidden>{}</div>", "<div role=navigation>{}</div>", "<section class=comments><p>{}</p></section>", "<!-- {} -->", "<footer>{}</footer>", "<div style='display: none'>{}</div>"]
+
+
+def made_page(r, shape):
+    """A page of a known article among other parts, and the article's blocks."""
+    words = lambda n: " ".join(r.choice(["alpha", "beta", "gamma &amp; x", "d\u00e9j\u00e0", "<b>bold</b>", "a<br>b", "<a href=x>link</a> and"]) for _ in range(n))
+    clean = lambda t: " ".join(t.replace("<br>", " ").replace("&amp;", "&").replace("<b>", "").replace("</b>", "").replace("<a href=x>", "").replace("</a>", "").split())
+    noise = lambda: "".join(r.choice(BAD_BLOCKS).format("nothing " * r.randrange(1, 60)) for _ in range(r.randrange(3)))
+    texts = [words(r.choice((1, 4, 30, 120))) for _ in range(r.randrange(2, 7))]
+    part = lambda t: r.choice(("<p>{}</p>", "<h2>{}</h2>", "<p>{}", "<blockquote>{}</blockquote>", "<ul><li>{}</li></ul>")).format(t)
+    if shape == "sections":
+        body = "".join(f"<section class=s><p>{t}</p>{noise()}</section>" for t in texts)
+    else:
+        opening, closing = {"article": ("<article title='The hidden nav'>", "</article>"), "main": ("<main data-hidden=false>", "</main>"), "named": ("<div class='related-work content'>", "</div>")}[shape]
+        body = opening + "".join(part(t) + noise() for t in texts) + closing
+    return f"<html><head><title>t</title><style>p {{}}</style></head><body>{noise()}<header><p>Site</p></header>{body}{noise()}<footer>f</footer></body></html>", [clean(t) for t in texts]
+
+
+def test_made_pages_give_their_article_whole(spark):
+    r = random.Random(3)
+    rows, want = [], {}
+    for i in range(400):
+        shape = r.choice(("article", "main", "named", "sections"))
+        html, texts = made_page(r, shape)
+        rows.append((i, f"http://{shape}.example/{i}", html))
+        want[i] = "\n\n".join(texts)
+        assert html_extract.extract(html, None) == want[i], html
+    d = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {x.page_id: x for x in html_extract.main_text(d).collect()}
+    assert {i: x.text for i, x in got.items()} == want and all(x.n_chars == len(x.text) for x in got.values())
+    shuffled = html_extract.main_text(d, broadcast_hosts=0)
+    assert {x.page_id: x.text for x in shuffled.collect()} == want
+
+
+def test_attributes_names_and_short_parts():
+    of = lambda html: html_extract.extract(html, None)
+    long = "long text " * 60
+    assert of(f"<body><section class=s><p>{long}</p></section><section class=s><p>The end.</p></section></body>").endswith("\n\nThe end.")
+    assert of("<article title='The hidden truth'><p>x</p></article>") == of("<article data-hidden='false'><p>x</p></article>") == of("<div class='related-work article'><p>x</p></div>") == "x"
+    assert of("<form><p>whole page in a form</p></form>") == "whole page in a form" and of("<div class=notice><p>all there is</p></div>") == "all there is"
+    assert of("<div class=content-sidebar-wrap><main><p>m</p></main><div class=sidebar>s</div></div>") == "m"
+    assert of("<nav>menu</nav><div class=ad>buy</div><article></article>") == "" and of("<p title='a > b'>5 < 6</p>") == "5 < 6"
+
+
+def test_votes_follow_the_pages_of_a_host(spark):
+    page = lambda n, extra="": f"<body><div class=box><p>{'word ' * n}</p></div><div class=side>{extra}</div></body>"
+    odd = f"<body><div class=box><p>short but the article</p></div><div class=side><p>{'long talk ' * 40}</p></div></body>"
+    rows = [(i, "http://a.example/x", page(50)) for i in range(5)] + [(9, "HTTP://u@A.example:80/y", odd), (10, "http://b.example/", odd)]
+    got = {x.page_id: x for x in html_extract.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[9].text == "short but the article" and got[9].host == "a.example" and got[9].path == "/body/div.box"
+    assert got[10].text.startswith("long talk")
+
+
+def test_deep_and_broken_pages_take_linear_time_and_memory():
+    import time
+    import tracemalloc
+
+    assert html_extract.extract("<div>" * 100_000 + "deep" + "</div>" * 100_000, None) == "deep"
+    tracemalloc.start()
+    html_extract.read("<div>" * 20_000 + "deep")
+    assert tracemalloc.get_traced_memory()[1] < 100 << 20
+    tracemalloc.stop()
+    for part in ("<nav>x", "<a ", "<a \"'>", "<p class=\"x>", "<div class=ad>x", "<blockquote>x</p>", "<!"):
+        start = time.time()
+        html_extract.read(part * 40_000)
+        assert time.time() - start < 10, part
+
+
 def test_pipeline(spark, sf):
     import corpus_pipeline
 
@@ -162,3 +279,48 @@ def test_pipeline(spark, sf):
         if name != "mixing":
             assert out.columns == docs.columns
         docs = out
+
+
+def test_pipeline_stages_decide_what_their_operators_say(spark, sf):
+    import corpus_pipeline as c
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    stages, ids = dict(c.STAGES), lambda df: {r.doc_id for r in df.select("doc_id").collect()}
+    kept = {n: ids(stages[n](spark, docs, sf)) for n in ("quality", "language", "near_dedup", "decontamination")}
+    q = queries.QUERIES
+    assert kept["quality"] == ids(q["op2_quality_resampling"](spark, sf).where("sampled"))
+    assert kept["decontamination"] == ids(docs) - ids(q["op7_decontamination"](spark, sf))
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    shingles = {i: {tuple(w[j : j + 5]) for j in range(max(len(w) - 4, 1))} if (w := t.encode().lower().split()) else set() for i, t in texts.items()}
+    linked = {(a, b) for a in texts for b in texts if a < b and (both := len(shingles[a] & shingles[b])) and 100 * both >= 80 * len(shingles[a] | shingles[b])}
+    up = {i: i for i in texts}
+    for a, b in sorted(linked):
+        lo, hi = sorted((up[a], up[b]))
+        up = {k: lo if v == hi else v for k, v in up.items()}
+    assert kept["near_dedup"] == {i for i, v in up.items() if i == v}
+    assert len(kept["language"]) > 0.9 * len(texts)
+
+
+def test_pipeline_with_odd_rows(spark, sf):
+    import corpus_pipeline as c
+
+    stages = dict(c.STAGES)
+    clean = spark.read.parquet(f"{sf}/documents.parquet")
+    item = spark.read.parquet(f"{sf}/benchmark.parquet").orderBy(F.desc(F.length("text"))).first().text
+    some = [tuple(r) for r in clean.orderBy("doc_id").limit(20).collect()]
+    fresh = "a text of its own that stands here five or six times over with nothing else"
+    rows = some + [(None, None, None, None, None), (None, "", "en", "web", 0), (None, item, "en", None, 9), (None, fresh, "en", "web", 1), (7_000, fresh, "en", "web", 1), (7_000, fresh, "en", "web", 1), (7_000, "two rows have this key and other words than that one has", "en", "web", 1), (7_001, "word " * 100_000, "en", "x", 1)]
+    docs = spark.createDataFrame(rows, clean.schema).withColumn("number", F.lit(1)).withColumn("_row", F.lit("x")).withColumn("key", F.lit(2)).withColumn("h", F.lit(None).cast("string"))
+    for name, stage in c.STAGES:
+        out = stage(spark, docs, sf).collect()
+        assert 0 < len(out) <= len(rows), name
+        none = stage(spark, docs.limit(0), sf)
+        assert none.count() == 0 and (name == "mixing" or none.columns == c.COLUMNS)
+        if name == "mixing":
+            assert len(out) == len(rows) and all(r.taken <= 2 * r["size"] for r in out)
+    left = stages["decontamination"](spark, docs, sf).collect()
+    assert item not in {r.text for r in left} and len(left) >= len(rows) - 5
+    once = stages["near_dedup"](spark, docs, sf).where(F.col("text") == fresh).collect()
+    assert [r.doc_id for r in once] == [7_000]
+    assert stages["near_dedup"](spark, docs, sf).where("doc_id = 7000").count() == 2
+    assert stages["near_dedup"](spark, docs, sf).where("text is null or text = ''").count() == 2

@@ -317,6 +317,76 @@ def test_toxicity_held_out_and_edges(spark, sf):
     assert f["hits"] == 1 and f["near_second_person"] == 1 and f["obfuscated"] > 0
 
 
+def naive_features(text, words_, stems):
+    """The same features counted plainly, word by word."""
+    import re
+
+    found = re.findall(r"[^\W_]+(?:[@$*.'\u2019_-][^\W_]+)*", text)
+    n, size = max(len(found), 1), max(len(text), 1)
+    bare = []
+    for w in found:
+        w = w.lower()
+        if not w.isalpha() and not w.isdigit():
+            w = "".join(c for c in "".join({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s"}.get(c, c) for c in w) if c.isalnum())
+        bare.append(w)
+    hits = [words_.get(w, 0.0) for w in bare]
+    begins = [max([0.0, *(stems.get(w[:k], 0.0) for k in (4, 5, 6) if len(w) >= k)]) for w in bare]
+    odd = [b != w.lower() and any(c.isalpha() for c in w) and any(c.isdigit() or c in "@$*" for c in w) for b, w in zip(bare, found, strict=True)]
+    second = [w.lower() in toxicity.SECOND_PERSON for w in found]
+    marks = [i for i in range(len(found)) if hits[i]] or [i for i in range(len(found)) if begins[i]]
+    near = sum(any(second[max(i - 5, 0) : i + 6]) for i in marks)
+    letters = sum(c.isalpha() for c in text)
+    return [
+        sum(h > 0 for h in hits), sum(h > 0 for h in hits) / n, sum(hits) / n, max(hits, default=0), sum(b > 0 for b in begins), sum(b > 0 for b in begins) / n, sum(begins) / n, max(begins, default=0), near / max(len(marks), 1),
+        sum(second) / n, sum("A" <= c <= "Z" for c in text) / max(letters, 1), sum(len(w) > 2 and w.isupper() for w in found) / n, text.count("!") / size, sum(c in "!?.,;:*#$%&|" for c in text) / size, sum(odd) / n, len(re.findall(r"(\w)\1\1", text)) / n, np.log(1 + len(found)),
+    ]
+
+
+def test_toxicity_features_match_a_plain_count(spark, sf):
+    lexicon = toxicity.Lexicon({"idiot": 4.0, "fool": 2.5}, {"scum": 3.0, "thath": 2.0})
+    texts = [r[0] for r in connect(sf).execute("select text from documents where length(text) < 4000").fetchall()] + [t or "" for _, t in EDGE] + ["You 1d10t!! SCUMMY f@@l, YOU fooool", "tu eres un fool. " * 40]
+    for t in texts:
+        assert np.allclose(toxicity.features(t, lexicon), naive_features(t, lexicon.words, lexicon.stems)), t[:80]
+
+
+def test_trees_split_where_an_exhaustive_search_does_and_score_as_walked():
+    r = np.random.default_rng(9)
+    x = np.round(r.random((300, 3)) * 8)
+    y = ((x[:, 1] > 4) ^ (r.random(300) < 0.1)).astype(int)
+    t = toxicity.boost(x, y, trees=5, ridge=3.0)
+    p = np.clip(y.mean(), 1e-3, 1 - 1e-3)
+    g, h = y - p, np.full(300, p * (1 - p))
+    worth = lambda m: g[m].sum() ** 2 / (h[m].sum() + 3) + g[~m].sum() ** 2 / (h[~m].sum() + 3)
+    best = max((worth(x[:, j] <= v), j, v) for j in range(3) for v in np.unique(x[:, j])[:-1])
+    j, edge = int(t.feature[0][0]), t.edges[int(t.feature[0][0])][t.cut[0][0]]
+    assert abs(worth(x[:, j] <= edge) - best[0]) < 1e-9
+    for row, raw in zip(x[:50], t.raw(x[:50]), strict=True):
+        total = t.start
+        for f, c, leaf in zip(t.feature, t.cut, t.leaf, strict=True):
+            node = 0
+            for _ in range(3):
+                e = t.edges[f[node]]
+                node = 2 * node + (2 if sum(v < row[f[node]] for v in e) > c[node] else 1)
+            total += leaf[node - 7]
+        assert abs(total - raw) < 1e-9
+
+
+def test_isotonic_matches_min_max_of_means():
+    r = np.random.default_rng(5)
+    x = np.sort(r.normal(size=60))
+    y = (r.random(60) < 1 / (1 + np.exp(-2 * x))).astype(int)
+    v = np.concatenate([[0.0], y, [1.0]])
+    fit = [max(min(v[a : b + 1].mean() for b in range(i, len(v))) for a in range(i + 1)) for i in range(len(v))]
+    at, p = toxicity.isotonic(x, y)
+    assert np.allclose(np.unique(np.round(p, 9)), np.unique(np.round(fit, 9))) and (np.diff(at) >= 0).all()
+
+
+def test_toxicity_lexicon_is_bounded_by_its_parameter(spark, sf):
+    d, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    few = toxicity.fit(d, labels, lexicon_bound=3)
+    assert len(few.words) - len(toxicity.SEED_WORDS) + len(few.stems) <= 3
+
+
 def test_isotonic_rises():
     r = np.random.default_rng(3)
     x = r.normal(size=500)
