@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,9 +25,39 @@ def hit_rates(outcomes: DataFrame, by: str) -> DataFrame:
 
 
 def rate_recurrence(outcomes: DataFrame, key: str, order: str) -> DataFrame:
-    """key and rate under the recurrence rate' = (rate + 1) / 2 on a hit, unchanged on a miss (``parity``: rates from rates, never decaying)."""
-    seq = outcomes.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), "hit"))).alias("s"))
-    return seq.select(key, F.aggregate("s", F.lit(0.0), lambda r, x: F.when(x["hit"], (r + 1) / 2).otherwise(r)).alias("rate"))
+    """key, hit_rate and miss_rate: with total = hit_rate + miss_rate, a hit makes hit_rate (hit_rate total + 1) / (total + 1), a miss miss_rate likewise.
+
+    Each access needs the rates before it, so a key's accesses stream through one task in order, batch by batch; a task
+    holds one batch and two numbers, however many accesses a key has.
+    """
+    kind = outcomes.schema[key].dataType.simpleString()
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, h, m, started = None, 0.0, 0.0, False
+        for t in frames:
+            done = []
+            for k, hit in t.itertuples(index=False):
+                if not started or k != now:
+                    if started:
+                        done.append((now, h, m))
+                    now, h, m, started = k, 0.0, 0.0, True
+                total = h + m
+                if hit:
+                    h = (h * total + 1) / (total + 1)
+                else:
+                    m = (m * total + 1) / (total + 1)
+            yield pd.DataFrame(done, columns=[key, "hit_rate", "miss_rate"])
+        if started:
+            yield pd.DataFrame([(now, h, m)], columns=[key, "hit_rate", "miss_rate"])
+
+    ordered = outcomes.where(F.col(key).isNotNull()).repartition(key).sortWithinPartitions(key, order)
+    return ordered.select(key, "hit").mapInPandas(run, f"`{key}` {kind}, hit_rate double, miss_rate double")
+
+
+def evictions_by_policy(entries: DataFrame, policy: str, now_ms: int, ttl_ms: int, threshold: float = 0.3) -> DataFrame:
+    """Entries (key, relevance, last_ms, accesses) that the policy lets go; the mean of the accesses is one aggregation."""
+    mean = F.broadcast(entries.agg(F.avg("accesses").alias("_mean")))
+    return entries.join(mean).where(S.evictable(policy, F.lit(now_ms) - F.col("last_ms"), F.col("accesses"), F.col("_mean"), F.col("relevance"), ttl_ms, threshold)).drop("_mean")
 
 
 def scored(entries: DataFrame, now_ms: int, ttl_ms: int) -> DataFrame:
@@ -50,11 +83,25 @@ def evict_until(scored_: DataFrame, target: int, group: str | None = None) -> Da
     return j.where(F.col("_before") < target).drop("_b", "_start", "_before")
 
 
-def bottom_share(scored_: DataFrame, share: float = 0.2, parity: bool = False) -> DataFrame:
-    """The floor(share * n) lowest entries; under ``parity`` all of them where that is 0."""
-    n = scored_.count()
+def bottom_share(scored_: DataFrame, share: float = 0.2, capacity: int | None = None, full: float = 0.8, parity: bool = False) -> DataFrame:
+    """The floor(share * n) lowest entries; none while the sizes stay within ``full`` of the capacity, if one is given.
+
+    Entries are counted by ranges of the score and ranked only inside the range where the cut lies. Under ``parity`` all
+    entries go where the floor is 0.
+    """
+    n, used = scored_.agg(F.count("*"), F.sum("size") if "size" in scored_.columns else F.lit(0)).first()
+    if capacity is not None and (used or 0) <= full * capacity:
+        return scored_.limit(0)
     k = int(share * n)
-    return scored_.orderBy("score", "key").limit(n if parity and k == 0 else k)
+    if parity and k == 0:
+        return scored_
+    binned = scored_.withColumn("_b", F.floor(F.col("score") * 4096).cast("int"))
+    sums = binned.groupBy("_b").count().withColumn("_start", F.sum("count").over(Window.orderBy("_b")) - F.col("count"))
+    w = Window.partitionBy("_b").orderBy("score", "key")
+    whole = binned.join(F.broadcast(sums.where(F.col("_start") + F.col("count") <= k).select("_b")), "_b", "left_semi")
+    cut = binned.join(F.broadcast(sums.where((F.col("_start") < k) & (F.col("_start") + F.col("count") > k)).select("_b", "_start")), "_b")
+    part = cut.where(F.lit(k) > 0).withColumn("_r", F.row_number().over(w)).where(F.col("_start") + F.col("_r") <= k)
+    return whole.select(*scored_.columns).union(part.select(*scored_.columns))
 
 
 def best_context(entries: DataFrame, now_ms: int, limit: int = 1) -> DataFrame:

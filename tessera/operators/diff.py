@@ -2,18 +2,27 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def _next_row(before: np.ndarray, line: int, y: np.ndarray) -> np.ndarray:
+    row = np.zeros_like(before)
+    row[1:] = np.maximum.accumulate(np.where(y == line, before[:-1] + 1, before[1:]))
+    return row
+
+
 def diff_ops(old: str, new: str) -> list[tuple[str, int | None, int | None, str]]:
     """Operations (op, old line, new line, text) of the line diff; where both directions keep the longest common subsequence, added lines come later.
 
-    Common first and last lines are taken off before the table is made.
+    Common first lines are taken off. Of the table only every k-th row is kept, k the square root of its rows; the rows
+    between are made again on the way back, so m by n lines take n * sqrt(m) cells.
     """
     a, b = old.split("\n"), new.split("\n")
     names: dict[str, int] = {}
@@ -22,22 +31,29 @@ def diff_ops(old: str, new: str) -> list[tuple[str, int | None, int | None, str]
     head = 0
     while head < min(len(x), len(y)) and x[head] == y[head]:
         head += 1
-    m, n = len(x) - head, len(y) - head
-    table = np.zeros((m + 1, n + 1), np.int32)
+    x, y = x[head:], y[head:]
+    m, step = len(x), max(1, math.isqrt(len(x)))
+    row = np.zeros(len(y) + 1, np.int32)
+    kept = [row]
     for i in range(1, m + 1):
-        best = np.where(y[head:] == x[head + i - 1], table[i - 1, :-1] + 1, table[i - 1, 1:])
-        table[i, 1:] = np.maximum.accumulate(best)
-    out, i, j = [], m, n
-    while i or j:
-        if i and j and x[head + i - 1] == y[head + j - 1]:
-            i, j = i - 1, j - 1
-            out.append(("unchanged", head + i + 1, head + j + 1, a[head + i]))
-        elif j and (not i or table[i, j - 1] >= table[i - 1, j]):
-            j -= 1
-            out.append(("added", None, head + j + 1, b[head + j]))
-        else:
-            i -= 1
-            out.append(("removed", head + i + 1, None, a[head + i]))
+        row = _next_row(row, x[i - 1], y)
+        if i % step == 0:
+            kept.append(row)
+    out, i, j = [], m, len(y)
+    for block in range(len(kept) - 1, -1, -1):
+        low, table = block * step, [kept[block]]
+        for k in range(low + 1, min(low + step, m) + 1):
+            table.append(_next_row(table[-1], x[k - 1], y))
+        while (i > low) or (low == 0 and j > 0):
+            if i and j and x[i - 1] == y[j - 1]:
+                i, j = i - 1, j - 1
+                out.append(("unchanged", head + i + 1, head + j + 1, a[head + i]))
+            elif j and (not i or table[i - low][j - 1] >= table[i - 1 - low][j]):
+                j -= 1
+                out.append(("added", None, head + j + 1, b[head + j]))
+            else:
+                i -= 1
+                out.append(("removed", head + i + 1, None, a[head + i]))
     return [("unchanged", k + 1, k + 1, a[k]) for k in range(head)] + out[::-1]
 
 
@@ -82,9 +98,9 @@ def diff_stats(h: DataFrame, key: str) -> DataFrame:
 
 
 def summary(added: Column, removed: Column, modified: Column) -> Column:
-    """``1 line added, 2 lines removed``; ``No changes detected`` for none."""
-    part = lambda n, what: F.when(n > 0, F.concat(n.cast("string"), F.when(n == 1, F.lit(" line ")).otherwise(" lines "), F.lit(what)))
-    text = F.concat_ws(", ", part(added, "added"), part(removed, "removed"), part(modified, "modified"))
+    """``1 addition, 2 deletions, 1 modification``; ``No changes detected`` for none."""
+    part = lambda n, what: F.when(n > 0, F.concat(n.cast("string"), F.lit(f" {what}"), F.when(n == 1, F.lit("")).otherwise("s")))
+    text = F.concat_ws(", ", part(added, "addition"), part(removed, "deletion"), part(modified, "modification"))
     return F.when(text == "", "No changes detected").otherwise(text)
 
 
@@ -119,6 +135,20 @@ def apply_hunks(text: str, changes: list[dict], parity: bool = False) -> str:
     return "\n".join(out + lines[at - 1 :])
 
 
+def apply_all(texts: DataFrame, h: DataFrame, key: str, text: str = "old") -> DataFrame:
+    """key and text: each text with its hunks (as of ``hunks``) applied in order; a text without hunks stays. A row holds one text and its hunks."""
+    kind = texts.schema[key].dataType.simpleString()
+    fields = ["hunk", "type", "old_start", "old_end", "new_start", "new_end", "content"]
+    per = h.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("_hunks"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = [apply_hunks(x or "", changes or []) for x, changes in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made, pa.string())], names=[key, "text"])
+
+    return texts.select(key, F.col(text).alias("_text")).join(per, key, "left").mapInArrow(run, f"`{key}` {kind}, text string")
+
+
 def update_text(changes: DataFrame, key: str) -> DataFrame:
     """key and text: ``// REMOVE`` or ``// UPDATE symbol at line n`` with the code, joined by an empty line, in symbol order."""
     verb = F.when(F.col("change") == "removed", "REMOVE").otherwise("UPDATE")

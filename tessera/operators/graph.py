@@ -95,3 +95,45 @@ def change_impact(edges: DataFrame, changed: DataFrame, settle: Callable[[DataFr
     back = closure(edges.select(F.col(dst).alias("src"), F.col(src).alias("dst")), settle, seeds=changed)
     n = back.groupBy("src").agg(F.sum((F.col("depth") == 1).cast("long")).alias("direct"), F.sum((F.col("depth") > 1).cast("long")).alias("indirect"))
     return changed.select("src").distinct().join(n, "src", "left").fillna(0).withColumnRenamed("src", "node")
+
+
+def strong_components(edges: DataFrame, settle: Callable[[DataFrame], DataFrame], src: str = "src", dst: str = "dst", max_rounds: int = 200) -> DataFrame:
+    """(node, component) of the nodes on a cycle; component is the smallest node of the strongly connected component.
+
+    Nodes without an edge in or out are taken off until none is left; the smallest node that reaches each node is its
+    label, and what leads back to a label's own node inside the label is a component. Then the same for the rest.
+    """
+    e = settle(edges.select(F.col(src).alias("src"), F.col(dst).alias("dst")).distinct())
+    found = settle(e.where("src = dst").select(F.col("src").alias("node"), F.col("src").alias("component")))
+    e = e.where("src <> dst")
+    for _ in range(max_rounds):
+        n = None
+        while True:
+            e = settle(e.join(e.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(e.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
+            now = e.count()
+            if now == n:
+                break
+            n = now
+        if not n:
+            # a node with a loop of its own may be in a larger component as well
+            return found.groupBy("node").agg(F.min("component").alias("component"))
+        label = settle(e.select(F.col("src").alias("node")).distinct().withColumn("label", F.col("node")))
+        while True:
+            near = e.join(label.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.min("label").alias("near"))
+            new = settle(label.join(near, "node", "left").select("node", F.least("label", F.coalesce("near", "label")).alias("label")))
+            moved = not new.join(label.withColumnRenamed("label", "old"), "node").where("label <> old").isEmpty()
+            label = new
+            if not moved:
+                break
+        inner = settle(e.join(label.withColumnRenamed("node", "src"), "src").join(label.select(F.col("node").alias("dst"), F.col("label").alias("to")), "dst").where("label = to").select("src", "dst", "label"))
+        part = settle(label.where("node = label"))
+        front = part
+        while not front.isEmpty():
+            back = inner.join(front.select(F.col("node").alias("dst"), "label"), ["dst", "label"]).select(F.col("src").alias("node"), "label").distinct()
+            front = settle(back.join(part.select("node"), "node", "left_anti"))
+            part = settle(part.union(front))
+        several = part.groupBy("label").count().where("count > 1").select("label")
+        found = settle(found.union(part.join(several, "label", "left_semi").select("node", F.col("label").alias("component"))))
+        gone = part.select("node")
+        e = e.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst")
+    raise RuntimeError(f"strong_components did not end in {max_rounds} rounds")

@@ -42,19 +42,113 @@ def distinct_in_order(df: DataFrame, group: list[str], value: str, order: str) -
 def suggest_imports(symbols: DataFrame, packages: DataFrame, threshold: float = 0.6) -> DataFrame:
     """symbol, package, confidence of the pairs of names that are similar enough.
 
-    The similarity bounds the difference of the lengths, so pairs meet by an equi-join on the length (each package is sent
-    to the lengths it can match) and never as a whole product.
+    Two names of lengths a and b are similar at edit distance d with d < (1 - threshold) * max(a, b). Each name is cut
+    into D + 1 pieces of fixed places and near-equal sizes, D the largest distance that its length allows; an edit touches
+    one piece at most, so one piece of the shorter or equal name stands in the longer within D places of its own. Pairs
+    meet by an equi-join on (length, piece number, its place, text), so two names meet only where they share a piece, and
+    the edit distance is computed for those. Names too short for their distance (D pieces would be empty) meet by length.
     """
-    s = symbols.select("symbol", F.lower("symbol").alias("a")).withColumn("len", F.length("a"))
-    p = packages.select("package", F.lower("package").alias("b")).withColumn("lb", F.length("b"))
+    s = symbols.select("symbol", F.lower("symbol").alias("a")).withColumn("la", F.length("a")).where("la > 0")
+    p = packages.select("package", F.lower("package").alias("b")).withColumn("lb", F.length("b")).where("lb > 0")
+    # the lengths of symbols that a package can match, and the distance allowed for each pair of lengths
+    most = lambda n: F.greatest(F.ceil((1 - threshold) * n - 1e-9) - 1, F.lit(0)).cast("int")
     low, high = F.floor(F.col("lb") * threshold) + 1, F.ceil(F.col("lb") / threshold) - 1
-    p = p.where(low <= high).withColumn("len", F.explode(F.sequence(low.cast("int"), high.cast("int"))))
-    sim = S.name_similarity("a", "b")
-    return s.join(p, "len").withColumn("confidence", sim).where(F.col("confidence") > threshold).select("symbol", "package", "confidence")
+    p = p.where(low <= high).withColumn("la", F.explode(F.sequence(low.cast("int"), high.cast("int"))))
+    p = p.withColumn("d", most(F.greatest("la", "lb"))).where(F.abs(F.col("la") - F.col("lb")) <= F.col("d"))
+    sims = lambda df: df.withColumn("confidence", S.name_similarity("a", "b")).where(F.col("confidence") > threshold).select("symbol", "package", "confidence")
+    short = p.where("la <= d")
+    by_length = s.join(short.select("package", "b", "la"), "la")
+    # pieces are of the symbol: piece i of d + 1 begins at la * i / (d + 1); in the package it may stand up to d places off
+    long = p.where("la > d")
+    edge = lambda i: F.floor(F.col("la") * i / (F.col("d") + 1)).cast("int")
+    wanted = long.select("la", "d").distinct()
+    pieces = s.join(F.broadcast(wanted), "la").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("d"))))
+    pieces = pieces.select("symbol", "a", "la", "d", "i", F.substring(F.col("a"), edge(F.col("i")) + 1, edge(F.col("i") + 1) - edge(F.col("i"))).alias("piece"))
+    at = F.explode(F.sequence(F.greatest(edge(F.col("i")) - F.col("d"), F.lit(0)), F.least(edge(F.col("i")) + F.col("d"), F.col("lb"))))
+    offered = long.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("d")))).withColumn("at", at)
+    offered = offered.select("package", "b", "la", "d", "i", F.substring(F.col("b"), F.col("at") + 1, edge(F.col("i") + 1) - edge(F.col("i"))).alias("piece")).distinct()
+    by_piece = pieces.join(offered, ["la", "d", "i", "piece"]).select("symbol", "a", "package", "b").distinct()
+    return sims(by_length.select("symbol", "a", "package", "b").union(by_piece))
+
+
+def cross_references(definitions: DataFrame, references: DataFrame) -> DataFrame:
+    """definitions (symbol, file, ...; one row per symbol, the last file of several) with usage_count, file_count (files of the definition and the uses) and best_file, n_best: the file with most uses (ties to the smaller)."""
+    others = [c for c in definitions.columns if c != "symbol"]
+    d = definitions.groupBy("symbol").agg(F.max(F.struct("file", *[c for c in others if c != "file"])).alias("m")).select("symbol", *[F.col(f"m.{c}").alias(c) for c in others])
+    per = references.groupBy("symbol", F.col("file").alias("_f")).agg(F.count("*").alias("_n"))
+    per = per.join(d.select("symbol", "file"), "symbol")
+    uses = per.groupBy("symbol").agg(F.sum("_n").alias("usage_count"), (F.count("*") + 1 - F.max((F.col("_f") == F.col("file")).cast("int"))).alias("file_count"), F.min(F.struct((-F.col("_n")).alias("neg"), F.col("_f").alias("best_file"))).alias("b"))
+    u = uses.select("symbol", "usage_count", "file_count", "b.best_file", (-F.col("b.neg")).alias("n_best"))
+    return d.join(u, "symbol", "left").withColumns({"usage_count": F.coalesce("usage_count", F.lit(0).cast("long")), "file_count": F.coalesce("file_count", F.lit(1).cast("long"))})
+
+
+def usage_summary(crossed: DataFrame) -> DataFrame:
+    """One row: total_symbols, total_references, mean_references, unused, public_used and cross_file symbols."""
+    n = lambda c: F.sum(c.cast("long"))
+    return crossed.agg(F.count("*").alias("total_symbols"), F.sum("usage_count").alias("total_references"), F.avg("usage_count").alias("mean_references"), n(F.col("usage_count") == 0).alias("unused"), n(F.col("is_public")).alias("public_api"), n(F.col("file_count") > 1).alias("cross_file"))
+
+
+def opportunities(crossed: DataFrame, duplicated: Column | None = None) -> DataFrame:
+    """symbol, file, type, impact, effort, description: what could be done about a symbol, one row each.
+
+    crossed as of ``cross_references`` with kind, line_count and is_public. Whether a symbol repeats code is not told by the
+    tables; ``duplicated`` may say so.
+    """
+    c, used = F.col, F.col("usage_count")
+    rules = [
+        ("extract_method", (used > 3) & (duplicated if duplicated is not None else F.lit(False)), "medium", 2.0, "Extract repeated code pattern into a reusable method"),
+        ("inline_method", (used == 1) & (c("kind") == "function") & (c("line_count") <= 5), "low", 0.5, "Inline simple method that's only used once"),
+        ("remove_unused", (used == 0) & ~c("is_public"), "low", 0.25, "Remove unused symbol"),
+        ("move_method", (c("file_count") > 1) & (c("best_file") != c("file")), "medium", 1.5, "Move method to class where it's most used"),
+        ("rename_symbol", S.confusing(c("name") if "name" in crossed.columns else c("symbol").cast("string")), "low", 1.0, "Rename symbol to be more descriptive"),
+    ]
+    one = lambda t, cond, impact, effort, text: F.when(cond, F.struct(F.lit(t).alias("type"), F.lit(impact).alias("impact"), F.lit(effort).alias("effort"), F.lit(text).alias("description")))
+    return crossed.select("symbol", "file", F.explode(F.array_compact(F.array(*[one(*r) for r in rules]))).alias("o")).select("symbol", "file", "o.*")
+
+
+def ranked_opportunities(found: DataFrame) -> DataFrame:
+    """Opportunities by impact (high first) and effort (low first)."""
+    order = F.when(F.col("impact") == "high", 3).when(F.col("impact") == "medium", 2).otherwise(1)
+    return found.orderBy(F.desc(order), "effort", "symbol", "type")
+
+
+def hotspots(crossed: DataFrame, change: Column, complexity: Column, least: float = 0.7) -> DataFrame:
+    """symbol, file, risk, advice (array) of the symbols whose risk is above ``least``."""
+    risk = S.hotspot_risk("usage_count", change, complexity)
+    h = crossed.withColumns({"risk": risk, "advice": S.hotspot_advice(F.col("usage_count"), change, complexity, F.col("file_count"))})
+    return h.where(F.col("risk") > least).select("symbol", "file", "risk", "advice")
+
+
+def symbol_dependents(references: DataFrame, spans: DataFrame, width: int = 64) -> DataFrame:
+    """symbol, dependent: the symbols whose lines hold a use or call of the symbol (references: symbol, file, line, type; spans: file, name, start_line, end_line, pos). Of several spans the first in the file counts."""
+    used = references.where(F.col("type").isin("usage", "call")).select("symbol", "file", "line").distinct().withColumn("point_id", F.xxhash64("symbol", "file", "line"))
+    inside = containing(used, spans, ["file"], "line", "start_line", "end_line", F.col("pos"), width)
+    return inside.where("name is not null").select("symbol", F.col("name").alias("dependent")).distinct()
+
+
+def parents(relations: DataFrame) -> DataFrame:
+    """child, parent of every inheritance or implementation (children of a symbol are the same rows read the other way)."""
+    return relations.where(F.col("type").isin("extends", "implements")).select(F.col("src").alias("child"), F.col("dst").alias("parent")).distinct()
+
+
+def merged_relations(relations: DataFrame) -> DataFrame:
+    """src and its relations over all files, as an array of (type, dst, file) in order. For display: one symbol's relations are one row."""
+    return relations.groupBy("src").agg(F.array_sort(F.collect_list(F.struct("type", "dst", "file"))).alias("relations"))
+
+
+def symbol_info(wanted: DataFrame, symbols: DataFrame) -> DataFrame:
+    """wanted (symbol, file) with the columns of the symbol of that name in that file; null where there is none."""
+    return wanted.join(symbols.withColumnRenamed("name", "symbol"), ["symbol", "file"], "left")
+
+
+def present(codes: DataFrame, names: DataFrame) -> DataFrame:
+    """key, symbol: the names (one column ``symbol``) that stand as words in a code (key, code)."""
+    word = codes.select("key", F.explode(F.array_distinct(F.regexp_extract_all("code", F.lit(r"[A-Za-z_$][\w$]*"), F.lit(0)))).alias("symbol"))
+    return word.join(names.select("symbol").distinct(), "symbol", "left_semi").select("key", "symbol")
 
 
 def usage_metrics(definitions: DataFrame, references: DataFrame) -> DataFrame:
-    """symbol, usage_count, file_count, average over all symbols, and the rank from the most used down."""
+    """symbol, usage_count, file_count (of the uses), average over all symbols."""
     uses = references.groupBy("symbol").agg(F.count("*").alias("usage_count"), F.count_distinct("file").alias("file_count"))
     both = definitions.select("symbol").join(uses, "symbol", "left").fillna(0, ["usage_count", "file_count"])
     mean = both.agg(F.avg("usage_count").alias("average_usage"))
@@ -85,9 +179,20 @@ def move_candidates(definitions: DataFrame, references: DataFrame) -> DataFrame:
 
 
 def coupling_ca_ce(edges: DataFrame) -> DataFrame:
-    """node, ca (in), ce (out), instability = ce / (ca + ce)."""
+    """node, ca (in), ce (out), instability = ce / (ca + ce), over distinct neighbours."""
     out = edges.groupBy(F.col("src").alias("node")).agg(F.count_distinct("dst").alias("ce"))
     inc = edges.groupBy(F.col("dst").alias("node")).agg(F.count_distinct("src").alias("ca"))
+    return _instability(out, inc)
+
+
+def relation_counts(relations: DataFrame) -> DataFrame:
+    """node, ca, ce, instability over the relations themselves: two relations with one neighbour count twice."""
+    out = relations.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("ce"))
+    inc = relations.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("ca"))
+    return _instability(out, inc)
+
+
+def _instability(out: DataFrame, inc: DataFrame) -> DataFrame:
     both = out.join(inc, "node", "full_outer").fillna(0, ["ce", "ca"])
     total = F.col("ca") + F.col("ce")
     return both.select("node", "ca", "ce", F.when(total > 0, F.col("ce") / total).otherwise(0.0).alias("instability"))
@@ -135,13 +240,18 @@ def containing(points: DataFrame, intervals: DataFrame, keys: list[str], at: str
     return points.join(first, point_id, "left")
 
 
-def symbol_search(symbols: DataFrame, term: str, kind: str | None = None, related: DataFrame | None = None, limit: int = 20) -> DataFrame:
-    """Symbols by score: exact name 100, part of the name 50, kind 20, 10 for each related row; ties to the smaller key."""
-    low = F.lower("name")
-    score = F.when(low == term.lower(), 100).when(low.contains(term.lower()), 50).otherwise(0) + F.when(F.col("kind") == kind, 20).otherwise(0)
-    s = symbols.withColumn("score", score)
-    if related is not None:
-        s = s.join(related.groupBy("key").agg(F.count("*").alias("_n")), "key", "left").withColumn("score", F.col("score") + 10 * F.coalesce("_n", F.lit(0))).drop("_n")
+def symbol_search(symbols: DataFrame, term: str, relations: DataFrame | None = None, limit: int = 20) -> DataFrame:
+    """Symbols by score and reasons: exact name 100, part of the name 50; 20 for a function or class where the query names its kind; 10 for each relation (key, dst) whose target holds the query. Ties to the smaller key."""
+    low, query = F.lower("name"), term.lower()
+    name = F.when(low == query, 100).when(low.contains(query), 50).otherwise(0)
+    named = [k for k in ("function", "class") if k in query]
+    kind = F.when(F.col("kind").isin(named), 20).otherwise(0) if named else F.lit(0)
+    s = symbols.withColumn("_n", F.lit(0))
+    if relations is not None:
+        hit = relations.where(F.lower(F.col("dst").cast("string")).contains(query)).groupBy("key").agg(F.count("*").alias("_n"))
+        s = symbols.join(hit, "key", "left").withColumn("_n", F.coalesce("_n", F.lit(0)))
+    reason = F.concat_ws(", ", F.when(name == 100, "exact name match").when(name == 50, "partial name match"), F.when(kind > 0, "type match"), F.when(F.col("_n") > 0, F.concat(F.lit("related to "), F.col("_n").cast("string"))))
+    s = s.withColumn("score", (name + kind + 10 * F.col("_n")).cast("long")).withColumn("reason", reason).drop("_n")
     return s.where("score > 0").orderBy(F.desc("score"), "key").limit(limit)
 
 
@@ -156,14 +266,15 @@ def confusion(df: DataFrame, actual: str, predicted: str) -> DataFrame:
 
 
 def macro_scores(df: DataFrame, actual: str, predicted: str) -> DataFrame:
-    """accuracy, precision, recall, f1: macro over the classes predicted at least once."""
+    """accuracy, precision, recall, f1: sums over the classes divided by the number of classes that are predicted at least once; f1 is of the two means."""
     c = confusion(df, actual, predicted)
     p = c.groupBy(F.col(predicted).alias("c")).agg(F.sum("n").alias("said"), F.sum(F.when(F.col(actual) == F.col(predicted), F.col("n")).otherwise(0)).alias("hit"))
     a = c.groupBy(F.col(actual).alias("c")).agg(F.sum("n").alias("there"))
-    m = p.join(a, "c", "left").fillna(0, ["there"])
-    precision, recall = F.col("hit") / F.col("said"), F.when(F.col("there") > 0, F.col("hit") / F.col("there")).otherwise(0.0)
-    f1 = F.when(precision + recall > 0, 2 * precision * recall / (precision + recall)).otherwise(0.0)
-    return m.agg((F.sum("hit") / F.sum("said")).alias("accuracy"), F.avg(precision).alias("precision"), F.avg(recall).alias("recall"), F.avg(f1).alias("f1"))
+    m = p.join(a, "c", "full_outer").fillna(0, ["said", "hit", "there"])
+    part = lambda n: F.sum(F.when(F.col(n) > 0, F.col("hit") / F.col(n)).otherwise(0.0)) / F.sum((F.col("said") > 0).cast("int"))
+    t = m.agg((F.sum("hit") / F.sum("said")).alias("accuracy"), part("said").alias("precision"), part("there").alias("recall"))
+    both = F.col("precision") + F.col("recall")
+    return t.withColumn("f1", F.when(both > 0, 2 * F.col("precision") * F.col("recall") / both).otherwise(0.0))
 
 
 def ranking_scores(df: DataFrame, group: str, relevant: str, score: str, key: str, k: int = 10) -> DataFrame:

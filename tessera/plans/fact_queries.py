@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import scalars as S
@@ -13,18 +13,52 @@ from tessera.sources import facts
 
 _REL = facts.RELATIONSHIPS_SQL
 _IMP = facts.PAGE_IMPORTS_SQL
-_DEFS = "select p_partkey symbol, p_type kind, p_size % 7 as file, p_type = 'PROMO' as is_public from part"
-_REFS = "select l_partkey symbol, l_suppkey % 7 as file, l_linenumber line from lineitem where l_quantity >= 45"
+#: Every order is a symbol, every item of an order a use of it.
+_DEFS = """select o_orderkey symbol, case o_orderkey % 5 when 0 then 'data' || o_orderkey when 1 then 'x' when 2 then 'temp_' || o_orderkey else 'order' || o_orderkey end as name, case o_orderstatus when 'F' then 'function' when 'O' then 'class' else 'variable' end kind,
+  (o_custkey % 29)::int as file, o_orderkey % 4 = 0 as is_public, (o_custkey % 13)::int line_count from orders"""
+_REFS = "select l_orderkey symbol, (l_suppkey % 29)::int as file, l_linenumber line from lineitem"
+_CROSSED = f"""d as ({_DEFS}), r as ({_REFS}), pf as (select symbol, file, count(*) n from r group by all), bf as (select symbol, file best_file, row_number() over (partition by symbol order by n desc, file) k from pf),
+x as (select d.*, coalesce((select count(*) from r where r.symbol = d.symbol), 0) usage_count, 1 + coalesce((select count(*) from pf where pf.symbol = d.symbol and pf.file <> d.file), 0) file_count, best_file from d left join bf on bf.symbol = d.symbol and k = 1)"""
+#: Parts as named symbols of many kinds of names, for the features of names.
+_SYM = """sym as (select p_partkey as key, case p_partkey % 8 when 0 then replace(p_name, ' ', '_') || 'Manager' when 1 then replace(p_name, ' ', '_') || '_user_update' when 2 then replace(p_name, ' ', '') || 'Factory' when 3 then 'getHttpToken' || p_size when 4 then 'API' when 5 then 'MAX_ORDER_TABLE' when 6 then 'legacyDataList' else 'handle-eventStream' end as name,
+  case when p_partkey % 8 = 5 and p_size % 2 = 0 then 'constant' when p_type = 'PROMO' then 'interface' when p_type = 'LARGE' then 'class' when p_type = 'SMALL' then 'function' else 'variable' end kind,
+  case p_size % 4 when 0 then '/src/core/x.ts' when 1 then '/src/test/x.ts' when 2 then '/src/util/x.ts' else '/app/main/x.ts' end file_path, p_size * 4 as line_count, (p_partkey % 23)::int as dependencies, p_type = 'PROMO' as exported, (p_partkey % 7)::int fan_in, (p_partkey % 130)::int usage_count, 0.25::double test_coverage, 0 usage_spread from part)"""
+#: The features that the composites are made of, by the rules alone.
+_FEATURES = _SYM + """, tok as (select *, list_filter(string_split_regex(lower(regexp_replace(regexp_replace(name, '([a-z])([A-Z])', '\\1 \\2', 'g'), '[_-]', ' ', 'g')), '\\s+'), lambda t: len(t) > 0) t, greatest(1, line_count // 10) cc from sym),
+term as (select *, list_filter(t, lambda w: w in ('api', 'http', 'json', 'xml', 'sql', 'database', 'cache', 'queue', 'thread', 'async', 'sync', 'promise', 'callback', 'event', 'stream', 'buffer', 'socket', 'connection', 'session', 'token', 'auth', 'oauth', 'encryption', 'hash', 'algorithm', 'data', 'model', 'view', 'controller', 'service', 'repository', 'factory', 'builder', 'adapter', 'proxy', 'decorator', 'observer', 'strategy', 'command', 'state', 'visitor')) technical,
+  list_filter(t, lambda w: w in ('html', 'css', 'dom', 'browser', 'client', 'server', 'request', 'response', 'table', 'column', 'row', 'index', 'query', 'transaction', 'schema', 'authentication', 'authorization', 'permission', 'role', 'user', 'password', 'order', 'customer', 'product', 'invoice', 'payment', 'account', 'button', 'form', 'input', 'dialog', 'menu', 'layout', 'component')) as domain,
+  list_filter(t, lambda w: regexp_matches(w, 'data|info|list|map|set|array|object|item')) nouns, list_filter(t, lambda w: regexp_matches(w, '^(get|set|create|delete|update|find|search|process|handle)')) verbs,
+  case kind when 'function' then regexp_full_match(name, '[a-z][a-zA-Z0-9]*') when 'variable' then regexp_full_match(name, '[a-z][a-zA-Z0-9]*') when 'class' then regexp_full_match(name, '[A-Z][a-zA-Z0-9]*') when 'constant' then regexp_full_match(name, '[A-Z][A-Z0-9_]*') else true end naming, regexp_full_match(name, '[A-Z]{1,5}') acronym from tok),
+feat as (select *, greatest(0, 100 - line_count * 0.5 - cc * 2) mi, case when line_count > 100 then 0.3 else 0.1 end debt, case when fan_in + dependencies > 0 then dependencies / (fan_in + dependencies)::double else 0 end instability, case when exported then 0.8 else 0.3 end doc, greatest(0, 1 - dependencies / 20.0 - line_count / 200.0) focus, case when len(verbs) > 0 then 0.8 else 0.4 end clarity,
+  case when regexp_matches(lower(name), 'delete|remove|clear|reset|modify|update') then 0.7 else 0.2 end side, case when regexp_matches(lower(name), 'legacy|old|deprecated|obsolete') then 0.9 else 0.1 end dep,
+  least(1, case when len(t) > 1 then 0.3 else 0 end + case when len(technical) > 0 then 0.2 else 0 end + case when len(verbs) > 0 then 0.2 else 0 end + case when naming then 0.2 else 0 end + case when not acronym then 0.1 else 0 end) text from term),
+comp as (select *, 0.3 * text + 0.2 * mi / 100 + 0.2 * case when contains(file_path, 'core') and not contains(file_path, 'test') then 0.8 else 0.5 end + 0.15 * least(1, usage_count / 100.0) + 0.15 * clarity relevance, (mi / 100 + test_coverage + doc + 0.7 + focus) / 5 quality, ((1 - cc / 20.0) + (1 - instability) + 0.7 + clarity) / 4 upkeep, (debt + side + dep + instability) / 4 risk from feat)"""
 
 
 def _definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = facts.table(spark, sf_dir, "part")
-    return p.select(F.col("p_partkey").alias("symbol"), F.col("p_type").alias("kind"), (F.col("p_size") % 7).alias("file"), (F.col("p_type") == "PROMO").alias("is_public"))
+    k, status = F.col("o_orderkey"), F.col("o_orderstatus")
+    name = F.when(k % 5 == 0, F.concat(F.lit("data"), k.cast("string"))).when(k % 5 == 1, "x").when(k % 5 == 2, F.concat(F.lit("temp_"), k.cast("string"))).otherwise(F.concat(F.lit("order"), k.cast("string")))
+    kind = F.when(status == "F", "function").when(status == "O", "class").otherwise("variable")
+    return facts.table(spark, sf_dir, "orders").select(k.alias("symbol"), name.alias("name"), kind.alias("kind"), (F.col("o_custkey") % 29).cast("int").alias("file"), (k % 4 == 0).alias("is_public"), (F.col("o_custkey") % 13).cast("int").alias("line_count"))
 
 
 def _references(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = facts.table(spark, sf_dir, "lineitem").where("l_quantity >= 45")
-    return li.select(F.col("l_partkey").alias("symbol"), (F.col("l_suppkey") % 7).cast("int").alias("file"), F.col("l_linenumber").alias("line"))
+    li = facts.table(spark, sf_dir, "lineitem")
+    return li.select(F.col("l_orderkey").alias("symbol"), (F.col("l_suppkey") % 29).cast("int").alias("file"), F.col("l_linenumber").alias("line"))
+
+
+def _crossed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relational.cross_references(_definitions(spark, sf_dir), _references(spark, sf_dir))
+
+
+def _symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = facts.table(spark, sf_dir, "part")
+    k, size, kind, n = F.col("p_partkey"), F.col("p_size"), F.col("p_type"), F.col("p_name")
+    name = F.when(k % 8 == 0, F.concat(F.replace(n, F.lit(" "), F.lit("_")), F.lit("Manager"))).when(k % 8 == 1, F.concat(F.replace(n, F.lit(" "), F.lit("_")), F.lit("_user_update"))).when(k % 8 == 2, F.concat(F.replace(n, F.lit(" "), F.lit("")), F.lit("Factory")))
+    name = name.when(k % 8 == 3, F.concat(F.lit("getHttpToken"), size.cast("string"))).when(k % 8 == 4, "API").when(k % 8 == 5, "MAX_ORDER_TABLE").when(k % 8 == 6, "legacyDataList").otherwise("handle-eventStream")
+    what = F.when((k % 8 == 5) & (size % 2 == 0), "constant").when(kind == "PROMO", "interface").when(kind == "LARGE", "class").when(kind == "SMALL", "function").otherwise("variable")
+    path = F.when(size % 4 == 0, "/src/core/x.ts").when(size % 4 == 1, "/src/test/x.ts").when(size % 4 == 2, "/src/util/x.ts").otherwise("/app/main/x.ts")
+    return p.select(k.alias("key"), name.alias("name"), what.alias("kind"), path.alias("file_path"), (size * 4).alias("line_count"), (k % 23).cast("int").alias("dependencies"), (kind == "PROMO").alias("exported"), (k % 7).cast("int").alias("fan_in"), (k % 130).cast("int").alias("usage_count"), F.lit(0.25).alias("test_coverage"))
 
 
 @query(f"with i as ({_IMP}), used as (select distinct '/' || unnest(string_split(text, ' ')) symbol from benchmark) select page_id, pos, target from i where target in (select symbol from used)")
@@ -94,14 +128,21 @@ def pair_coupling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("a", "b", F.round("coupling", 6).alias("coupling"))
 
 
-@query(f"""with r as (select src, dst, case type when 'A' then 'contains' when 'N' then 'uses' else 'calls' end as type from ({_REL})), n as (select symbol dst, count(*) n from ({_REFS}) group by 1)
+@query(f"""with r as (select src, dst, case type when 'A' then 'contains' when 'N' then 'uses' else 'calls' end as type from ({_REL})), n as (select l_partkey dst, count(*) // 8 n from lineitem group by 1)
 select src, dst, type, round(least(case type when 'contains' then 0.9 when 'uses' then 0.6 else 0.4 end * least(coalesce(n, 0) / 5.0, 1.5), 1.0), 6)::double strength from r left join n using (dst)""")
 def composition_strength(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = facts.relationships(spark, sf_dir).withColumn("type", F.when(F.col("type") == "A", "contains").when(F.col("type") == "N", "uses").otherwise("calls"))
-    return relational.composition_strength(r, _references(spark, sf_dir)).select("src", "dst", "type", F.round("strength", 6).alias("strength"))
+    every = facts.table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("symbol")).count()
+    return relational.composition_strength(r, _eighths(every)).select("src", "dst", "type", F.round("strength", 6).alias("strength"))
+
 
+def _eighths(counts: DataFrame) -> DataFrame:
+    """(symbol, count) -> one reference row for every eight: about four a symbol."""
+    n = F.floor(F.col("count") / 8).cast("int")
+    return counts.where(n > 0).select("symbol", F.explode(F.sequence(F.lit(1), n)))
 
-@query(f"""with e as (select distinct src, dst from ({_REL})), o as (select src node, count(*) fan_out from e group by 1), i as (select dst node, count(*) fan_in from e group by 1), k as (select p_partkey node, case p_type when 'PROMO' then 'interface' when 'LARGE' then 'class' when 'SMALL' then 'function' else 'variable' end kind from part),
+
+@query(f"""with e as ({_REL}), o as (select src node, count(*) fan_out from e group by 1), i as (select dst node, count(*) fan_in from e group by 1), k as (select p_partkey node, case p_type when 'PROMO' then 'interface' when 'LARGE' then 'class' when 'SMALL' then 'function' else 'variable' end kind from part),
 h as (select src node, count(*) n from ({_REL}) where type = 'A' group by 1)
 select node, kind, coalesce(fan_in, 0)::bigint fan_in, coalesce(fan_out, 0)::bigint fan_out, round(case kind when 'interface' then 1.0 when 'class' then least(coalesce(n, 0) / 5.0, 1.0) when 'function' then 0.2 else 0.1 end, 6)::double abstractness,
   round(case when coalesce(fan_in, 0) + coalesce(fan_out, 0) > 0 then coalesce(fan_out, 0) / (coalesce(fan_in, 0) + coalesce(fan_out, 0))::double else 0.0 end, 6) instability from k left join o using (node) left join i using (node) left join h using (node)""")
@@ -110,24 +151,52 @@ def stability(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.col("p_type")
     k = facts.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("node"), F.when(t == "PROMO", "interface").when(t == "LARGE", "class").when(t == "SMALL", "function").otherwise("variable").alias("kind"))
     inherits = rel.where("type = 'A'").groupBy(F.col("src").alias("node")).agg(F.count("*").alias("n"))
-    j = k.join(relational.coupling_ca_ce(rel), "node", "left").join(inherits, "node", "left").fillna(0)
+    j = k.join(relational.relation_counts(rel), "node", "left").join(inherits, "node", "left").fillna(0)
     return j.select("node", "kind", F.col("ca").alias("fan_in"), F.col("ce").alias("fan_out"), F.round(S.abstractness("kind", "n"), 6).alias("abstractness"), F.round("instability", 6).alias("instability"))
 
 
-@query(f"""with r as ({_REFS}), u as (select symbol, count(*) n from r group by 1), x as (select p_partkey symbol, coalesce(n, 0) usage, (p_partkey % 10) / 10.0 chg, least(p_size / 50.0 + (p_partkey % 5) / 10.0, 1.0) cx from part left join u on symbol = p_partkey), y as (select symbol, 0.3 * least(usage / 100.0, 1.0) + 0.4 * chg + 0.3 * cx risk from x)
-select symbol, round(risk, 6)::double risk, case when risk > 0.6 then 'split' else 'watch' end advice from y where risk > 0.5""")
+@query("""with r as (select l_partkey symbol, l_suppkey % 7 as file from lineitem), d as (select p_partkey symbol, p_size % 7 as file, p_partkey, p_size from part), u as (select symbol, count(*) usage from r group by 1), f as (select d.symbol, 1 + count(distinct r.file) filter (r.file <> d.file) files from d left join r using (symbol) group by 1),
+x as (select symbol, file, coalesce(usage, 0) usage, (p_partkey % 10) / 10.0 chg, least(p_size / 50.0 + (p_partkey % 5) / 10.0, 1.0) cx, files from d left join u using (symbol) join f using (symbol)), y as (select *, least(usage / 100.0, 1.0) * 0.3 + chg * 0.4 + cx * 0.3 risk from x)
+select symbol, file::int file, round(risk, 6)::double risk, array_to_string(list_filter([case when cx > 0.7 then 'Consider breaking down into smaller functions' end, case when chg > 0.8 then 'High change frequency - ensure good test coverage' end, case when usage > 50 then 'Widely used symbol - changes require careful review' end, case when files > 5 then 'Used across many files - consider interface stability' end], lambda t: t is not null), '; ') advice from y where risk > 0.7""")
 def hotspots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    u = _references(spark, sf_dir).groupBy(F.col("symbol").alias("p_partkey")).agg(F.count("*").alias("n"))
-    p = facts.table(spark, sf_dir, "part").join(u, "p_partkey", "left")
-    k = F.col("p_partkey")
-    risk = S.hotspot_risk(F.coalesce("n", F.lit(0)), (k % 10) / 10, S.complexity_share("p_size", k % 5))
-    return p.withColumn("risk", risk).where("risk > 0.5").select(k.alias("symbol"), F.round("risk", 6).alias("risk"), F.when(F.col("risk") > 0.6, "split").otherwise("watch").alias("advice"))
+    d = facts.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("symbol"), (F.col("p_size") % 7).cast("int").alias("file"), "p_size")
+    r = facts.table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("symbol"), (F.col("l_suppkey") % 7).cast("int").alias("file"))
+    k = F.col("symbol")
+    h = relational.hotspots(relational.cross_references(d, r), (k % 10) / 10, S.complexity_share("p_size", k % 5))
+    return h.select("symbol", "file", F.round("risk", 6).alias("risk"), F.array_join("advice", "; ").alias("advice"))
+
 
+@query(f"with {_CROSSED} select count(*) total_symbols, sum(usage_count)::bigint total_references, round(avg(usage_count), 6) mean_references, count(*) filter (usage_count = 0)::bigint unused, count(*) filter (is_public)::bigint public_api, count(*) filter (file_count > 1)::bigint cross_file from x")
+def usage_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = relational.usage_summary(_crossed(spark, sf_dir))
+    return s.withColumn("mean_references", F.round("mean_references", 6))
 
-@query("""with s as (select p_partkey key, p_name as name, case when lower(p_name) = 'red widget' then 100 when contains(lower(p_name), 'red widget') then 50 else 0 end + case when p_type = 'PROMO' then 20 else 0 end + 10 * (select count(*) from region) * 0 as score from part) select key, name, score::int score from s where score > 0 order by score desc, key limit 20""")
+
+@query(f"""with {_CROSSED} select symbol, file, 'inline_method' as type, 'low' impact, 0.5::double effort from x where usage_count = 1 and kind = 'function' and line_count <= 5 union all select symbol, file, 'remove_unused', 'low', 0.25 from x where usage_count = 0 and not is_public
+union all select symbol, file, 'move_method', 'medium', 1.5 from x where file_count > 1 and best_file <> file union all select symbol, file, 'rename_symbol', 'low', 1.0 from x where regexp_matches(name, '^[a-z]$|^temp|^data|^item|^obj|^val')""")
+def opportunities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relational.opportunities(_crossed(spark, sf_dir)).select("symbol", "file", "type", "impact", "effort")
+
+
+@query(f"""with r as (select l_orderkey symbol, l_suppkey as file, l_linenumber as line, case l_returnflag when 'A' then 'usage' when 'N' then 'call' else 'import' end as type from lineitem), s as (select s_suppkey as file, i pos, 's' || s_suppkey || '_' || i as name, i * 2 start_line, i * 2 + 3 end_line from supplier, (select unnest([1, 2, 3]) i)),
+j as (select distinct r.symbol, r.file, r.line from r where type <> 'import'), k as (select j.*, name, row_number() over (partition by j.symbol, j.file, j.line order by pos) n from j join s on s.file = j.file and line between start_line and end_line) select distinct symbol, name dependent from k where n = 1""")
+def symbol_dependents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    flag = F.col("l_returnflag")
+    r = facts.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("symbol"), F.col("l_suppkey").alias("file"), F.col("l_linenumber").alias("line"), F.when(flag == "A", "usage").when(flag == "N", "call").otherwise("import").alias("type"))
+    s = facts.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("file"), F.explode(F.array(*map(F.lit, (1, 2, 3)))).alias("pos"))
+    s = s.select("file", "pos", F.concat(F.lit("s"), F.col("file").cast("string"), F.lit("_"), F.col("pos").cast("string")).alias("name"), (F.col("pos") * 2).alias("start_line"), (F.col("pos") * 2 + 3).alias("end_line"))
+    return relational.symbol_dependents(r, s)
+
+
+@query(f"""with rel as (select src key, count(*) n from ({_REL}) join part on p_partkey = dst where contains(lower(p_name), 'red') group by 1), s as (select p_partkey key, p_name as name, (case when lower(p_name) = 'red' then 100 when contains(lower(p_name), 'red') then 50 else 0 end + 10 * coalesce(n, 0))::bigint score, 'red' term from part left join rel on rel.key = p_partkey),
+f as (select p_partkey key, p_name as name, (case when contains(lower(p_name), 'function') then 50 else 0 end + case when p_type = 'SMALL' then 20 else 0 end)::bigint score, 'function' term from part)
+select * from (select * from s where score > 0 order by score desc, key limit 20) union all select * from (select * from f where score > 0 order by score desc, key limit 20)""")
 def semantic_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = facts.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("key"), F.col("p_name").alias("name"), F.col("p_type").alias("kind"))
-    return relational.symbol_search(s, "Red Widget", "PROMO").select("key", "name", "score")
+    p = facts.table(spark, sf_dir, "part")
+    s = p.select(F.col("p_partkey").alias("key"), F.col("p_name").alias("name"), F.when(F.col("p_type") == "SMALL", "function").otherwise("variable").alias("kind"))
+    rel = facts.relationships(spark, sf_dir).join(p.select(F.col("p_partkey").alias("dst"), "p_name"), "dst").select(F.col("src").alias("key"), F.col("p_name").alias("dst"))
+    of = lambda term, r=None: relational.symbol_search(s, term, r).select("key", "name", "score", F.lit(term).alias("term"))
+    return of("red", rel).unionByName(of("function"))
 
 
 @query("""with s as (select p_partkey key, round((p_partkey % 97) / 97.0, 6)::double score, p_size % 5 = 0 as same_file, p_type = 'PROMO' as recent from part) select key, score, round(least(score + case when same_file then 0.1 else 0 end + case when recent then 0.15 else 0 end, 1.0), 6)::double boosted from s where score > 0.1 order by boosted desc, key limit 20""")
@@ -148,8 +217,9 @@ def _predicted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return facts.table(spark, sf_dir, "labels").join(d, "doc_id").withColumn("pred", (F.col("n_chars") >= 1000).cast("int"))
 
 
-@query("""with p as (select quality, case when n_chars >= 1000 then 1 else 0 end pred from labels join documents using (doc_id)), c as (select pred c, count(*) said, count(*) filter (quality = pred) hit from p group by 1), a as (select quality c, count(*) there from p group by 1), m as (select said, hit, hit / said::double pr, coalesce(hit / there::double, 0) rc from c left join a using (c))
-select round(sum(hit) / sum(said)::double, 6) accuracy, round(avg(pr), 6) as precision, round(avg(rc), 6) recall, round(avg(case when pr + rc > 0 then 2 * pr * rc / (pr + rc) else 0 end), 6) f1 from m""")
+@query("""with p as (select quality, case when n_chars >= 1000 then 1 else 0 end pred from labels join documents using (doc_id)), k as (select unnest([0, 1]) c), m as (select c, (select count(*) from p where pred = c and quality = c) tp, (select count(*) from p where pred = c) said, (select count(*) from p where quality = c) there from k),
+t as (select sum(tp) / (select count(*) from p)::double accuracy, sum(case when said > 0 then tp / said::double else 0 end) / count(*) filter (said > 0) pr, sum(case when there > 0 then tp / there::double else 0 end) / count(*) filter (said > 0) rc from m)
+select round(accuracy, 6) accuracy, round(pr, 6) as precision, round(rc, 6) recall, round(case when pr + rc > 0 then 2 * (pr * rc) / (pr + rc) else 0 end, 6) f1 from t""")
 def macro_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = relational.macro_scores(_predicted(spark, sf_dir), "quality", "pred")
     return m.select(*[F.round(c, 6).alias(c) for c in m.columns])
@@ -163,17 +233,23 @@ def mrr_ndcg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select(F.round("mrr", 6).alias("mrr"), F.round("ndcg", 6).alias("ndcg"))
 
 
-_SCOPES = "select o_custkey % 50 as file, o_orderkey scope_id, day0 start_line, day0 + 5 + o_orderkey % 300 as end_line from (select *, date_diff('day', date '1992-01-01', o_orderdate::date) day0 from orders where o_orderkey < 2000)"
+#: Every order is a scope of its customer's file, from the day of the order on.
+_SCOPES = "select o_custkey as file, o_orderkey scope_id, day0 start_line, day0 + 5 + o_orderkey % 300 as end_line from (select *, date_diff('day', date '1992-01-01', o_orderdate::date) day0 from orders)"
 
 
 def _scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = facts.table(spark, sf_dir, "orders").where("o_orderkey < 2000")
     d = F.datediff(F.col("o_orderdate").cast("date"), F.lit("1992-01-01").cast("date"))
-    return o.select((F.col("o_custkey") % 50).alias("file"), F.col("o_orderkey").alias("scope_id"), d.cast("long").alias("start_line"), (d + 5 + F.col("o_orderkey") % 300).cast("long").alias("end_line"))
+    return facts.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("file"), F.col("o_orderkey").alias("scope_id"), d.cast("long").alias("start_line"), (d + 5 + F.col("o_orderkey") % 300).cast("long").alias("end_line"))
 
 
 _TREE = f"""s as ({_SCOPES}), t as (select a.file, a.scope_id, a.start_line, a.end_line, count(b.scope_id)::int depth, max_by(b.scope_id, (b.start_line, -b.end_line, b.scope_id)) parent_id
 from s a left join s b on a.file = b.file and b.end_line >= a.end_line and (b.start_line < a.start_line or b.start_line = a.start_line and (b.end_line > a.end_line or b.end_line = a.end_line and b.scope_id < a.scope_id)) group by all)"""
+_VARS = "v as (select file, scope_id % 3 as name, scope_id, depth, scope_id % 4 = 0 is_parameter, (file + scope_id) % 5 < 2 is_constant from t), w as (select *, lead(scope_id) over o shadows, lead(is_constant) over o hidden from v window o as (partition by file, name order by depth desc, scope_id))"
+
+
+def _variables(tree: DataFrame) -> DataFrame:
+    k = F.col("scope_id")
+    return tree.select("file", (k % 3).alias("name"), "scope_id", "depth", (k % 4 == 0).alias("is_parameter"), ((F.col("file") + k) % 5 < 2).alias("is_constant"))
 
 
 @query(f"with {_TREE} select scope_id, coalesce(parent_id, -1) parent_id, depth from t")
@@ -181,36 +257,60 @@ def scope_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scopes.scope_tree(_scopes(spark, sf_dir)).select("scope_id", F.coalesce("parent_id", F.lit(-1)).alias("parent_id"), "depth")
 
 
-@query(f"""with {_TREE}, p as (select o_orderkey point_id, o_custkey % 50 as file, date_diff('day', date '1992-01-01', o_orderdate::date) as line from orders where o_orderkey % 10 = 0), j as (select point_id, scope_id, row_number() over (partition by point_id order by depth desc, scope_id) k from p join t on p.file = t.file and line between start_line and end_line)
+@query(f"""with {_TREE}, p as (select o_orderkey point_id, o_custkey as file, date_diff('day', date '1992-01-01', o_orderdate::date) as line from orders), j as (select point_id, scope_id, row_number() over (partition by point_id order by depth desc, scope_id) k from p join t on p.file = t.file and line between start_line and end_line)
 select p.point_id, coalesce(scope_id, -1) scope_id from p left join j on p.point_id = j.point_id and k = 1""")
 def scope_at_line(spark: SparkSession, sf_dir: str) -> DataFrame:
     tree = scopes.scope_tree(_scopes(spark, sf_dir))
-    o = facts.table(spark, sf_dir, "orders").where("o_orderkey % 10 = 0")
-    p = o.select(F.col("o_orderkey").alias("point_id"), (F.col("o_custkey") % 50).alias("file"), F.datediff(F.col("o_orderdate").cast("date"), F.lit("1992-01-01").cast("date")).cast("long").alias("line"))
+    p = facts.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("point_id"), F.col("o_custkey").alias("file"), F.datediff(F.col("o_orderdate").cast("date"), F.lit("1992-01-01").cast("date")).cast("long").alias("line"))
     return scopes.innermost(p, tree).select("point_id", F.coalesce("scope_id", F.lit(-1)).alias("scope_id"))
 
 
-@query(f"""with {_TREE}, v as (select l_orderkey scope_id, count(*) symbols, count(*) filter (l_quantity < 5) unused from lineitem where l_orderkey < 2000 group by 1), c as (select parent_id scope_id, count(*) children from t where parent_id is not null group by 1),
-x as (select depth, 0.3 * coalesce(symbols, 0) + 0.4 * coalesce(children, 0) + 0.001 * (end_line - start_line + 1) cx, coalesce(symbols, 0) s, coalesce(unused, 0) u from t left join v using (scope_id) left join c using (scope_id))
-select count(*) scopes, round(avg(depth), 6) mean_depth, max(depth)::int max_depth, round(avg(cx), 6)::double mean_complexity, round(sum(u) / sum(s)::double, 6) unused_rate from x""")
+@query(f"""with {_TREE}, {_VARS}, i as (select l_orderkey scope_id, count(*) symbols, count(*) filter (l_quantity < 5) unused from lineitem group by 1), c as (select parent_id scope_id, count(*) children from t where parent_id is not null group by 1),
+x as (select depth, coalesce(symbols, 0) * 0.3 + coalesce(children, 0) * 0.4 + (end_line - start_line) * 0.001 cx, coalesce(symbols, 0) s, coalesce(unused, 0) u from t left join i using (scope_id) left join c using (scope_id))
+select count(*) scopes, round(avg(depth), 6) mean_depth, max(depth)::int max_depth, round(avg(cx), 6)::double mean_complexity, round(sum(u) / sum(s)::double, 6) unused_rate, round((select count(*) from w where shadows is not null) / sum(s)::double, 6) shadowing_rate,
+  array_to_string(list_filter([case when max(depth) > 6 then 'Consider reducing scope nesting depth for better readability' end, case when (select count(*) from w where shadows is not null) / sum(s)::double > 0.1 then 'High variable shadowing rate - consider renaming variables' end, case when sum(u) / sum(s)::double > 0.2 then 'High unused variable rate - consider cleanup' end], lambda a: a is not null), '; ') advice from x""")
 def scope_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tree = scopes.scope_tree(_scopes(spark, sf_dir))
-    v = facts.table(spark, sf_dir, "lineitem").where("l_orderkey < 2000").select(F.col("l_orderkey").alias("scope_id"), (F.col("l_quantity") >= 5).cast("int").alias("n_uses"))
-    m = scopes.scope_metrics(tree, v)
-    return m.select("scopes", F.round("mean_depth", 6).alias("mean_depth"), "max_depth", F.round("mean_complexity", 6).alias("mean_complexity"), F.round("unused_rate", 6).alias("unused_rate"))
+    tree = settle(scopes.scope_tree(_scopes(spark, sf_dir)))
+    v = facts.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("scope_id"), (F.col("l_quantity") >= 5).cast("int").alias("n_uses"))
+    m = scopes.scope_advice(scopes.scope_metrics(tree, v, scopes.shadowing(_variables(tree))))
+    six = ("mean_depth", "mean_complexity", "unused_rate", "shadowing_rate")
+    return m.select("scopes", "max_depth", *[F.round(c, 6).alias(c) for c in six], F.array_join("advice", "; ").alias("advice"))
 
 
-@query(f"""with {_TREE}, w as (select file, scope_id % 40 as name, scope_id, depth, lead(scope_id) over (partition by file, scope_id % 40 order by depth desc, scope_id) shadows, lead(depth) over (partition by file, scope_id % 40 order by depth desc, scope_id) d from t)
-select name, scope_id, depth, shadows, case when depth - d > 2 then 'high' when depth - d > 1 then 'medium' else 'low' end severity from w where shadows is not null""")
+@query(f"""with {_TREE}, {_VARS} select name, scope_id, depth, shadows, case when is_parameter then 'warning' when is_constant and not hidden then 'error' else 'warning' end severity,
+  case when is_parameter then 'Consider renaming parameter ' || chr(39) || name || chr(39) || ' to avoid shadowing outer variable' else 'Consider renaming ' || chr(39) || name || chr(39) || ' to avoid confusion with outer scope variable' end suggestion from w where shadows is not null""")
 def shadowing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tree = scopes.scope_tree(_scopes(spark, sf_dir)).withColumn("name", F.col("scope_id") % 40)
-    return scopes.shadowing(tree).select("name", "scope_id", "depth", "shadows", "severity")
+    return scopes.shadowing(_variables(scopes.scope_tree(_scopes(spark, sf_dir)))).select("name", "scope_id", "depth", "shadows", "severity", "suggestion")
+
+
+_ACCESS = f"{_TREE}, up as (select scope_id, parent_id ancestor, 1 up from t where parent_id is not null union all select up.scope_id, t.parent_id, up + 1 from up join t on t.scope_id = up.ancestor where t.parent_id is not null), n as (select scope_id, case when scope_id % 6 = 5 then 'cache5' else 'v' || scope_id % 6 end as name from t), a as (select scope_id, scope_id origin, name, 0 up from n union all select up.scope_id, ancestor, name, up from up join n on n.scope_id = up.ancestor), b as (select scope_id, name, min_by(origin, up) origin, min(up) up from a group by all)"
+
+
+def _accessible(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    tree = settle(scopes.scope_tree(_scopes(spark, sf_dir)))
+    k = F.col("scope_id")
+    v = tree.select("scope_id", F.when(k % 6 == 5, "cache5").otherwise(F.concat(F.lit("v"), (k % 6).cast("string"))).alias("name"))
+    return tree, scopes.accessible(tree, v, scopes.ancestors(tree, settle))
+
+
+@query(f"with recursive {_ACCESS} select scope_id, name, origin, up::int up from b")
+def accessible_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _accessible(spark, sf_dir)[1].select("scope_id", "name", "origin", F.col("up").cast("int").alias("up"))
+
+
+@query(f"""with recursive {_ACCESS}, c as (select b.scope_id, b.name, b.origin, t.depth = 0 or contains(b.name, 'cache') or contains(b.name, 'store') leak from b join t on t.scope_id = b.origin where up > 0 and b.scope_id % 2 = 0), g as (select scope_id, count(*) n, bool_or(leak) l from c group by 1)
+select c.*, array_to_string(list_filter([case when n > 5 then 'Consider reducing the number of captured variables' end, case when l then 'Review captured variables for potential memory leaks' end], lambda x: x is not null), '; ') advice from c join g using (scope_id)""")
+def closure_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tree, reachable = _accessible(spark, sf_dir)
+    kinds = tree.select("scope_id", F.when(F.col("depth") == 0, "global").otherwise("block").alias("type"))
+    c = scopes.captures(reachable, tree.where("scope_id % 2 = 0"), kinds)
+    return c.select("scope_id", "name", "origin", "leak", F.array_join("advice", "; ").alias("advice"))
 
 
-@query("""select user_id || ':' || event_type as variable, min(event_id)::bigint as first, max(event_id)::bigint as last, count(*) n, (max(event_id) - min(event_id))::bigint lifespan, max(event_id) - min(event_id) > 50 long_lived from events group by all""")
+@query("""select user_id || ':' || event_type as variable, min(event_id)::bigint as first, max(event_id)::bigint as last, count(*) n, (max(event_id) - min(event_id) + 40)::bigint lifespan, max(event_id) - min(event_id) + 40 > 50 long_lived from events group by all""")
 def lifetime(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = facts.table(spark, sf_dir, "events").select(F.concat_ws(":", "user_id", "event_type").alias("variable"), F.col("event_id").alias("line"))
-    v = e.select("variable").distinct().withColumn("declared", F.lit(0).cast("long"))
+    v = e.groupBy("variable").agg((F.min("line") - 40).alias("declared"))
     return scopes.lifetimes(v, e)
 
 
@@ -227,28 +327,34 @@ def path_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.groupBy("host").agg(F.count("*").alias("pages"), F.sum(S.path_allowed("host", ["*.example.org"], []).cast("long")).alias("allowed"))
 
 
-@query("""select s_nationkey, count(*) n, round(avg(s_acctbal), 4) mean, row_number() over (order by count(*) desc, s_nationkey)::bigint as rank from supplier group by 1""")
-def refactoring_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = facts.table(spark, sf_dir, "supplier").groupBy("s_nationkey").agg(F.count("*").alias("n"), F.round(F.avg("s_acctbal"), 4).alias("mean"))
-    return s.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "s_nationkey")).cast("long"))
+@query(f"""with {_FEATURES} select key, name, len(t)::int n_tokens, array_to_string(technical, ',') technical, array_to_string(domain, ',') as domain, array_to_string(nouns, ',') nouns, array_to_string(verbs, ',') verbs, array_to_string(list_filter(t, lambda w: len(w) <= 4 and upper(w) = w), ',') abbreviations, naming naming_ok, acronym is_acronym, case when len(domain) > len(technical) then 0.8 else 0.3 end::double domain_specificity from feat""")
+def term_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = features.symbol_features(_symbols(spark, sf_dir))
+    return f.select("key", "name", "n_tokens", *[F.array_join(c, ",").alias(c) for c in ("technical", "domain", "nouns", "verbs", "abbreviations")], "naming_ok", "is_acronym", "domain_specificity")
 
 
-@query("""with f as (select p_partkey as key, replace(p_name, ' ', '_') || case when p_size % 3 = 0 then 'Manager' when p_size % 3 = 1 then '_user_update' else 'Factory' end as name, case p_type when 'PROMO' then 'interface' when 'LARGE' then 'class' when 'SMALL' then 'function' else 'variable' end kind, p_size * 4 as line_count, (p_partkey % 23)::int as dependencies, p_type = 'PROMO' as exported from part)
-select key, name, case when contains(name, 'Factory') then 'factory' else '' end design, case when contains(name, 'Manager') then 'god-object' else '' end anti_pattern, case kind when 'interface' then 0.9 when 'class' then 0.6 when 'function' then 0.4 else 0.1 end::double abstraction,
-  case when contains(name, 'update') then 0.7 else 0.2 end::double side_effect_risk, case when contains(lower(name), 'old') then 0.9 else 0.1 end::double deprecation_risk, case when contains(name, '_user_') then 0.8 else 0.2 end::double business_relevance,
-  round(0.25 * (case when line_count > 100 then 0.3 else 0.1 end + least(1.0, dependencies / 10.0) + case when contains(name, 'update') then 0.7 else 0.2 end + case when contains(lower(name), 'old') then 0.9 else 0.1 end), 6)::double risk_score from f""")
+@query(f"""with {_FEATURES}
+select key, name, case when contains(name, 'Factory') then 'factory' else '' end design, case when contains(name, 'Manager') then 'god-object' else '' end anti_pattern, case kind when 'interface' then 0.9 when 'class' then 0.6 when 'function' then 0.4 when 'variable' then 0.1 else 0.5 end::double abstraction, side::double side_effect_risk, dep::double deprecation_risk,
+  case when len(list_filter(t, lambda w: w in ('order', 'customer', 'product', 'payment', 'account', 'user'))) > 0 then 0.8 else 0.2 end::double business_relevance, clarity::double purpose_clarity, round(instability, 6)::double instability, round(mi, 6)::double maintainability, doc::double documentation, case when exported then 0.8 else 0.4 end::double interface_stability, case when exported then 0.7 else 0.9 end::double api_stability,
+  case p when 'core' then 'core' when 'test' then 'test' when 'util' then 'utility' else 'application' end module_type, p namespace, 'unknown' as role, array_to_string(list_filter([case when line_count > 100 then 'long-method' end, case when dependencies > 10 then 'feature-envy' end], lambda x: x is not null), ',') smells from (select *, split_part(file_path, '/', 3) p from feat)""")
 def symbol_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = features.symbol_features(_named(spark, sf_dir))
+    f = features.symbol_features(_symbols(spark, sf_dir))
     one = lambda c: F.array_join(c, ",")
-    return f.select("key", "name", one("design_patterns").alias("design"), one("anti_patterns").alias("anti_pattern"), "abstraction", "side_effect_risk", "deprecation_risk", "business_relevance", F.round("risk_score", 6).alias("risk_score"))
+    six = lambda c: F.round(c, 6).alias(c)
+    return f.select("key", "name", one("design_patterns").alias("design"), one("anti_patterns").alias("anti_pattern"), "abstraction", "side_effect_risk", "deprecation_risk", "business_relevance", "purpose_clarity", six("instability"), six("maintainability"), "documentation", "interface_stability", "api_stability", "module_type", "namespace", "role", one("smells").alias("smells"))
 
 
-def _named(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = facts.table(spark, sf_dir, "part")
-    end = F.when(F.col("p_size") % 3 == 0, "Manager").when(F.col("p_size") % 3 == 1, "_user_update").otherwise("Factory")
-    t = F.col("p_type")
-    kind = F.when(t == "PROMO", "interface").when(t == "LARGE", "class").when(t == "SMALL", "function").otherwise("variable")
-    return p.select(F.col("p_partkey").alias("key"), F.concat(F.replace("p_name", F.lit(" "), F.lit("_")), end).alias("name"), kind.alias("kind"), F.lit("/src/core/x.ts").alias("file_path"), (F.col("p_size") * 4).alias("line_count"), (F.col("p_partkey") % 23).cast("int").alias("dependencies"), (t == "PROMO").alias("exported"))
+@query(f"with {_FEATURES} select key, round(relevance, 6)::double relevance, round(quality, 6)::double quality, round(upkeep, 6)::double upkeep, round(risk, 6)::double risk from comp")
+def composites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = features.symbol_features(_symbols(spark, sf_dir))
+    return f.select("key", *[F.round(f"{c}_score", 6).alias(c) for c in ("relevance", "quality", "upkeep", "risk")])
+
+
+@query(f"""with {_FEATURES}, n as (select key, [least(1, len(t) / 10.0), len(technical) / 5.0, len(verbs) / 3.0, naming::int, least(1, cc / 20.0), mi / 100, instability, case when contains(name, 'Factory') then 1 / 3.0 else 0 end, least(1, usage_count / 100.0), least(1, usage_spread / 10.0), clarity, focus,
+  case when len(list_filter(t, lambda w: w in ('order', 'customer', 'product', 'payment', 'account', 'user'))) > 0 then 0.8 else 0.2 end, relevance, quality, upkeep, 1 - risk]::double[] v from comp) select key, i::int i, round(v[i + 1], 6) x from (select key, v, unnest(range(0, 17)) i from n)""")
+def feature_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = features.normalised_features(features.symbol_features(_symbols(spark, sf_dir)))
+    return v.select("key", F.posexplode("v").alias("i", "x")).select("key", "i", F.round("x", 6).alias("x"))
 
 
 @query("""with s as (select p_partkey as key, (p_partkey % 97) / 97.0 sem, p_size cx, p_type = 'PROMO' pub, p_type = 'SMALL' dep, p_partkey % 130 u, p_partkey % 7 x, (p_partkey % 10) / 20.0 r, p_size % 5 = 0 sf, p_size % 7 = 0 rc from part),
@@ -261,14 +367,21 @@ def combined_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("key", F.round("c.score", 6).alias("score"), features.explanation(F.col("c")).alias("explanation"))
 
 
-@query()
+_PATTERN_NAMES = """n as (select p_partkey as key, replace(p_name, ' ', '_') || case p_partkey % 6 when 0 then 'Singleton' when 1 then 'Factory' when 2 then 'Strategy' when 3 then 'Model' when 4 then 'View' else 'Handler' end || p_partkey as name, case when p_size % 2 = 0 then 'class' else 'function' end kind from part),
+r as (select a.name src, b.name dst, case when type = 'A' then 'contains' else 'calls' end as type from (RELATIONS) x join n a on a.key = x.src join n b on b.key = x.dst)"""
+
+
+@query(f"""with {_PATTERN_NAMES.replace('RELATIONS', _REL)}, c as (select src, count(*) k, count(distinct case when type = 'contains' then dst end) below from r group by 1), s as (select n.*, coalesce(k, 0) k, coalesce(below, 0) below, lower(name) low from n left join c on c.src = n.name)
+select 'singleton' as type, name, '' part, 0.7::double confidence from s where kind = 'class' and contains(low, 'singleton') union all select 'factory', name, '', 0.6 from s where contains(low, 'factory') and k > 2 union all select 'strategy', name, '', 0.8 from s where contains(low, 'strategy') and below > 2
+union all select 'mvc', name, case when contains(low, 'model') then 'model' when contains(low, 'view') then 'view' else 'controller' end, 0.8 from s where regexp_matches(low, 'model|view|handler') and (select count(distinct key % 6) from s where key % 6 >= 3) = 3""")
 def architectural_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = _named(spark, sf_dir).select("key", "name", "kind")
-    r = facts.relationships(spark, sf_dir)
+    p, k = facts.table(spark, sf_dir, "part"), F.col("p_partkey")
+    end = F.when(k % 6 == 0, "Singleton").when(k % 6 == 1, "Factory").when(k % 6 == 2, "Strategy").when(k % 6 == 3, "Model").when(k % 6 == 4, "View").otherwise("Handler")
+    n = p.select(k.alias("key"), F.concat(F.replace("p_name", F.lit(" "), F.lit("_")), end, k.cast("string")).alias("name"), F.when(F.col("p_size") % 2 == 0, "class").otherwise("function").alias("kind"))
     by = lambda a, b: n.select(F.col("key").alias(a), F.col("name").alias(b))
-    rel = r.join(by("src", "s"), "src").join(by("dst", "d"), "dst").select(F.col("s").alias("src"), F.col("d").alias("dst"), F.when(F.col("type") == "A", "contains").otherwise("calls").alias("type"))
+    rel = facts.relationships(spark, sf_dir).join(by("src", "s"), "src").join(by("dst", "d"), "dst").select(F.col("s").alias("src"), F.col("d").alias("dst"), F.when(F.col("type") == "A", "contains").otherwise("calls").alias("type"))
     below = rel.where("type = 'contains'").groupBy("src").agg(F.count_distinct("dst").alias("n"))
-    return features.patterns(n.select("name", "kind").distinct(), rel, below)
+    return features.patterns(n.select("name", "kind"), rel, below)
 
 
 @query()

@@ -52,10 +52,28 @@ def best_cached(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cache.best_context(_entries(spark, sf_dir), NOW, 5).select("key", F.round("worth", 6).alias("worth"))
 
 
-@query()
+@query("""with a as (select user_id, ts, event_id, coalesce(epoch_us(ts) - lag(epoch_us(ts)) over (partition by user_id order by ts, event_id) <= 3600000000, false)::int hit from events), l as (select user_id, list({'h': hit::double, 'm': 1.0 - hit} order by ts, event_id) x from a group by 1),
+r as (select user_id, list_reduce(x, lambda s, o: {'h': case when o.h = 1 then (s.h * (s.h + s.m) + 1) / (s.h + s.m + 1) else s.h end, 'm': case when o.h = 1 then s.m else (s.m * (s.h + s.m) + 1) / (s.h + s.m + 1) end}, {'h': 0.0::double, 'm': 0.0::double}) f from l)
+select user_id, round(f.h, 6) hit_rate, round(f.m, 6) miss_rate from r""")
 def rate_recurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = cache.access_outcomes(facts.table(spark, sf_dir, "events"), "user_id", "ts", 3600)
-    return cache.rate_recurrence(o, "user_id", "ts")
+    r = cache.rate_recurrence(o, "user_id", "ts")
+    return r.select("user_id", F.round("hit_rate", 6).alias("hit_rate"), F.round("miss_rate", 6).alias("miss_rate"))
+
+
+@query(f"""with e as ({_ENTRIES}), m as (select avg(accesses) a from e), x as (select key, unnest([case when {NOW} - last_ms > 86400000 then 'lru' end, case when accesses < 0.1 * a then 'lfu' end, case when {NOW} - last_ms > 2 * 86400000 then 'ttl' end, case when relevance < 0.15 then 'fifo' end]) policy from e, m) select key, policy from x where policy is not null""")
+def eviction_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _entries(spark, sf_dir)
+    out = None
+    for policy in ("lru", "lfu", "ttl", "fifo"):
+        gone = cache.evictions_by_policy(e, policy, NOW, 24 * 3600 * 1000, 0.3).select("key", F.lit(policy).alias("policy"))
+        out = gone if out is None else out.union(gone)
+    return out
+
+
+@query(f"select key from ({_ENTRIES}) where relevance >= 0.5 and size <= 800")
+def admissions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cache.admitted(_entries(spark, sf_dir).withColumnRenamed("size", "tokens"), 0.5, 800).select("key")
 
 
 @query("select time_bucket(interval '1 day', ts) window_start, event_type, count(*) n from events group by all")

@@ -44,7 +44,7 @@ def vocabulary_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""with t as (select conv_id, turn, {_TOKENS.format('text')} w from conversations)
 select conv_id, turn, len(w)::bigint n_tokens, len(list_distinct(w))::bigint n_distinct, round(case when len(w) > 0 then list_sum(list_transform(w, lambda x: len(x))) / len(w)::double else 0.0 end, 6) mean_length,
-  len(list_filter(w, lambda x: list_contains(['{"','".join(S.TECHNICAL_TERMS)}'], x)))::bigint technical, len(list_filter(w, lambda x: regexp_matches(x, '[0-9]')))::bigint with_digit from t""")
+  len(list_filter(w, lambda x: x in ('api', 'http', 'json', 'xml', 'sql', 'database', 'cache', 'queue', 'thread', 'async', 'sync', 'promise', 'callback', 'event', 'stream', 'buffer', 'socket', 'connection', 'session', 'token', 'auth', 'oauth', 'encryption', 'hash', 'algorithm', 'data', 'model', 'view', 'controller', 'service', 'repository', 'factory', 'builder', 'adapter', 'proxy', 'decorator', 'observer', 'strategy', 'command', 'state', 'visitor')))::bigint technical, len(list_filter(w, lambda x: regexp_matches(x, '[0-9]')))::bigint with_digit from t""")
 def text_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = facts.table(spark, sf_dir, "conversations").select("conv_id", "turn", S.ascii_tokens("text").alias("w"))
     n = lambda c: F.size(c).cast("long")
@@ -62,18 +62,16 @@ def ident_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("p_partkey", joined(S.identifier_tokens("i")).alias("ident_tokens"), joined(S.camel_tokens("i")).alias("camel"), joined(S.snake_tokens("i")).alias("snake"), F.col("i").rlike("[0-9]").alias("has_digit"), F.col("i").rlike("[^a-zA-Z0-9]").alias("has_special"))
 
 
-@query("""with f as (select p_partkey, p_size * 4 as lines, (p_partkey % 23)::int as deps, p_type = 'PROMO' as public from part), g as (select *, greatest(1, lines // 10)::bigint cc from f),
-h as (select *, greatest(0.0, 100 - 0.5 * lines - 2.0 * cc) maint, case when lines > 100 then 0.3 else 0.1 end debt, least(1.0, deps / 10.0) coupling, greatest(0.0, 1 - deps / 20.0 - lines / 200.0) focus, case when public then 0.8 else 0.3 end documentation from g)
-select p_partkey, cc cyclomatic, round(maint, 6)::double maintainability, debt::double debt, round(coupling, 6)::double coupling, round(focus, 6)::double focus, (case when lines > 50 then 1 else 0 end + case when deps > 10 then 1 else 0 end)::bigint smells,
-  round((maint / 100 + documentation + focus + (1 - coupling) + (1 - debt)) / 5, 6)::double quality, round((maint / 100 + documentation + focus + (1 - debt)) / 4, 6)::double upkeep, round((debt + coupling + (1 - focus) + (1 - documentation)) / 4, 6)::double risk, round(least(lines / 50.0 + deps / 10.0, 1), 6)::double complexity from h""")
-def quality_composites(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = facts.table(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") * 4).alias("lines"), (F.col("p_partkey") % 23).cast("int").alias("deps"), (F.col("p_type") == "PROMO").alias("public"))
-    g = f.withColumn("cc", S.cyclomatic("lines")).withColumn("maint", S.maintainability("lines", "cc")).withColumn("debt", S.technical_debt("lines")).withColumn("coup", S.coupling_degree("deps")).withColumn("foc", S.focus("deps", "lines")).withColumn("doc", F.when(F.col("public"), 0.8).otherwise(0.3))
-    m, d, fo, c, de = F.col("maint") / 100, F.col("doc"), F.col("foc"), F.col("coup"), F.col("debt")
+@query("""with f as (select p_partkey, p_size * 4 as lines, (p_partkey % 23)::int as deps from part)
+select p_partkey, greatest(1, lines // 10)::bigint cyclomatic, round(greatest(0, 100 - lines * 0.5 - greatest(1, lines // 10) * 2), 6)::double maintainability, case when lines > 100 then 0.3 else 0.1 end::double debt, round(least(1, deps / 10.0), 6)::double coupling, round(greatest(0, 1 - deps / 20.0 - lines / 200.0), 6)::double focus,
+  (case when lines > 100 then 1 else 0 end + case when deps > 10 then 1 else 0 end)::bigint smells, round(least(lines / 50.0 + deps / 10.0, 1), 6)::double complexity from f""")
+def quality_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = facts.table(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") * 4).alias("lines"), (F.col("p_partkey") % 23).cast("int").alias("deps"))
+    g = f.withColumn("cc", S.cyclomatic("lines"))
     r = lambda x, name: F.round(x, 6).alias(name)
     return g.select(
-        "p_partkey", F.col("cc").alias("cyclomatic"), r(F.col("maint"), "maintainability"), de.alias("debt"), r(c, "coupling"), r(fo, "focus"), F.size(S.code_smells("lines", "deps")).cast("long").alias("smells"),
-        r(S.weighted([(x, 1.0) for x in (m, d, fo, 1 - c, 1 - de)]) / 5, "quality"), r(S.weighted([(x, 1.0) for x in (m, d, fo, 1 - de)]) / 4, "upkeep"), r(S.weighted([(x, 1.0) for x in (de, c, 1 - fo, 1 - d)]) / 4, "risk"), r(S.complexity_share("lines", "deps"), "complexity"),
+        "p_partkey", F.col("cc").alias("cyclomatic"), r(S.maintainability("lines", "cc"), "maintainability"), S.technical_debt("lines").alias("debt"), r(S.coupling_degree("deps"), "coupling"), r(S.focus("deps", "lines"), "focus"),
+        F.size(S.code_smells("lines", "deps")).cast("long").alias("smells"), r(S.complexity_share("lines", "deps"), "complexity"),
     )
 
 
@@ -88,6 +86,17 @@ def symbol_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relational.symbol_diff(old.withColumnRenamed("line", "code"), ln.where("turn > 0").withColumnRenamed("line", "code"), ["conv_id", "turn", "pos"])
 
 
+@query("""with l as (select conv_id, turn, unnest(generate_series(0, len(x) - 1)) pos, unnest(x) line from (select conv_id, turn, string_split(text, chr(10)) x from conversations)),
+o as (select conv_id, turn + 1 as turn, pos, nullif(line, '') old_code from l), n as (select conv_id, turn, pos, nullif(line, '') new_code from l where turn > 0), d as (select conv_id, count(*) filter (old_code is null) a, count(*) filter (new_code is null) r, count(*) filter (old_code <> new_code) m from o full join n using (conv_id, turn, pos) where old_code is distinct from new_code group by 1)
+select conv_id, a::bigint added, r::bigint removed, m::bigint modified, case when a + r + m = 0 then 'No changes detected' else array_to_string(list_filter([case when a = 1 then '1 addition' when a > 1 then a || ' additions' end, case when r = 1 then '1 deletion' when r > 1 then r || ' deletions' end, case when m = 1 then '1 modification' when m > 1 then m || ' modifications' end], lambda x: x is not null), ', ') end summary from d""")
+def change_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that change from turn to turn of a conversation, place by place, in words."""
+    ln = facts.lines(facts.table(spark, sf_dir, "conversations"), "conv_id", "turn", text="text").withColumnRenamed("line", "code")
+    c = relational.symbol_diff(ln.withColumn("turn", F.col("turn") + 1), ln.where("turn > 0"), ["conv_id", "turn", "pos"])
+    n = lambda k: F.sum((F.col("change") == k).cast("long")).alias(k)
+    return c.groupBy("conv_id").agg(n("added"), n("removed"), n("modified")).withColumn("summary", diff.summary(F.col("added"), F.col("removed"), F.col("modified")))
+
+
 def version_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """key, old, new: each document b beside the first document a < b (by doc_id) that has one of its lines of at least 20 characters, for each such line, where the texts differ."""
     d = facts.table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -122,6 +131,28 @@ def diff_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.withColumn("summary", diff.summary(F.col("added"), F.col("removed"), F.col("modified")))
 
 
+@query()
+def hunks_applied(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every older version with its hunks applied: whether that gives the newer version back."""
+    p = version_pairs(spark, sf_dir)
+    made = diff.apply_all(p, diff.hunks(diff.line_diff(p, "key"), "key"), "key")
+    return p.select("key", "new").join(made, "key").select("key", (F.col("text") == F.col("new")).alias("same"))
+
+
+@query("""select p_partkey, cardinality(list_filter(['red', 'blue', 'small', 'widget'], lambda t: list_contains(string_split(p_name, ' '), t))) / 4.0::double relevance, 'Line ' || p_size || ' in x' || p_partkey % 9 || '.ts' context, regexp_matches(p_name, '^[a-z]$|^temp|^data|^item|^obj|^val') confusing from part""")
+def symbol_relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = facts.table(spark, sf_dir, "part")
+    path = F.concat(F.lit("/src/x"), (F.col("p_partkey") % 9).cast("string"), F.lit(".ts"))
+    return p.select("p_partkey", S.relevance(F.split("p_name", " "), F.array(*map(F.lit, ("red", "blue", "small", "widget")))).alias("relevance"), S.reference_context("p_size", path).alias("context"), S.confusing("p_name").alias("confusing"))
+
+
+@query("""with t as (select p_partkey, string_split(p_name, ' ') a, string_split(lower(p_brand || ' ' || p_type || ' widget red'), ' ') b from part) select p_partkey, round(len(list_intersect(a, b)) / len(list_distinct(a || b))::double, 6) jaccard from t""")
+def token_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = facts.table(spark, sf_dir, "part")
+    other = F.split(F.lower(F.concat_ws(" ", "p_brand", "p_type", F.lit("widget red"))), " ")
+    return p.select("p_partkey", F.round(S.token_jaccard(F.split("p_name", " "), other), 6).alias("jaccard"))
+
+
 @query("""select sha, count(*) n, min(doc_id) first_id from (select doc_id, md5(text) sha from documents) group by sha having count(*) > 1""")
 def repeated_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents whose whole text another one has: unchanged against its snapshot."""

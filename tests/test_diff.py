@@ -64,7 +64,7 @@ def test_hunks_rebuild_the_new_text(spark, pairs):
 
 def test_summary(spark):
     df = spark.createDataFrame([(1, 2, 0), (0, 0, 0)], "a int, r int, m int").select(diff.summary(F.col("a"), F.col("r"), F.col("m")).alias("s"))
-    assert [r.s for r in df.collect()] == ["1 line added, 2 lines removed", "No changes detected"]
+    assert [r.s for r in df.collect()] == ["1 addition, 2 deletions", "No changes detected"]
 
 
 def test_every_document_is_compared_whatever_the_size_of_its_group(spark, tmp_path):
@@ -77,3 +77,65 @@ def test_every_document_is_compared_whatever_the_size_of_its_group(spark, tmp_pa
     assert {f"1-{i}" for i in (2, 3, 4, 5, 6, 7, 8, 10)} | {"10-11"} == want
     for name in ("line_diff", "diff_hunks", "contextual_diff", "diff_summary"):
         assert {r.key for r in catalog.QUERIES[name](spark, str(tmp_path)).select("key").distinct().collect()} == want
+
+
+def test_summary_names_every_kind(spark):
+    df = spark.createDataFrame([(1, 1, 1), (3, 0, 2)], "a int, r int, m int").select(diff.summary(F.col("a"), F.col("r"), F.col("m")).alias("s"))
+    assert [r.s for r in df.collect()] == ["1 addition, 1 deletion, 1 modification", "3 additions, 2 modifications"]
+
+
+def plain_ops(old, new):
+    """The same rule with the whole table."""
+    a, b = old.split("\n"), new.split("\n")
+    head = 0
+    while head < min(len(a), len(b)) and a[head] == b[head]:
+        head += 1
+    x, y = a[head:], b[head:]
+    t = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+    for i, p in enumerate(x):
+        for j, q in enumerate(y):
+            t[i + 1][j + 1] = t[i][j] + 1 if p == q else max(t[i][j + 1], t[i + 1][j])
+    out, i, j = [], len(x), len(y)
+    while i or j:
+        if i and j and x[i - 1] == y[j - 1]:
+            i, j = i - 1, j - 1
+            out.append(("unchanged", head + i + 1, head + j + 1, x[i]))
+        elif j and (not i or t[i][j - 1] >= t[i - 1][j]):
+            j -= 1
+            out.append(("added", None, head + j + 1, y[j]))
+        else:
+            i -= 1
+            out.append(("removed", head + i + 1, None, x[i]))
+    return [("unchanged", k + 1, k + 1, a[k]) for k in range(head)] + out[::-1]
+
+
+longer = st.lists(st.sampled_from("abcd"), max_size=30).map("\n".join)
+
+
+@settings(max_examples=150, deadline=None)
+@given(longer, longer)
+def test_rows_made_again_give_the_whole_tables_path(old, new):
+    assert diff.diff_ops(old, new) == plain_ops(old, new)
+
+
+def test_long_texts_take_little_memory():
+    import tracemalloc
+
+    a, b = ("\n".join(str(i * k % 4001) for i in range(4000)) for k in (7, 11))
+    tracemalloc.start()
+    diff.diff_ops(a, b)
+    assert tracemalloc.get_traced_memory()[1] < 16 << 20  # the whole table takes 64 MB
+    tracemalloc.stop()
+
+
+def test_functions_for_sql(spark):
+    from tessera import sql
+
+    sql.register(spark)
+    spark.createDataFrame([(1, "a\nb\nc", "a\nx\nc\nd"), (2, None, "q")], "k int, old string, new string").createOrReplaceTempView("v")
+    rows = spark.sql("select k, d.* from v, lateral line_diff(v.old, v.new) d order by k, seq").collect()
+    assert [(r.op, r.line) for r in rows if r.k == 1] == [("unchanged", "a"), ("removed", "b"), ("added", "x"), ("unchanged", "c"), ("added", "d")]
+    diff.hunks(diff.line_diff(spark.table("v"), "k"), "k").createOrReplaceTempView("h")
+    made = spark.sql("select v.k, v.new, apply_hunks(v.old, g.hs) t from v join (select k, array_sort(collect_list(struct(hunk, type, old_start, old_end, new_start, new_end, content))) hs from h group by k) g on g.k = v.k")
+    assert all(r.new == r.t for r in made.collect()) and made.count() == 2
+    assert [tuple(r) for r in spark.sql("select * from declarations('export class A {}\n  def f(x):')").collect()] == [("A", "class", 1, True), ("f", "function", 2, False)]

@@ -195,3 +195,130 @@ def test_requests(spark):
     r = spark.createDataFrame([("Single", "theInstance", "contains"), ("UserModel", "notifyAll", "calls")], "src string, dst string, type string")
     below = spark.createDataFrame([("sortStrategy", 3)], "src string, n int")
     assert {x.type for x in features.patterns(s, r, below).collect()} == {"mvc", "strategy", "singleton", "observer"}
+
+
+def test_strong_components(spark):
+    import random
+
+    r = random.Random(2)
+    for n, m in ((6, 9), (25, 40), (40, 50)):
+        pairs = list({(r.randrange(n), r.randrange(n)) for _ in range(m)})
+        reach = {a: {b for x, b in pairs if x == a} for a, _ in pairs}
+        for _ in range(n):
+            reach = {a: s | {d for c in s for d in reach.get(c, ())} for a, s in reach.items()}
+        want = {a: min(b for b in s if a in reach.get(b, ())) for a, s in reach.items() if a in s}
+        assert {x.node: x.component for x in graph.strong_components(edges(spark, pairs), settle).collect()} == want
+    assert graph.strong_components(edges(spark, []), settle).count() == 0
+
+
+def test_scope_tree_matches_brute_force(spark):
+    import random
+
+    r = random.Random(3)
+    rows = [(f"f{i % 3}", i, a := r.randrange(60), a + r.randrange(40)) for i in range(150)]
+    got = {x.scope_id: (x.parent_id, x.depth) for x in scopes.scope_tree(spark.createDataFrame(rows, "file string, scope_id int, start_line int, end_line int").withColumn("depth", F.lit(9))).collect()}
+    for f, i, a, b in rows:
+        around = sorted([(x, -y, j) for g, j, x, y in rows if g == f and y >= b and (x, -y, j) < (a, -b, i)])
+        assert got[i] == (around[-1][2] if around else None, len(around))
+    v = spark.createDataFrame([(i, f"n{i % 5}") for _, i, _, _ in rows], "scope_id int, name string")
+    tree = scopes.scope_tree(spark.createDataFrame(rows, "file string, scope_id int, start_line int, end_line int"))
+    seen = {(x.scope_id, x.name): x.origin for x in scopes.accessible(tree, v, scopes.ancestors(tree, settle)).collect()}
+    for _, i, _, _ in rows:
+        at, names = i, {}
+        while at is not None:
+            names.setdefault(f"n{at % 5}", at)
+            at = got[at][0]
+        assert {n: o for (s, n), o in seen.items() if s == i} == names
+
+
+def test_shadow_severity_and_captures(spark):
+    v = spark.createDataFrame([("f", "a", 1, 0, False, False), ("f", "a", 2, 1, True, True), ("f", "a", 3, 2, False, True), ("f", "b", 1, 0, False, False), ("f", "b", 2, 1, False, True), ("g", "b", 9, 1, False, True)], "file string, name string, scope_id int, depth int, is_parameter boolean, is_constant boolean")
+    got = {(r.name, r.scope_id): (r.shadows, r.severity) for r in scopes.shadowing(v).collect()}
+    assert got == {("a", 3): (2, "warning"), ("a", 2): (1, "warning"), ("b", 2): (1, "error")}
+
+
+def test_suggestions_match_brute_force(spark):
+    import random
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a):
+            new = [i + 1]
+            for j, y in enumerate(b):
+                new.append(min(row[j] + (x != y), row[j + 1] + 1, new[j] + 1))
+            row = new
+        return row[-1]
+
+    r = random.Random(4)
+    word = lambda: "".join(r.choice("abcd") for _ in range(r.randrange(1, 11)))
+    names = sorted({word() for _ in range(60)} | {""})
+    packages = sorted({word() for _ in range(60)} | {"Abcdabcd"})
+    s, p = spark.createDataFrame([(x,) for x in names], "symbol string"), spark.createDataFrame([(x,) for x in packages], "package string")
+    for t in (0.3, 0.6, 0.8):
+        want = {(a, b) for a in names for b in packages if a and b and (max(len(a), len(b)) - distance(a.lower(), b.lower())) / max(len(a), len(b)) > t}
+        assert {(x.symbol, x.package) for x in relational.suggest_imports(s, p, t).collect()} == want, t
+
+
+def test_bottom_share_and_policies(spark):
+    rows = [(i, (i * 37 % 50) / 50, 10) for i in range(97)]
+    df = spark.createDataFrame(rows, "key int, score double, size int")
+    order = [k for k, s, _ in sorted(rows, key=lambda r: (r[1], r[0]))]
+    for share in (0.0, 0.01, 0.2, 0.5, 1.0):
+        assert {r.key for r in cache.bottom_share(df, share).collect()} == set(order[: int(share * 97)])
+    assert cache.bottom_share(df, 0.2, capacity=10_000).count() == 0 and cache.bottom_share(df, 0.2, capacity=1000).count() == 19
+    assert cache.bottom_share(df, 0.001, parity=True).count() == 97
+    e = spark.createDataFrame([(1, 0.1, 0, 1), (2, 0.9, 950, 100), (3, 0.4, 700, 30)], "key int, relevance double, last_ms long, accesses int")
+    gone = lambda p: {r.key for r in cache.evictions_by_policy(e, p, 1000, 200, 0.3).collect()}
+    assert gone("lru") == {1, 3} and gone("ttl") == {1} and gone("lfu") == {1} and gone("fifo") == {1}
+    o = spark.createDataFrame([(1, 1, True), (1, 2, False), (1, 3, True), (2, 1, False)], "k int, t int, hit boolean")
+    got = {r.k: (r.hit_rate, r.miss_rate) for r in cache.rate_recurrence(o, "k", "t").collect()}
+    # after a hit (1, 0); a miss: (0 * 1 + 1) / 2; a hit: (1 * 1.5 + 1) / 2.5
+    assert got == {1: (1.0, 0.5), 2: (0.0, 1.0)}
+
+
+def test_macro_f1_is_of_the_means(spark):
+    rows = [(0, 0)] * 5 + [(0, 1)] * 3 + [(1, 1)] * 2 + [(2, 0)] * 4
+    m = relational.macro_scores(spark.createDataFrame(rows, "a int, p int"), "a", "p").first()
+    p, r = (5 / 9 + 2 / 5) / 2, (5 / 8 + 2 / 2 + 0) / 2
+    assert abs(m.precision - p) < 1e-9 and abs(m.recall - r) < 1e-9 and abs(m.f1 - 2 * p * r / (p + r)) < 1e-9
+
+
+def test_cosine_ties_keep_the_smallest_keys(spark):
+    v = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(500, 0, -1)], "key long, v array<double>")
+    got = vectors.cosine_topk(v, v.where("key = 400"), 5).orderBy("rank").collect()
+    assert [r.key for r in got] == [1, 2, 3, 4, 5]
+
+
+def test_code_models_are_weighted(spark):
+    from tessera.operators import relevance
+
+    rows = [(i, ["get", "user", f"w{i % 3}"], ["fn", "block"], ["auth", f"s{i % 2}"]) for i in range(12)]
+    t = spark.createDataFrame(rows, "key int, tokens array<string>, structure array<string>, semantics array<string>")
+    models = {n: vectors.word_vectors(t.select(F.col(n).alias("tokens")), 8) for n in ("tokens", "structure", "semantics")}
+    got = {r.key: np.array(r.v) for r in relevance.model_cascade(t, models).collect()}
+    word = {n: {r.word: np.array(r.vector.toArray()) for r in m.getVectors().collect()} for n, m in models.items()}
+    for k, *parts in rows:
+        want = sum(w * np.mean([word[n].get(x, np.zeros(8)) for x in p], axis=0) for n, p, w in zip(("tokens", "structure", "semantics"), parts, (0.5, 0.3, 0.2), strict=True))
+        assert np.allclose(got[k], want / np.linalg.norm(want), atol=1e-5)
+    assert relevance.model_cascade(t, d=32).count() == 12
+
+
+def test_language_of_paths(spark):
+    got = spark.createDataFrame([("a.sc",), ("x/y.MLI",), ("b.unknown",), ("c",)], "p string").select(facts.language("p").alias("l")).collect()
+    assert [r.l for r in got] == ["scala", "ocaml", None, None]
+
+
+def test_shared_folder_is_required_on_a_cluster():
+    from tessera.plans import tables
+
+    class Context:
+        master = "spark://host:7077"
+        getConf = lambda self: self
+        get = lambda self, k: None
+        getCheckpointDir = lambda self: None
+
+    class Session:
+        sparkContext = Context()
+
+    with pytest.raises(ValueError):
+        tables.shared_dir(Session())
