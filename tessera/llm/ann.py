@@ -36,7 +36,7 @@ from tessera.llm.common import Batches, mix, settle
 
 SAMPLE, CALIBRATE, RECALL = 32_768, 96, 0.96
 PER_CELL, LEAST_CENTROIDS, MOST_CENTROIDS = 50, 16, 512
-LEAST_SHARD, MOST_SHARD, QUERY_BLOCK = 512, 32_768, 16_384
+LEAST_SHARD, MOST_SHARD, QUERY_BLOCK = 256, 32_768, 16_384
 #: Scores of queries against a shard that are worked on at once.
 CELLS = 1 << 21
 TIE = 1e-9
@@ -48,8 +48,8 @@ def centroids_for(n: int) -> int:
 
 
 def shard_for(n: int) -> int:
-    """Vectors of a shard: about 64 shards for small tables, bounded memory for large ones."""
-    return min(max(n // 64, LEAST_SHARD), MOST_SHARD)
+    """Vectors of a shard: 20 shards, of bounded memory for large tables, which have more. A query's candidates are at most k for each shard that it visits."""
+    return min(max(n // 20, LEAST_SHARD), MOST_SHARD)
 
 
 def matrix(column: pa.Array) -> np.ndarray:
