@@ -103,11 +103,11 @@ def _enough(held: Column, known: Templates, containment: float) -> Column:
 
 
 def _blocks(ranked: DataFrame, length: int, least: int) -> DataFrame:
-    """rid, length and held: the template words of each block of so many words that holds at least so many; equal ones of a text once."""
+    """rid, length and held: the template words of each block of so many words that holds at least so many."""
     half = length // 2
     n_blocks = F.greatest(F.ceil((F.size("r") - length) / half) + 1, F.lit(1)).cast("int")
     cut = F.transform(F.sequence(F.lit(0), n_blocks - 1), lambda i: F.array_sort(F.array_distinct(F.array_compact(F.slice("r", i * half + 1, length)))))
-    return ranked.select("rid", F.lit(length).alias("length"), F.explode(F.array_distinct(F.filter(cut, lambda b: F.size(b) >= least))).alias("held"))
+    return ranked.select("rid", F.lit(length).alias("length"), F.explode(F.filter(cut, lambda b: F.size(b) >= least)).alias("held"))
 
 
 def contained(some: DataFrame, rank: dict[str, int], known: Templates, containment: float = CONTAINMENT) -> DataFrame:
@@ -120,12 +120,14 @@ def contained(some: DataFrame, rank: dict[str, int], known: Templates, containme
     prefixes = F.broadcast(spark.createDataFrame(rows, "template int, label string, family int, length int, own array<int>, n_own int, need int, rank int, k int"))
 
     ranks = F.create_map(*[F.lit(x) for w in rank for x in (w, rank[w])])
-    ranked = some.select("rid", "w", "held", F.transform("held", lambda x: F.element_at(ranks, x)).alias("of"))
+    # written: else the optimiser would move the lookups of all held words into the lambda and make them for every word
+    ranked = settle(some.select("rid", "w", "held", F.transform("held", lambda x: F.element_at(ranks, x)).alias("of")))
     ranked = ranked.select("rid", F.transform("w", lambda x: F.get("of", F.array_position("held", x).cast("int") - 1)).alias("r"))  # null: no template word
     parts = [_blocks(ranked, length, min(needed(t, containment) for (_, t), (_, n) in zip(known, kin, strict=True) if n == length)) for length in sorted({n for _, n in kin})]
     held = parts[0]
     for p in parts[1:]:
         held = held.union(p)
+    held = held.distinct()  # the same words found once more add nothing
     cand = held.select("rid", "length", "held", F.posexplode("held").alias("j", "rank")).join(prefixes, ["length", "rank"]).where(F.size("held") >= F.col("need"))
     cand = cand.where(1 + F.least(F.col("n_own") - F.col("k") - 1, F.size("held") - F.col("j") - 1) >= F.col("need"))
     both = F.size(F.array_intersect("held", "own"))
