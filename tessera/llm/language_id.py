@@ -132,19 +132,22 @@ def word_scores(texts: list[str], model: LanguageModel) -> tuple[np.ndarray, np.
     """Of each word of all texts together: score by language (0 for the best, down to -``WORD_CLIP``), letters, text."""
     bucket, script, word, owner = letters(texts)
     n, k = len(owner), len(model.langs)
-    scores, step = np.zeros((n, k), np.float32), max(1, CELLS // max(k, 1))
-    for at in range(0, len(word), step):
-        part = word[at : at + step]
-        new = np.flatnonzero(np.diff(part, prepend=-1))
-        scores[part[new]] += np.add.reduceat(model.score[bucket[at : at + step]], new, axis=0)
-    starts = np.flatnonzero(np.diff(word, prepend=-1))
+    step, starts = max(1, CELLS // max(k, 1)), np.flatnonzero(np.diff(word, prepend=-1))
+    if 0 < len(word) <= step:
+        scores = np.add.reduceat(model.score[bucket], starts, axis=0)
+    else:
+        scores = np.zeros((n, k), np.float32)
+        for at in range(0, len(word), step):
+            part = word[at : at + step]
+            new = np.flatnonzero(np.diff(part, prepend=-1))
+            scores[part[new]] += np.add.reduceat(model.score[bucket[at : at + step]], new, axis=0)
     for at in range(0, n, step):
         rows = slice(at, at + step)
         allowed = model.allowed[script[starts[rows]]]
         part = np.where(allowed, scores[rows], -np.inf)
         top = part.max(1, keepdims=True, initial=-np.inf)
         known = np.isfinite(top)
-        scores[rows] = np.where(known, np.maximum(part - np.where(known, top, 0), -WORD_CLIP), 0)
+        scores[rows] = np.maximum(part - top, -WORD_CLIP) if known.all() else np.where(known, np.maximum(part - np.where(known, top, 0), -WORD_CLIP), 0)
     return scores, np.diff(starts, append=len(word)), owner
 
 
@@ -258,6 +261,10 @@ def detect(docs: DataFrame, model: LanguageModel, key: str = "doc_id", text: str
         m = whole.value
         for b in batches:
             texts = as_text(b.column(1))
+            # texts of a length together: those of a group advance as long as its longest
+            order = sorted(range(len(texts)), key=lambda i: len(texts[i]))
+            place = np.argsort(order)
+            texts = [texts[i] for i in order]
             n, k = len(texts), max(len(m.langs), 1)
             share, n_spans, runs = np.zeros((n, k)), np.zeros(n, np.int64), [[] for _ in texts]
             for at, labels, size, owner in labelled(texts, m) if m.langs else ():
@@ -270,6 +277,7 @@ def detect(docs: DataFrame, model: LanguageModel, key: str = "doc_id", text: str
                     first = np.searchsorted(owner, np.arange(several))
                     for i, size_ in zip(new.tolist(), np.diff(new, append=len(owner)).tolist(), strict=True):
                         runs[at + owner[i]].append({"first": i - int(first[owner[i]]), "words": size_, "lang": m.langs[labels[i]]})
+            share, n_spans, runs = share[place], n_spans[place], [runs[i] for i in place]
             total, best = share.sum(1), share.argmax(1)
             pred = [m.langs[x] if t else UNKNOWN for x, t in zip(best, total, strict=True)]
             score = np.where(total > 0, share[np.arange(n), best] / np.maximum(total, 1), 0.0)
