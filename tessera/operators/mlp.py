@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 ACTIVATIONS = {
@@ -131,3 +131,31 @@ def predict(df: DataFrame, net: Network, key: str, x: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(y.tolist(), pa.list_(pa.float64())), pa.array(cls, pa.int32()), pa.array(sure, pa.float64())], names=[key, "prediction", "cls", "confidence"])
 
     return df.select(key, x).mapInArrow(run, f"`{key}` {kind}, prediction array<double>, cls int, confidence double")
+
+
+# Words in a feature's name that tell its category, the first that fits.
+CATEGORIES = [("text", "text|word|token"), ("code", "code|ast|syntax"), ("context", "context|scope|file"), ("usage", "usage|frequency|count")]
+
+
+def feature_importance(df: DataFrame, net: Network, x: str, names: list[str]) -> DataFrame:
+    """feature, importance (mean absolute gradient over all rows), rank (from 1, ties by position) and category of each input of the network.
+
+    Each batch gives one row of sums per input, so the sums alone travel. No rows give importances of null.
+    """
+    shared = df.sparkSession.sparkContext.broadcast(net)
+    n = net.sizes[0]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                sums = shared.value.importance(np.array(b.column(0).to_pylist(), float)) * b.num_rows
+                yield pa.RecordBatch.from_arrays([pa.array(range(n), pa.int32()), pa.array(sums, pa.float64()), pa.array([b.num_rows] * n, pa.int64())], names=["i", "total", "held"])
+
+    sums = df.where(F.col(x).isNotNull()).select(x).mapInArrow(run, "i int, total double, held long").groupBy("i").agg((F.sum("total") / F.sum("held")).alias("importance"))
+    named = df.sparkSession.createDataFrame([(i, names[i] if i < len(names) else f"feature_{i}") for i in range(n)], "i int, feature string")
+    category = F.lit("semantic")
+    for name, pattern in reversed(CATEGORIES):
+        category = F.when(F.col("feature").rlike(pattern), name).otherwise(category)
+    # one row per input of the network: a window over them all is small
+    rank = F.row_number().over(Window.orderBy(F.desc("importance"), "i"))
+    return named.join(sums, "i", "left").select("feature", "importance", rank.alias("rank"), category.alias("category"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import scalars as S
-from tessera.operators import files, graph, relational, requests
+from tessera.operators import files, graph, relational, relations, requests
 from tessera.plans.registry import query
 from tessera.plans.tables import settle
 from tessera.sources import facts
@@ -118,3 +118,45 @@ def import_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def symbols_present(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = facts.code_files(spark, sf_dir).select(F.col("p_partkey").alias("key"), F.col("content").alias("code"))
     return relational.present(f, spark.createDataFrame([("C1",), ("K2",), ("f7",)], "symbol string"))
+
+
+def _related(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Declarations and relations of the files, each with a class that extends its own and a function that calls its first one."""
+    k = F.col("p_partkey").cast("string")
+    f = facts.code_files(spark, sf_dir).join(facts.table(spark, sf_dir, "part").select("p_partkey", "p_size"), "p_partkey")
+    more = F.concat(F.lit("\nclass D"), k, F.lit(" extends C"), (F.col("p_partkey") % 4).cast("string"), F.lit(" {}\nfunction g"), k, F.lit("() {\n  if (K) f"), F.col("p_size").cast("string"), F.lit("();\n}"))
+    f = settle(f.select("file_path", F.concat("content", more).alias("content")))
+    return facts.scan_declarations(f), relations.extract_relations(f)
+
+
+_RELATED = """k as (select p_partkey k, p_size s, '/src/m' || p_partkey || case when p_partkey % 11 = 0 then '.test.ts' else '.ts' end p from part), rel as (select p file_path, 'inherits' as type, 'D' || k as source, 'C' || k % 4 target, 0.9::double confidence, 6::int line from k union all select p, 'calls', 'g' || k, 'f' || s, 0.8, 8 from k
+union all select p, 'imports', 'C' || (k // 3) % 4, './m' || k // 3, 1.0, 1 from k union all select p, 'imports', 'x', 'pkg' || k % 5, 1.0, 2 from k where k % 10 not in (3, 4)),
+dec as (select p file_path, 'C' || k % 4 as name, 'class' kind, 3 line from k union all select p, 'K' || k % 3, 'constant', 4 from k union all select p, 'f' || s, 'function', 5 from k union all select p, 'D' || k, 'class', 6 from k union all select p, 'g' || k, 'function', 7 from k),
+refs as (select name symbol, file_path file, line::int line, 'definition' as type, 'global' as scope from dec union all select target, file_path, line, case type when 'calls' then 'call' else 'import' end, 'unknown' from rel where type <> 'inherits')"""
+_REFERENCES = "symbol, file, line, type, 'Line ' || line || ' in ' || split_part(file, '/', -1) context, scope from refs"
+
+
+@query(f"with {_RELATED} select * from rel")
+def symbol_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _related(spark, sf_dir)[1]
+
+
+@query(f"with {_RELATED} select {_REFERENCES}")
+def symbol_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relations.symbol_references(*_related(spark, sf_dir))
+
+
+@query(f"with {_RELATED} select {_REFERENCES} where symbol in ('C1', 'f7', 'pkg2')")
+def references_of_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wanted = spark.createDataFrame([("C1",), ("f7",), ("pkg2",)], "symbol string")
+    return relations.references_of(relations.symbol_references(*_related(spark, sf_dir)), wanted)
+
+
+@query(f"with {_RELATED}, e as (select distinct source, target from rel where type in ('inherits', 'calls')) select coalesce(name, source) src, target dst from (select distinct name from dec) full join e on name = source")
+def symbol_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relations.dependency_graph(*_related(spark, sf_dir))
+
+
+@query(f"with {_RELATED} select file_path, kind, count(*) n, string_agg(name, ',' order by line) as names from dec group by 1, 2")
+def declarations_by_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relations.by_type(_related(spark, sf_dir)[0]).withColumn("names", F.array_join("names", ","))

@@ -10,24 +10,29 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
-def cache_stream(events: DataFrame, key: str, ts: str, ttl_s: int) -> DataFrame:
+def cache_stream(events: DataFrame, key: str, ts: str, ttl_s: int, gone: str | None = None) -> DataFrame:
     """key, hits, misses after each micro-batch: an access hits if the key's last one is at most ttl_s seconds of event time old.
 
     The state of a key is its last access and two counters; it goes when the watermark passes the time to live. ``events``
-    must have a watermark on ``ts``.
+    must have a watermark on ``ts``. Rows whose boolean column ``gone`` is true are no accesses but drop the key's entry, so
+    its next access misses (after accesses of the same moment); all keys are cleared by such a row for each of them.
     """
+    events = events.select(key, ts, (F.lit(False) if gone is None else F.coalesce(gone, F.lit(False))).alias("gone"))
 
     def step(group: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last, hits, misses = state.get if state.exists else (-1, 0, 0)
         if state.hasTimedOut:
             state.remove()
             return
-        times = sorted(t.value // 1000 for f in frames for t in f[ts])
-        for t in times:
+        times = sorted((t.value // 1000, bool(g)) for f in frames for t, g in zip(f[ts], f["gone"], strict=True))
+        for t, dropped in times:
+            if dropped:
+                last = -1
+                continue
             hit = last >= 0 and t - last <= ttl_s * 1_000_000
             hits, misses, last = hits + hit, misses + (not hit), t
         state.update((last, hits, misses))
-        state.setTimeoutTimestamp(max(last // 1000 + ttl_s * 1000, state.getCurrentWatermarkMs() + 1))
+        state.setTimeoutTimestamp(max(times[-1][0] // 1000 + ttl_s * 1000, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({key: [group[0]], "hits": [hits], "misses": [misses]})
 
     kind = events.schema[key].dataType.simpleString()
@@ -66,3 +71,19 @@ def current_facts(spark: SparkSession, target: str) -> DataFrame:
     f = spark.read.parquet(target)
     newest = f.groupBy("file_path").agg(F.max("batch").alias("batch"))
     return f.join(newest, ["file_path", "batch"], "left_semi")
+
+
+def append_feedback(feedback: DataFrame, target: str, checkpoint: str, on_full: Callable[[DataFrame], None] | None = None, every: int = 100):
+    """Start a query that appends feedback (query, symbol, relevance) to the table at ``target``; ``on_full`` gets the table whenever it has passed another ``every`` rows.
+
+    A batch that is tried again replaces its own part, so no row counts twice; ``on_full`` may be called again for it.
+    """
+
+    def add(batch: DataFrame, batch_id: int) -> None:
+        batch.select("query", "symbol", "relevance", F.current_timestamp().alias("at")).write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
+        held = batch.sparkSession.read.parquet(target)
+        total, own = held.count(), held.where(F.col("batch") == batch_id).count()
+        if on_full and total // every > (total - own) // every:
+            on_full(held)
+
+    return feedback.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
