@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import ann, decontaminate, html_extract, importance, language_id, license_scan, lm_score, mixing, near_dedup, periodic, quality, toxicity
+from tessera.llm import ann, decontaminate, html_extract, importance, language_id, license_scan, lm_score, mixing, near_dedup, packing, periodic, quality, toxicity
 from tessera.llm.common import fold, table
 
 
@@ -67,7 +68,11 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.digests(periodic.find(table(spark, sf_dir, "documents", "doc_id", "text"), rewrite=periodic.periodic_tail))
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_quality_resampling, op3_toxicity, op4_nearest_neighbours, op5_lm_score, op6_source_mixing, op7_decontamination, op8_language_id, op9_main_text, op10_license_scan, op11_importance_resampling, op12_periodic_runs)}
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_quality_resampling, op3_toxicity, op4_nearest_neighbours, op5_lm_score, op6_source_mixing, op7_decontamination, op8_language_id, op9_main_text, op10_license_scan, op11_importance_resampling, op12_periodic_runs, op13_packing)}
 
 #: DuckDB SQL of the queries that SQL can express.
 ORACLE_SQL: dict[str, str] = {"op1_near_dedup": near_dedup.oracle_sql(4, 80), "op10_license_scan": license_scan.oracle_sql(), "op11_importance_resampling": importance.oracle_sql()}
