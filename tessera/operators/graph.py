@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections import defaultdict
+from collections.abc import Callable, Iterator
+from itertools import groupby, islice
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -74,20 +77,96 @@ def longest_path(edges: DataFrame, settle: Callable[[DataFrame], DataFrame], src
     return layers(edges, settle, src, dst, max_rounds).withColumnRenamed("layer", "depth")
 
 
-def cycles(edges: DataFrame, settle: Callable[[DataFrame], DataFrame], src: str = "src", dst: str = "dst", max_length: int = 6) -> DataFrame:
-    """(path, length): every elementary cycle of at most max_length edges, once, from its smallest node; path repeats it at the end.
+def circuits(near: dict, start) -> Iterator[list]:
+    """Johnson's search: every elementary cycle through ``start`` of a graph whose nodes all lie on a way back to it.
 
-    Paths start at their smallest node and only grow through larger ones, so each cycle is met once.
+    A node whose search found no cycle stays blocked until one of the nodes behind it is on a cycle again, so between two
+    cycles no edge is tried more than twice.
     """
-    e = edges.select(F.col(src).alias("src"), F.col(dst).alias("dst")).distinct()
-    loops = e.where("src = dst").select(F.array("src", "dst").alias("path"))
-    grow = e.where("src < dst").select(F.array("src", "dst").alias("path"), F.col("src").alias("first"), F.col("dst").alias("last"))
-    for _ in range(2, max_length + 1):
-        grow = settle(grow)
-        step = grow.join(e.select(F.col("src").alias("last"), F.col("dst").alias("next")), "last").where("next >= first")
-        loops = loops.union(step.where("next = first").select(F.concat("path", F.array("next"))))
-        grow = step.where((F.col("next") > F.col("first")) & ~F.array_contains("path", F.col("next"))).select(F.concat("path", F.array("next")).alias("path"), "first", F.col("next").alias("last"))
-    return loops.withColumn("length", F.size("path") - 1)
+    blocked, waiting, path, open_, found = {start}, defaultdict(set), [start], [iter(near[start])], [False]
+    while open_:
+        step = next(open_[-1], None)
+        if step == start and step is not None:
+            yield [*path, start]
+            found[-1] = True
+        elif step is not None:
+            if step not in blocked:
+                blocked.add(step)
+                path.append(step), open_.append(iter(near[step])), found.append(False)
+        else:
+            node, led = path.pop(), found.pop()
+            open_.pop()
+            if led:
+                free = [node]
+                while free:
+                    n = free.pop()
+                    if n in blocked:
+                        blocked.discard(n)
+                        free += waiting.pop(n, ())
+                if found:
+                    found[-1] = True
+            else:
+                for n in near[node]:
+                    waiting[n].add(node)
+
+
+def _from_smallest(edges: list[tuple], starts: list) -> Iterator[list]:
+    """The cycles of a component whose smallest node is one of the starts."""
+    out, into = defaultdict(list), defaultdict(list)
+    for a, b in edges:
+        out[a].append(b), into[b].append(a)
+
+    def reached(start, near: dict) -> set:
+        seen, todo = {start}, [start]
+        while todo:
+            for n in near[todo.pop()]:
+                if n > start and n not in seen:
+                    seen.add(n), todo.append(n)
+        return seen
+
+    for start in starts:
+        both = reached(start, out) & reached(start, into)
+        if len(both) > 1:
+            yield from circuits({n: sorted(m for m in out[n] if m in both) for n in both}, start)
+
+
+def cycles(edges: DataFrame, settle: Callable[[DataFrame], DataFrame], src: str = "src", dst: str = "dst", max_edges: int = 100_000, starts: int = 64) -> DataFrame:
+    """(path, length): every elementary cycle, of any length, once, from its smallest node; path repeats it at the end.
+
+    A cycle lies inside a strong component. Each component's edges go to tasks that search from up to ``starts`` of its
+    nodes each, through larger nodes only; cycles are streamed out as they are found. A component of more than
+    ``max_edges`` edges is an error (its edges are held by one task, and its cycles may be more than can be listed).
+    """
+    e = settle(edges.select(F.col(src).alias("src"), F.col(dst).alias("dst")).where("src is not null and dst is not null").distinct())
+    of = lambda c, name: strong.select(F.col("node").alias(c), F.col("component").alias(name))
+    strong = strong_components(e, settle)
+    inner = settle(e.where("src <> dst").join(of("src", "component"), "src").join(of("dst", "_to"), "dst").where("component = _to").select("component", "src", "dst"))
+    size = inner.groupBy("component").agg(F.count("*").alias("edges"), F.count_distinct("src").alias("nodes"))
+    large = size.where(F.col("edges") > max_edges).first()
+    if large:
+        raise ValueError(f"the component of {large['component']} has {large['edges']} edges, more than {max_edges}")
+    parts = F.explode(F.sequence(F.lit(0), F.ceil(F.col("nodes") / starts).cast("int") - 1))
+    dealt = inner.join(size.select("component", F.ceil(F.col("nodes") / starts).cast("int").alias("parts"), parts.alias("part")), "component")
+    kind = e.schema["src"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        node = None
+
+        def rows() -> Iterator[tuple]:
+            nonlocal node
+            for b in batches:
+                node = b.schema.field("src").type
+                yield from zip(*(c.to_pylist() for c in b.columns), strict=True)
+
+        for (_, part, parts), group in groupby(rows(), key=lambda r: r[:3]):
+            own = [(a, b) for *_, a, b in group]
+            found = _from_smallest(own, sorted({a for a, _ in own})[part::parts])
+            while paths := list(islice(found, 4096)):
+                yield pa.RecordBatch.from_pydict({"path": pa.array(paths, pa.list_(node)), "length": pa.array([len(p) - 1 for p in paths], pa.int32())})
+
+    ordered = dealt.repartition("component", "part").sortWithinPartitions("component", "part").select("component", "part", "parts", "src", "dst")
+    loops = e.where("src = dst").select(F.array("src", "dst").alias("path"), F.lit(1).alias("length"))
+    return loops.union(ordered.mapInArrow(run, f"path array<{kind}>, length int"))
 
 
 def change_impact(edges: DataFrame, changed: DataFrame, settle: Callable[[DataFrame], DataFrame], src: str = "src", dst: str = "dst") -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import scalars as S
@@ -128,18 +128,15 @@ def pair_coupling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("a", "b", F.round("coupling", 6).alias("coupling"))
 
 
-@query(f"""with r as (select src, dst, case type when 'A' then 'contains' when 'N' then 'uses' else 'calls' end as type from ({_REL})), n as (select l_partkey dst, count(*) // 8 n from lineitem group by 1)
-select src, dst, type, round(least(case type when 'contains' then 0.9 when 'uses' then 0.6 else 0.4 end * least(coalesce(n, 0) / 5.0, 1.5), 1.0), 6)::double strength from r left join n using (dst)""")
+@query("""with r as (select o_orderkey src, lead(o_orderkey) over (partition by o_custkey order by o_orderdate, o_orderkey) dst, case o_orderstatus when 'P' then 'contains' when 'F' then 'uses' else 'calls' end as type from orders), n as (select l_orderkey dst, count(*) n from lineitem group by 1)
+select src, dst, type, round(least(case type when 'contains' then 0.9 when 'uses' then 0.6 else 0.4 end * least(coalesce(n, 0) / 5.0, 1.5), 1.0), 6)::double strength from r left join n using (dst) where dst is not null""")
 def composition_strength(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = facts.relationships(spark, sf_dir).withColumn("type", F.when(F.col("type") == "A", "contains").when(F.col("type") == "N", "uses").otherwise("calls"))
-    every = facts.table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("symbol")).count()
-    return relational.composition_strength(r, _eighths(every)).select("src", "dst", "type", F.round("strength", 6).alias("strength"))
-
-
-def _eighths(counts: DataFrame) -> DataFrame:
-    """(symbol, count) -> one reference row for every eight: about four a symbol."""
-    n = F.floor(F.col("count") / 8).cast("int")
-    return counts.where(n > 0).select("symbol", F.explode(F.sequence(F.lit(1), n)))
+    """Each order beside the customer's next one, by its status; every line item is a reference of its order."""
+    o = facts.table(spark, sf_dir, "orders")
+    later = F.lead("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))
+    kind = F.when(F.col("o_orderstatus") == "P", "contains").when(F.col("o_orderstatus") == "F", "uses").otherwise("calls")
+    r = o.select(F.col("o_orderkey").alias("src"), later.alias("dst"), kind.alias("type")).where("dst is not null")
+    return relational.composition_strength(r, facts.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("symbol"))).select("src", "dst", "type", F.round("strength", 6).alias("strength"))
 
 
 @query(f"""with e as ({_REL}), o as (select src node, count(*) fan_out from e group by 1), i as (select dst node, count(*) fan_in from e group by 1), k as (select p_partkey node, case p_type when 'PROMO' then 'interface' when 'LARGE' then 'class' when 'SMALL' then 'function' else 'variable' end kind from part),

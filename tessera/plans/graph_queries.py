@@ -41,10 +41,11 @@ def change_impact(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""with recursive e as ({facts.TRANSITIONS_SQL}), p as (select src as first, dst as last, [src, dst] path from e where src < dst
-union all select first, e.dst, list_append(path, e.dst) from p join e on e.src = p.last where p.last <> p.first and len(path) <= 4 and e.dst >= first and (e.dst = first or not list_contains(path, e.dst)))
+union all select first, e.dst, list_append(path, e.dst) from p join e on e.src = p.last where p.last <> p.first and e.dst >= first and (e.dst = first or not list_contains(path, e.dst)))
 select array_to_string(path, '->') path, (len(path) - 1)::int length from p where first = last""")
 def dependency_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = graph.cycles(facts.transitions(spark, sf_dir), settle, max_length=4)
+    """Every elementary cycle of the events of a user, of any length."""
+    c = graph.cycles(facts.transitions(spark, sf_dir), settle)
     return c.select(F.array_join("path", "->").alias("path"), "length")
 
 

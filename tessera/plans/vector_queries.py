@@ -135,16 +135,16 @@ _EMB = f"""f as ({_FIG}), t as (select key, unnest(name_tokens) token from f), v
 g as (select key, unnest([236, 237, 238, 239, 240]) idx, unnest([0.1 * line_count / 100.0, 0.1 * complexity / 10.0, 0.1 * dependencies / 20.0, 0.1 * usage_count / 50.0, 0.1 * is_public::int]::double[]) x from f), e as (select * from w union all select * from g), n as (select key, sqrt(sum(x * x)) n from e group by 1), v as (select e.key, idx, x / n.n x from e join n using (key))"""
 
 
-@query(f"""with {_EMB}, s as (select q.key query_id, v.key, round(sum(q.x * v.x), 12) score from v q join v using (idx) where q.key % 100 = 7 and q.key <> v.key group by all), r as (select *, row_number() over (partition by query_id order by score desc, key) k from s where score > 0.1)
+@query(f"""with {_EMB}, s as (select q.key query_id, v.key, round(sum(q.x * v.x), 12) score from v q join v using (idx) where q.key % 50 = 0 and q.key <> v.key group by all), r as (select *, row_number() over (partition by query_id order by score desc, key) k from s where score > 0.1)
 select query_id, key, k::int as rank, round(score, 6) score from r where k <= 10""")
 def similar_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ten symbols most like each hundredth one, by names and figures."""
+    """The ten symbols most like each one whose key is divisible by 50, by names and figures."""
     f = settle(_figures(spark, sf_dir).withColumns({"inheritance_depth": F.lit(0), "coupling": F.lit(0)}).withColumn("is_public", F.col("is_public").cast("int")))
     tok = f.select("key", F.explode("name_tokens").alias("token"))
     n = f.count()
     idf = tok.groupBy("token").agg(F.log(F.lit(float(n)) / F.count_distinct("key")).alias("idf")).withColumn("idx", F.dense_rank().over(Window.orderBy("token")) - 1)
     e = relevance.embed({"name_tokens": tok}, idf, f)
-    s = relevance.similar_symbols(e, f, f.where("key % 100 = 7"))
+    s = relevance.similar_symbols(e, f, f.where("key % 50 = 0"))
     return s.select("query_id", "key", "rank", F.round("score", 6).alias("score"))
 
 

@@ -52,15 +52,6 @@ def relationships(spark: SparkSession, sf_dir: str) -> DataFrame:
 RELATIONSHIPS_SQL = """select distinct src, dst, type from (select l_partkey src, lead(l_partkey) over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_shipdate, l_returnflag, l_extendedprice) dst, l_returnflag as type from lineitem) where dst is not null"""
 
 
-def dag(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
-    """Edges src < dst <= k: a graph without cycles, small enough for its closure."""
-    return relationships(spark, sf_dir).where((F.col("src") < F.col("dst")) & (F.col("dst") <= k)).select("src", "dst").distinct()
-
-
-def dag_sql(k: int) -> str:
-    return f"select distinct src, dst from ({RELATIONSHIPS_SQL}) where src < dst and dst <= {k}"
-
-
 def page_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """page_id, pos, target: links of a page in order, as import statements."""
     p = table(spark, sf_dir, "pages")
@@ -147,14 +138,22 @@ def scan_declarations(df: DataFrame, path: str = "file_path", content: str = "co
     return ln.where(F.col("line").rlike(pattern)).select("file_path", name.alias("name"), F.coalesce(F.element_at(kinds, kind), kind).alias("kind"), (F.col("pos") + 1).alias("start_line"), exported.alias("exported"))
 
 
+def folded(path: Column) -> Column:
+    """A path without ``.`` and ``..`` parts: each ``..`` takes off the part before it, stays where a relative path has none left, and goes at the root."""
+
+    def step(done: Column, part: Column) -> Column:
+        last = F.element_at(done, -1)
+        up = F.when((F.size(done) == 0) | (last == ".."), F.concat(done, F.array(part))).when((F.size(done) == 1) & (last == ""), done).otherwise(F.slice(done, 1, F.size(done) - 1))
+        return F.when((part == ".") | ((part == "") & (F.size(done) > 0)), done).when(part == "..", up).otherwise(F.concat(done, F.array(part)))
+
+    return F.array_join(F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), step), "/")
+
+
 def resolve_imports(imports: DataFrame, files_: DataFrame, candidates: list[str] = RESOLVE) -> DataFrame:
     """imports with target_path: the first candidate of a relative import that is a file (own path, then extensions, then index files)."""
-    base = F.regexp_replace("file_path", r"[^/]*$", "")
-    full = F.concat(base, F.regexp_replace("source", r"^\./", ""))
-    for _ in range(6):  # a/../b -> b
-        full = F.regexp_replace(full, r"[^/.]+/\.\./", "")
-    rel = imports.where(F.col("source").startswith("."))
-    cand = rel.select("file_path", "source", F.posexplode(F.transform(F.array(*map(F.lit, candidates)), lambda e: F.concat(full, e))).alias("ordinal", "target_path")).distinct()
+    rel = imports.where(F.col("source").startswith(".")).select("file_path", "source").distinct()
+    rel = rel.withColumn("_full", folded(F.concat(F.regexp_replace("file_path", r"[^/]*$", ""), "source")))
+    cand = rel.select("file_path", "source", F.posexplode(F.transform(F.array(*map(F.lit, candidates)), lambda e: F.concat("_full", e))).alias("ordinal", "target_path")).distinct()
     hit = cand.join(files_.select(F.col("file_path").alias("target_path")).distinct(), "target_path", "left_semi").groupBy("file_path", "source").agg(F.min_by("target_path", "ordinal").alias("target_path"))
     return imports.join(hit, ["file_path", "source"], "left")
 

@@ -1,6 +1,7 @@
 """Operators on small literal tables."""
 
 import json
+import random
 
 import numpy as np
 import pytest
@@ -42,6 +43,46 @@ def test_layers_and_cycles(spark):
     assert found == {(1, 2, 1), (1, 2, 3, 1), (4, 4)}
 
 
+def brute_cycles(pairs):
+    near, out = {}, set()
+    for a, b in pairs:
+        near.setdefault(a, set()).add(b)
+
+    def walk(path):
+        for n in near.get(path[-1], ()):
+            if n == path[0]:
+                out.add((*path, n))
+            elif n > path[0] and n not in path:
+                walk([*path, n])
+
+    for a in near:
+        walk([a])
+    return out
+
+
+def test_cycles_match_brute_force_at_any_length(spark):
+    r = random.Random(4)
+    pairs = [(100 * g + r.randrange(n), 100 * g + r.randrange(n)) for g, (n, m) in enumerate([(3, 9), (6, 14), (7, 18), (8, 16), (9, 15), (1, 2), (12, 14)]) for _ in range(m)]
+    pairs += [(900 + i, 900 + (i + 1) % 14) for i in range(14)] + [(909, 903)]
+    for starts in (64, 2):
+        got = [(tuple(x.path), x.length) for x in graph.cycles(edges(spark, pairs), settle, starts=starts).collect()]
+        assert len(got) == len(set(got)) and {p for p, _ in got} == brute_cycles(pairs) and all(n == len(p) - 1 for p, n in got)
+    with pytest.raises(ValueError, match="1[56] edges"):
+        graph.cycles(edges(spark, pairs), settle, max_edges=14)
+    assert graph.cycles(edges(spark, [(1, 2), (2, 3)]), settle).count() == 0
+
+
+def test_import_paths_fold_any_depth_and_dotted_folders(spark):
+    deep = "/".join("abcdefghijklmnopqrst")
+    cases = {
+        ("/src/v1.2/m.ts", "../x"): "/src/x.ts", ("/p/my.app/m.ts", "../lib/x"): "/p/lib/x.ts", (f"/r/{deep}/m.ts", "../" * 20 + "top"): "/r/top.ts", ("/p/a/b/m.ts", "./.././x"): "/p/a/x.ts",
+        ("/p/a/m.ts", "./b/./../c"): "/p/a/c.ts", ("/m.ts", "../../x"): "/x.ts", ("q/m.ts", "../../x"): "../x.ts", ("/p/..a/m.ts", "../.b/x"): "/p/.b/x.ts", ("/p/a/m.ts", "."): "/p/a/index.ts",
+    }
+    imports = spark.createDataFrame([(a, b, "m") for a, b in cases], "file_path string, source string, name string")
+    known = spark.createDataFrame([(t,) for t in cases.values()] + [("/src/v1.x.ts",), ("/p/my.lib/x.ts",)], "file_path string")
+    assert {(r.file_path, r.source): r.target_path for r in facts.resolve_imports(imports, known).collect()} == cases
+
+
 def test_budget_keeps_nothing_over_a_long_first_line(spark):
     df = spark.createDataFrame([(1, "x" * 29), (2, "ab\ncd"), (3, "")], "id int, t string")
     got = {r.id: (r.kept_lines, r.token_count, r.kept_text) for r in text.token_budget(df, "t", 5).collect()}
