@@ -20,8 +20,12 @@ documents with equally long leftovers shares a window with which others depends
 
 from __future__ import annotations
 
+import json
 import os
+import re
+import unicodedata
 import zlib
+from array import array
 from collections import defaultdict, deque
 from dataclasses import dataclass
 from functools import lru_cache
@@ -32,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import HASH_CACHE, Batches, as_bytes, settle
+from tessera.llm.common import Batches, as_bytes, settle
 
 WINDOW = 2048
 END = 1
@@ -40,10 +44,32 @@ END = 1
 BROADCAST_ROWS = 1_000_000
 
 
+# How the word tokenizer normalises and splits a text.
+NORMALISED = ["NFC", "Replace", "Lowercase"]
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: The same split, for lower-case characters below U+0530 that are no marks and no numbers but 0 to 9, and line ends.
+PLAIN = re.compile(r"[^\W\d_]+|\n|\d|'(?:s|t|re|ve|m|ll|d)|(?:[^\w\s]|_)+")
+#: What that split is not meant for: characters above, other spaces and numbers, controls, marks, unassigned ones, the letter with two lower-case forms, special tokens.
+ODD = re.compile("[^\t-\r -\x7e\xa1-\xac\xae-\u0377\u037a-\u037f\u0384-\u038a\u038c\u038e-\u03a1\u03a3-\u052f]|[²³¹¼½¾Σ\u0300-\u036f\u0483-\u0489]|<\\|")
+#: Pieces of texts, and their parts, whose ids a worker remembers.
+PIECES, PARTS = 400_000, 1_000_000
+#: Bytes of texts that are split at once, a longer text alone.
+GROUP = 4 << 20
+
+
+def _byte_letters() -> list[str]:
+    """The character that stands for each byte in a byte-level vocabulary: itself where it is visible, else one from U+0100 on."""
+    visible = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = iter(range(256, 512))
+    return [chr(b if b in visible else next(hidden)) for b in range(256)]
+
+
 class Encoder(dict):
-    """Ids of a piece of text without white space, as bytes, remembered.
+    """Ids of texts, as bytes. It remembers the ids of what stands between white space.
 
-    Valid for tokenizers that drop white space and never join what it separates: then a text's ids are those of its pieces.
+    The word tokenizer drops white space and joins nothing across it, so a text's ids are those of its pieces. New pieces of
+    plain characters are lower-cased and split here, all at once, and their parts go to the tokenizer's merges alone, each
+    once; other pieces go through the whole tokenizer. With another kind of tokenizer every whole text does.
     """
 
     def __init__(self, content: str):
@@ -51,17 +77,66 @@ class Encoder(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(content)
+        self.merges = self.tokenizer.model
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
+        spec = json.loads(content)
+        normal = [x["type"] for x in (spec["normalizer"] or {}).get("normalizers", [])]
+        splits = [x.get("pattern", {}).get("Regex") for x in (spec["pre_tokenizer"] or {}).get("pretokenizers", [])]
+        self.by_words = normal == NORMALISED and splits[:1] == [SPLIT] and len(splits) == 2
+        self.letters, self.parts = _byte_letters(), {}
+
+    def _bytes(self, ids: list[int]) -> bytes:
+        return array(self.code, ids).tobytes()
+
+    def _part(self, part: str) -> bytes:
+        name = part if part.isascii() else "".join(map(self.letters.__getitem__, part.encode()))
+        self.parts[part] = ids = self._bytes([t.id for t in self.merges.tokenize(name)])
+        return ids
+
+    def _learn(self, pieces: list[bytes]) -> None:
+        if not pieces:
+            return
+        text = b"\n".join(pieces).decode()
+        low = text.lower()
+        if ODD.search(text) or ODD.search(low) or not unicodedata.is_normalized("NFC", text):
+            if len(pieces) == 1:
+                self[pieces[0]] = self._bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
+                return
+            self._learn(pieces[: len(pieces) // 2])
+            self._learn(pieces[len(pieces) // 2 :])
+            return
+        known, at, found = self.parts, 0, []
+        for part in PLAIN.findall(low):
+            if part == "\n":
+                self[pieces[at]] = b"".join(found)
+                at, found = at + 1, []
+            else:
+                found.append(known.get(part) or self._part(part))
+        self[pieces[at]] = b"".join(found)
 
     def encode(self, texts: list[bytes | None], end: int) -> list[bytes]:
-        pieces = [t.split() if t else [] for t in texts]
-        if len(self) > HASH_CACHE:
-            self.clear()
-        new = list({w for p in pieces for w in p if w not in self})
-        for w, e in zip(new, self.tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False), strict=True):
-            self[w] = np.array(e.ids, self.dtype).tobytes()
-        last = np.array([end], self.dtype).tobytes()
-        return [b"".join([*map(self.__getitem__, p), last]) for p in pieces]
+        last = self._bytes([end])
+        if not self.by_words:
+            return [self._bytes(e.ids) + last for e in self.tokenizer.encode_batch([(t or b"").decode() for t in texts], add_special_tokens=False)]
+        out, held, size = [], [], 0
+
+        def settle() -> None:
+            self._learn([p for p in set().union(*held) if p not in self])
+            out.extend([b"".join([*map(self.__getitem__, pieces), last]) for pieces in held])
+            if len(self) > PIECES:
+                self.clear()
+            if len(self.parts) > PARTS:
+                self.parts.clear()
+
+        for t in texts:
+            held.append(t.split() if t else [])
+            size += len(t or b"")
+            if size > GROUP:
+                settle()
+                held, size = [], 0
+        settle()
+        return out
 
 
 @lru_cache(1)

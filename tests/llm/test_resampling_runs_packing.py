@@ -192,12 +192,16 @@ def test_a_window_is_filled_as_well_as_any_multiset_with_the_greatest_length(cou
     assert sum(k * n for k, n in use.items()) == max(sums)
 
 
-def test_pieces_are_encoded_like_whole_texts():
-    r, tokenizer = random.Random(3), Tokenizer.from_file(PATH)
-    with open(PATH, encoding="utf-8") as f:
+@pytest.mark.parametrize("kind", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_pieces_are_encoded_like_whole_texts(kind):
+    path = public_tokenizers.path(kind)
+    r, tokenizer = random.Random(3), Tokenizer.from_file(path)
+    with open(path, encoding="utf-8") as f:
         enc = packing.Encoder(f.read())
-    pool = [*"aB zÉé'sT9٣!?\x1c\x0b\n\t\x00漢字🙂ﬁİßΣς  ", "<|endoftext|>", "<|startoftext|>", " the ", "'re", "  "]
-    texts = ["".join(r.choice(pool) for _ in range(r.randrange(40))) for _ in range(1500)]
+    assert enc.by_words == (kind == "word_bpe_49k.json")
+    plain = "".join(map(chr, [*range(33, 127), *range(0xA0, 0x250)]))
+    pools = [[*"aB zÉé'sT9٣!?\x1c\x0b\n\t\x00漢字🙂ﬁİßΣς  ", "<|endoftext|>", "<|ENDOFTEXT|>", "<|startoftext|>", " the ", "'re", "  ", "J\u030c", "e\u0301"], [*plain, "'LL", "n't", " ", " "], [chr(c) for c in range(0x530)]]
+    texts = ["".join(r.choice(pool) for _ in range(r.randrange(40))) for pool in pools for _ in range(1000)]
     for text, ids in zip(texts, enc.encode([t.encode() for t in texts], 1), strict=True):
         assert np.frombuffer(ids, enc.dtype).tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, 1], repr(text)
 
