@@ -25,6 +25,12 @@ def text_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file_path"), F.col("value").alias("content"), F.col("_metadata.file_modification_time").alias("modified_at"))
 
 
+def binary_files(spark: SparkSession, path: str) -> DataFrame:
+    """file_path, content, modified_at of files as bytes, so that one that is no text can be told from the others; files that are empty or gone meanwhile give no row."""
+    b = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("ignoreMissingFiles", True).load(path)
+    return b.select(F.col("path").alias("file_path"), "content", F.col("modificationTime").alias("modified_at"))
+
+
 def language(path: str | Column) -> Column:
     """Language of a path by its extension; null where it has none that is known (a row that cannot be parsed, not an error of the whole job)."""
     ext = F.lower(F.regexp_extract(F.col(path) if isinstance(path, str) else path, r"(\.[^./]+)$", 1))
