@@ -111,7 +111,7 @@ def _blocks(ranked: DataFrame, length: int, least: int) -> DataFrame:
 
 
 def contained(some: DataFrame, rank: dict[str, int], known: Templates, containment: float = CONTAINMENT) -> DataFrame:
-    """(rid, w: the words, held: the template words among them) -> rid, label, containment: every template that a block of the row holds."""
+    """(rid, w: the words, held: the template words among them) -> rid, label, containment, best: every template that a block of the row holds; best marks those that a block holds most of, among notices that differ in a word or two."""
     spark, rows, kin = some.sparkSession, [], families(known, containment)
     for i, ((label, t), (family, length)) in enumerate(zip(known, kin, strict=True)):
         own = sorted(rank[w] for w in set(t.split()))
@@ -134,13 +134,14 @@ def contained(some: DataFrame, rank: dict[str, int], known: Templates, containme
     first = F.col("rank") == F.array_min(F.array_intersect("held", "own"))  # a pair that shares several prefix words is one candidate
     found = cand.where(first & (both >= F.col("need"))).select("rid", "length", "held", "family", "label", (both / F.col("n_own")).alias("containment"), "n_own")
     most = F.max(F.struct("containment", "n_own")).over(Window.partitionBy("rid", "length", "held", "family"))
-    return found.withColumn("most", most).where(F.struct("containment", "n_own") == F.col("most")).select("rid", "label", "containment")
+    return found.withColumn("most", most).select("rid", "label", "containment", (F.struct("containment", "n_own") == F.col("most")).alias("best"))
 
 
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", containment: float = CONTAINMENT, known: Templates | None = None) -> DataFrame:
-    """key, n_words, n_base, first_word, last_word, base_labels, labels and score, one row per row of docs.
+    """key, n_words, n_base, first_word, last_word, base_labels, labels, score and likely_labels, one row per row of docs.
 
-    score is the largest share of a template found, 1 where a base phrase stands.
+    labels has every template that a block holds enough of; likely_labels, of notices that differ in a word or two, only
+    those that a block holds most of. score is the largest share of a template found, 1 where a base phrase stands.
     """
     known = known or templates()
     w = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text")).select(F.struct("key", F.xxhash64("text").alias("x")).alias("rid"), words(F.col("text")).alias("w"))
@@ -152,14 +153,14 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", containment:
     found = [F.size(every).cast("long").alias("n_base"), F.array_min(every).cast("long").alias("first_word"), F.array_max(every).cast("long").alias("last_word"), names.alias("names")]
     done = settle(base.select("rid", "n_words", *found, "held", F.when(_enough(F.col("held"), known, containment), F.col("w")).alias("w")))
     some = done.where("w is not null")
-    more = contained(some.select("rid", "w", "held"), _ordered(done, known), known, containment).groupBy("rid").agg(F.collect_set("label").alias("more"), F.max("containment").alias("most"))
+    more = contained(some.select("rid", "w", "held"), _ordered(done, known), known, containment).groupBy("rid").agg(F.collect_set("label").alias("more"), F.max("containment").alias("most"), F.collect_set(F.when(F.col("best"), F.col("label"))).alias("likely"))
     columns = ["rid", "n_words", "n_base", "first_word", "last_word", "names"]
-    few = done.where("w is null").select(*columns, F.lit(None).cast("array<string>").alias("more"), F.lit(None).cast("double").alias("most"))
+    few = done.where("w is null").select(*columns, F.lit(None).cast("array<string>").alias("more"), F.lit(None).cast("double").alias("most"), F.lit(None).cast("array<string>").alias("likely"))
     out = some.select(*columns).join(more, "rid", "left").unionByName(few)
     joined = lambda a: F.array_join(F.array_sort(F.array_distinct(a)), ",")
-    every_name = F.concat("names", F.coalesce("more", F.array().cast("array<string>")))
+    with_names = lambda a: joined(F.concat("names", F.coalesce(a, F.array().cast("array<string>"))))
     score = F.when(F.col("n_base") > 0, 1.0).otherwise(F.coalesce("most", F.lit(0.0)))
-    return out.select(F.col("rid.key").alias(key), "n_words", "n_base", "first_word", "last_word", joined(F.col("names")).alias("base_labels"), joined(every_name).alias("labels"), score.alias("score"))
+    return out.select(F.col("rid.key").alias(key), "n_words", "n_base", "first_word", "last_word", joined(F.col("names")).alias("base_labels"), with_names("more").alias("labels"), score.alias("score"), with_names("likely").alias("likely_labels"))
 
 
 def oracle_sql() -> str:
@@ -178,9 +179,10 @@ blocks as (select rid, length, i, list_distinct(list_slice(w, i * (length // 2)
 t as (select * from (values {values}) v(label, family, length, own, need)),
 o as (select rid, length, i, family, label, len(own) n_own, need, len(list_intersect(w, own)) overlap from blocks join t using (length)),
 f as (select rid, label, overlap / n_own::double containment, row(overlap / n_own::double, n_own) own, max(row(overlap / n_own::double, n_own)) over (partition by rid, length, i, family) most from o where overlap >= need),
-m as (select rid, list(distinct label) more, max(containment) most from f where own = most group by rid)
+m as (select rid, list(distinct label) more, max(containment) most, list(distinct label) filter (own = most) likely from f group by rid)
 select b.doc_id, b.n::bigint n_words, len({every})::bigint n_base, list_min({every})::bigint first_word, list_max({every})::bigint last_word,
   array_to_string(list_sort(list_distinct(list_filter([{names}], lambda x: x is not null))), ',') base_labels,
   array_to_string(list_sort(list_distinct(list_filter([{names}], lambda x: x is not null) || coalesce(more, []))), ',') labels,
-  case when len({every}) > 0 then 1.0 else coalesce(most, 0.0) end::double score
+  case when len({every}) > 0 then 1.0 else coalesce(most, 0.0) end::double score,
+  array_to_string(list_sort(list_distinct(list_filter([{names}], lambda x: x is not null) || coalesce(likely, []))), ',') likely_labels
 from b left join m using (rid)"""
