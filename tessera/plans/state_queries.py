@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators import cache
 from tessera.plans.registry import query
 from tessera.sources import facts
-from tessera.streaming import state
+from tessera.plans.tables import shared_dir
+from tessera.streaming import keyed_cache, state
 
 NOW = 1_706_745_600_000
 TTL = 31 * 24 * 3600 * 1000
@@ -42,6 +45,23 @@ def evictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cache.evict_until(_scored(spark, sf_dir), 5000).select("key", "size")
 
 
+@query(f"with s as ({_SCORED}), b as (select *, coalesce(sum(size) over (order by score, key rows between unbounded preceding and 1 preceding), 0) before from s) select key, size from b where before < 5000")
+def state_evictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same evictions, chosen on the state of a stream of the events: a keyed cache whose entries are read by the state data source."""
+    path, checkpoint = f"{sf_dir}/events.parque[t]", f"{shared_dir(spark)}/cache-{uuid.uuid4().hex}"  # a pattern: one file or a folder
+    log = spark.readStream.schema(facts.table(spark, sf_dir, "events").schema).parquet(path)
+    more = "spark.sql.streaming.noDataMicroBatches.enabled"
+    kept = spark.conf.get(more)
+    spark.conf.set(more, "false")
+    try:
+        made = keyed_cache.keyed_cache(log, "user_id", "ts", 100 * 365 * 24 * 3600 * 1000, size="event_id")
+        made.writeStream.format("noop").option("checkpointLocation", checkpoint).outputMode("update").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(more, kept)
+    held = keyed_cache.entries(spark, checkpoint).withColumns({"size": F.col("size") % 997, "relevance": F.round((F.col("key") % 11) / 10, 6)})
+    return cache.evict_until(cache.scored(held, NOW, TTL), 5000).select("key", "size")
+
+
 @query(f"with s as ({_SCORED}), r as (select key, row_number() over (order by score, key) k, count(*) over () n from s) select key from r where k <= floor(0.2 * n)")
 def bottom_fifth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cache.bottom_share(_scored(spark, sf_dir)).select("key")
