@@ -1,8 +1,7 @@
-"""Line diffs: longest common subsequence per pair (the one step without a relational form), hunks by windows, statistics."""
+"""Line diffs: the fewest changes per pair (the one step without a relational form), hunks by windows, statistics."""
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,62 +11,137 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _next_row(before: np.ndarray, line: int, y: np.ndarray) -> np.ndarray:
-    row = np.zeros_like(before)
-    row[1:] = np.maximum.accumulate(np.where(y == line, before[:-1] + 1, before[1:]))
-    return row
+#: Of the furthest points of each number of changes, every so many are kept; those between are made again on the way back.
+KEPT = 64
+NOWHERE = -(1 << 30)
+ADD, REMOVE = np.array([1], np.int8), np.array([2], np.int8)
+#: Rows of one Arrow batch, unless one pair has more.
+BATCH = 1 << 16
+
+
+def _common(x: np.ndarray, y: np.ndarray) -> int:
+    """How many first elements two arrays share: compared in pieces that double, so the cost follows the result."""
+    at, size, n = 0, 64, min(len(x), len(y))
+    while at < n:
+        differ = x[at : min(at + size, n)] != y[at : min(at + size, n)]
+        if differ.any():
+            return at + int(differ.argmax())
+        at, size = at + size, size * 2
+    return n
+
+
+def _further(reach: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The furthest place in x on each diagonal after d changes, from that after d - 1; diagonal -d + 2 i is element i."""
+    m, n, d = len(x), len(y), len(reach)
+    k = np.arange(-d, d + 1, 2)
+    across, down = np.full(d + 1, NOWHERE, np.int64), np.full(d + 1, NOWHERE, np.int64)
+    across[1:], down[:-1] = reach + 1, reach
+    across[across > m] = NOWHERE
+    down[down - k > n] = NOWHERE
+    at = np.maximum(across, down)
+    open_ = np.flatnonzero((at >= 0) & (at < m) & (at - k < n))
+    while len(open_) > 8:
+        same = x[at[open_]] == y[at[open_] - k[open_]]
+        open_ = open_[same]
+        at[open_] += 1
+        open_ = open_[(at[open_] < m) & (at[open_] - k[open_] < n)]
+    for i in open_.tolist():
+        at[i] += _common(x[at[i] :], y[at[i] - k[i] :])
+    return at
+
+
+def _changes(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Operations that make x to y, in order: 0 keeps an element, 1 adds one, 2 removes one.
+
+    Elements that only one side has are changes anyway and are left out of the search, which follows the furthest points
+    that 0, 1, 2, ... changes of the others reach (time in proportion to the lengths and to the square of those changes,
+    not to the product of the lengths). On the way back a kept element comes before any change, and an added one before a
+    removed one wherever the elements before it lose nothing that way.
+    """
+    size = 1 + max(x.max(initial=-1), y.max(initial=-1))
+    both = (np.bincount(x, minlength=size) > 0) & (np.bincount(y, minlength=size) > 0)
+    in_x, in_y = both[x], both[y]
+    u, v = x[in_x], y[in_y]
+    reach = np.array([_common(u, v)], np.int64)
+    d, kept, goal = 0, [reach], len(u) - len(v)
+    while d < abs(goal) or (d - goal) % 2 or reach[(goal + d) // 2] < len(u):
+        reach = _further(reach, u, v)
+        d += 1
+        if d % KEPT == 0:
+            kept.append(reach)
+    i, j, p, q, out, low, made = len(x), len(y), len(u), len(v), [], -1, []
+    while i or j:
+        if i and j and x[i - 1] == y[j - 1]:
+            run = _common(x[:i][::-1], y[:j][::-1])
+            i, j, p, q = i - run, j - run, p - run, q - run
+            out.append(np.zeros(run, np.int8))
+            continue
+        added = alone = bool(j) and not in_y[j - 1]
+        if d and q and not alone:
+            if (d - 1) // KEPT != low:
+                low = (d - 1) // KEPT
+                made = [kept[low]]
+                while len(made) < KEPT:
+                    made.append(_further(made[-1], u, v))
+            k = p - q + 1
+            added = k <= d - 1 and made[(d - 1) % KEPT][(k + d - 1) // 2] >= p
+        out.append(ADD if added else REMOVE)
+        if added:
+            j, q, d = (j - 1, q, d) if alone else (j - 1, q - 1, d - 1)
+        else:
+            i, p, d = (i - 1, p - 1, d - 1) if in_x[i - 1] else (i - 1, p, d)
+    return np.concatenate([*out[::-1], np.zeros(0, np.int8)])
+
+
+def _numbered_ops(a: list[str], b: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Operations of the diff of two lists of lines, and the old and new line (from 0) of each, -1 where it has none."""
+    names: dict[str, int] = {}
+    x = np.array([names.setdefault(s, len(names)) for s in a], np.int32)
+    y = np.array([names.setdefault(s, len(names)) for s in b], np.int32)
+    head = _common(x, y)
+    tail = _common(x[head:][::-1], y[head:][::-1])
+    ops = np.concatenate([np.zeros(head, np.int8), _changes(x[head : len(x) - tail], y[head : len(y) - tail]), np.zeros(tail, np.int8)])
+    old, new = np.where(ops != 1, np.cumsum(ops != 1) - 1, -1), np.where(ops != 2, np.cumsum(ops != 2) - 1, -1)
+    return ops, old, new
 
 
-def diff_ops(old: str, new: str) -> list[tuple[str, int | None, int | None, str]]:
-    """Operations (op, old line, new line, text) of the line diff; where both directions keep the longest common subsequence, added lines come later.
+OPS = ["unchanged", "added", "removed"]
 
-    Common first lines are taken off. Of the table only every k-th row is kept, k the square root of its rows; the rows
-    between are made again on the way back, so m by n lines take n * sqrt(m) cells.
-    """
+
+def diff_ops(old: str, new: str) -> list[tuple[str, int | None, int | None, str]]:
+    """Operations (op, old line, new line, text) of the line diff; where both directions keep the longest common subsequence, added lines come later."""
     a, b = old.split("\n"), new.split("\n")
-    names: dict[str, int] = {}
-    x = np.array([names.setdefault(s, len(names)) for s in a])
-    y = np.array([names.setdefault(s, len(names)) for s in b])
-    head = 0
-    while head < min(len(x), len(y)) and x[head] == y[head]:
-        head += 1
-    x, y = x[head:], y[head:]
-    m, step = len(x), max(1, math.isqrt(len(x)))
-    row = np.zeros(len(y) + 1, np.int32)
-    kept = [row]
-    for i in range(1, m + 1):
-        row = _next_row(row, x[i - 1], y)
-        if i % step == 0:
-            kept.append(row)
-    out, i, j = [], m, len(y)
-    for block in range(len(kept) - 1, -1, -1):
-        low, table = block * step, [kept[block]]
-        for k in range(low + 1, min(low + step, m) + 1):
-            table.append(_next_row(table[-1], x[k - 1], y))
-        while (i > low) or (low == 0 and j > 0):
-            if i and j and x[i - 1] == y[j - 1]:
-                i, j = i - 1, j - 1
-                out.append(("unchanged", head + i + 1, head + j + 1, a[head + i]))
-            elif j and (not i or table[i - low][j - 1] >= table[i - 1 - low][j]):
-                j -= 1
-                out.append(("added", None, head + j + 1, b[head + j]))
-            else:
-                i -= 1
-                out.append(("removed", head + i + 1, None, a[head + i]))
-    return [("unchanged", k + 1, k + 1, a[k]) for k in range(head)] + out[::-1]
+    return [(OPS[o], i + 1 if i >= 0 else None, j + 1 if j >= 0 else None, a[i] if i >= 0 else b[j]) for o, i, j in zip(*(v.tolist() for v in _numbered_ops(a, b)), strict=True)]
 
 
 def line_diff(pairs: DataFrame, key: str, old: str = "old", new: str = "new") -> DataFrame:
-    """key, seq, op, old_line, new_line, line. A null version counts as empty text."""
+    """key, seq, op, old_line, new_line, line. A null version counts as empty text. A pair is compared in one task, in time that follows its changes."""
     kind = pairs.schema[key].dataType.simpleString()
+    names = pa.array(OPS)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for t in frames:
-            for k, o, n in t.itertuples(index=False):
-                ops = diff_ops(o or "", n or "")
-                yield pd.DataFrame({key: [k] * len(ops), "seq": range(len(ops)), "op": [x[0] for x in ops], "old_line": pd.array([x[1] for x in ops], "Int32"), "new_line": pd.array([x[2] for x in ops], "Int32"), "line": [x[3] for x in ops]})
+    def batch(keys: pa.Array, held: list[tuple]) -> pa.RecordBatch:
+        at = np.repeat([r for r, *_ in held], [len(o) for _, o, *_ in held])
+        ops, i, j = (np.concatenate([h[k] for h in held]) for k in (1, 2, 3))
+        seq = np.concatenate([np.arange(len(h[1]), dtype=np.int32) for h in held])
+        line = [x for h in held for x in h[4]]
+        number = lambda v: pa.array(np.maximum(v, 0) + 1, pa.int32(), mask=v < 0)
+        return pa.RecordBatch.from_arrays([keys.take(pa.array(at)), pa.array(seq), names.take(pa.array(ops)), number(i), number(j), pa.array(line, pa.string())], names=[key, "seq", "op", "old_line", "new_line", "line"])
 
-    return pairs.select(key, old, new).mapInPandas(run, f"`{key}` {kind}, seq int, op string, old_line int, new_line int, line string")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in batches:
+            held, size = [], 0
+            for r, (o, n) in enumerate(zip(t.column(1).to_pylist(), t.column(2).to_pylist(), strict=True)):
+                a, b = (o or "").split("\n"), (n or "").split("\n")
+                ops, i, j = _numbered_ops(a, b)
+                held.append((r, ops, i, j, [a[p] if p >= 0 else b[q] for p, q in zip(i.tolist(), j.tolist(), strict=True)]))
+                size += len(ops)
+                if size >= BATCH:
+                    yield batch(t.column(0), held)
+                    held, size = [], 0
+            if held:
+                yield batch(t.column(0), held)
+
+    return pairs.select(key, old, new).mapInArrow(run, f"`{key}` {kind}, seq int, op string, old_line int, new_line int, line string")
 
 
 def hunks(ops: DataFrame, key: str) -> DataFrame:

@@ -133,18 +133,29 @@ def _from_smallest(edges: list[tuple], starts: list) -> Iterator[list]:
 def cycles(edges: DataFrame, settle: Callable[[DataFrame], DataFrame], src: str = "src", dst: str = "dst", max_edges: int = 100_000, starts: int = 64) -> DataFrame:
     """(path, length): every elementary cycle, of any length, once, from its smallest node; path repeats it at the end.
 
-    A cycle lies inside a strong component. Each component's edges go to tasks that search from up to ``starts`` of its
-    nodes each, through larger nodes only; cycles are streamed out as they are found. A component of more than
-    ``max_edges`` edges is an error (its edges are held by one task, and its cycles may be more than can be listed).
+    A cycle lies inside a component. Each component's edges go to tasks that search from up to ``starts`` of its nodes
+    each, inside the strong component that the node has among larger ones; cycles are streamed out as they are found.
+    Components of more than ``max_edges`` edges are split into their strong ones first. A strong component of more is an
+    error (its edges are held by one task, and its cycles may be more than can be listed).
     """
     e = settle(edges.select(F.col(src).alias("src"), F.col(dst).alias("dst")).where("src is not null and dst is not null").distinct())
-    of = lambda c, name: strong.select(F.col("node").alias(c), F.col("component").alias(name))
-    strong = strong_components(e, settle)
-    inner = settle(e.where("src <> dst").join(of("src", "component"), "src").join(of("dst", "_to"), "dst").where("component = _to").select("component", "src", "dst"))
-    size = inner.groupBy("component").agg(F.count("*").alias("edges"), F.count_distinct("src").alias("nodes"))
-    large = size.where(F.col("edges") > max_edges).first()
-    if large:
-        raise ValueError(f"the component of {large['component']} has {large['edges']} edges, more than {max_edges}")
+    apart = e.where("src <> dst")
+
+    def inside(some: DataFrame, label: DataFrame) -> tuple[DataFrame, DataFrame]:
+        of = lambda c, name: label.select(F.col("node").alias(c), F.col("component").alias(name))
+        own = settle(some.join(of("src", "component"), "src").join(of("dst", "_to"), "dst").where("component = _to").select("component", "src", "dst"))
+        return own, settle(own.groupBy("component").agg(F.count("*").alias("edges"), F.count_distinct("src").alias("nodes")))
+
+    inner, size = inside(apart, connected_components(apart, settle).distinct())
+    too_large = F.col("edges") > max_edges
+    if not size.where(too_large).isEmpty():  # only where the weak components do not fit are the strong ones looked for here
+        wide = inner.join(size.where(too_large).select("component"), "component", "left_semi").select("src", "dst")
+        few, few_size = inside(wide, strong_components(wide, settle))
+        inner = inner.join(size.where(too_large).select("component"), "component", "left_anti").union(few)
+        size = size.where(~too_large).union(few_size)
+        large = size.where(too_large).first()
+        if large:
+            raise ValueError(f"the component of {large['component']} has {large['edges']} edges, more than {max_edges}")
     parts = F.explode(F.sequence(F.lit(0), F.ceil(F.col("nodes") / starts).cast("int") - 1))
     dealt = inner.join(size.select("component", F.ceil(F.col("nodes") / starts).cast("int").alias("parts"), parts.alias("part")), "component")
     kind = e.schema["src"].dataType.simpleString()

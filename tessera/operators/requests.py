@@ -70,18 +70,32 @@ def analyze_code_diff(versions: DataFrame, key: str) -> DataFrame:
     return out.select(F.col("file_path").alias(key), F.coalesce("affected", F.array().cast("array<string>")).alias("affected"), F.coalesce("minimal_update", F.lit("")).alias("minimal_update"), whole.alias("new_tokens"), part.alias("update_tokens"), (whole - part).alias("token_savings"))
 
 
-def optimize_imports(specifiers: DataFrame, used: DataFrame) -> DataFrame:
-    """file_path, optimized, removed, added, warnings, token_savings: statements kept for used names, the others, and side-effect imports lost.
+def optimize_imports(specifiers: DataFrame, used: DataFrame, suggested: DataFrame | None = None, cycles: DataFrame | None = None) -> DataFrame:
+    """file_path, optimized, removed, added, warnings, token_savings of the files' import statements.
 
     specifiers as of ``facts.scan_imports``; used (file_path, symbol). A statement stays whole if one of its names is used.
+    suggested (symbol, statement): what to import for used names that no statement of the file brings; these come after the
+    kept ones. added and removed are the differences of the sets before and after. cycles (path array): as of
+    ``graph.cycles`` over files. Warnings name removed side-effect imports, then the cycles that the file is on.
     """
     local = specifiers.withColumn("symbol", F.coalesce("alias", "name"))
-    kept = local.where("symbol is not null").join(used.select("file_path", "symbol").distinct(), ["file_path", "symbol"], "left_semi").unionByName(local.where("symbol is null")).select("file_path", "stmt_pos").distinct().withColumn("keep", F.lit(True))
+    names = used.select("file_path", "symbol").distinct()
+    kept = local.where("symbol is not null").join(names, ["file_path", "symbol"], "left_semi").unionByName(local.where("symbol is null")).select("file_path", "stmt_pos").distinct().withColumn("keep", F.lit(True))
     s = specifiers.groupBy("file_path", "stmt_pos", "raw").agg(F.max(F.col("name").isNull()).alias("bare")).join(kept, ["file_path", "stmt_pos"], "left")
     pick = lambda c: F.transform(F.array_sort(F.collect_list(F.when(c, F.struct("stmt_pos", "raw")))), lambda x: x["raw"])
     keep = F.coalesce("keep", F.lit(False))
-    out = s.groupBy("file_path").agg(pick(keep).alias("optimized"), pick(~keep).alias("removed"), pick(~keep & F.col("bare")).alias("warnings"), F.sum(F.when(~keep, S.token_estimate("raw")).otherwise(0)).alias("token_savings"))
-    return out.withColumn("added", F.array().cast("array<string>"))
+    out = s.groupBy("file_path").agg(pick(F.lit(True)).alias("original"), pick(keep).alias("optimized"), pick(~keep & F.col("bare")).alias("side"), F.sum(F.when(~keep, S.token_estimate("raw")).otherwise(0)).alias("token_savings"))
+    none = F.array().cast("array<string>")
+    if suggested is not None:
+        missing = names.join(local.select("file_path", "symbol"), ["file_path", "symbol"], "left_anti")
+        more = missing.join(suggested.groupBy("symbol").agg(F.min("statement").alias("statement")), "symbol").groupBy("file_path").agg(F.array_sort(F.collect_set("statement")).alias("more"))
+        out = out.join(more, "file_path", "full").select("file_path", *[F.coalesce(c, none).alias(c) for c in ("original", "side")], F.concat(F.coalesce("optimized", none), F.coalesce("more", none)).alias("optimized"), F.coalesce("token_savings", F.lit(0)).alias("token_savings"))
+    warnings = F.transform("side", lambda x: F.concat(F.lit("side effect lost: "), x))
+    if cycles is not None:
+        on = cycles.select(F.explode(F.array_distinct("path")).alias("file_path"), F.array_join("path", " -> ").alias("cycle")).groupBy("file_path").agg(F.array_sort(F.collect_set("cycle")).alias("cycles"))
+        out = out.join(on, "file_path", "left")
+        warnings = F.concat(warnings, F.transform(F.coalesce("cycles", none), lambda x: F.concat(F.lit("import cycle: "), x)))
+    return out.select("file_path", "optimized", F.array_except("original", "optimized").alias("removed"), F.array_except("optimized", "original").alias("added"), warnings.alias("warnings"), "token_savings")
 
 
 def import_suggestions(undefined: DataFrame, packages: DataFrame, threshold: float = 0.6) -> DataFrame:

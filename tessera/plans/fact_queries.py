@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import scalars as S
-from tessera.operators import features, relational, requests, scopes
+from tessera.operators import features, graph, relational, requests, scopes
 from tessera.plans.registry import query
 from tessera.plans.tables import settle
 from tessera.sources import facts
@@ -390,3 +390,48 @@ def code_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = at.select("file_path", F.concat(F.lit("s"), "start_line").alias("name"), "start_line", F.least(F.col("start_line") + 1, F.col("n")).alias("end_line"), F.when(F.col("start_line") < 12, F.array(F.concat(F.lit("s"), F.col("start_line") + 5))).otherwise(F.array().cast("array<string>")).alias("dependencies"))
     req = f.select("file_path", F.array(F.lit("s1")).alias("targets"))
     return requests.extract_code_context(req, f, s, settle, max_tokens=60).select("file_path", "extracted_code", "token_count", "relevance_score")
+
+
+@query(f"select distinct src child, dst parent from ({_REL}) where type in ('A', 'N')")
+def inheritance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.when(F.col("type") == "A", "extends").when(F.col("type") == "N", "implements").otherwise("uses")
+    return relational.parents(facts.relationships(spark, sf_dir).withColumn("type", kind))
+
+
+_BASES = "select p_partkey src, p_partkey // 3 dst from part where p_partkey > 0 union select p_partkey, p_partkey // 5 from part where p_partkey % 4 = 0 and p_partkey > 0"
+
+
+@query(f"with recursive e as ({_BASES}), p as (select src node, 0 d from e union select dst, 0 from e union select e.src, d + 1 from p join e on e.dst = p.node) select node, max(d)::int depth from p group by node")
+def inheritance_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many classes the longest chain above each class has: part p has the base p / 3, every fourth one p / 5 besides."""
+    p = facts.table(spark, sf_dir, "part").where("p_partkey > 0")
+    base = lambda n: F.floor(F.col("p_partkey") / n).cast("long").alias("dst")
+    rows = p.select(F.col("p_partkey").alias("src"), base(3)).union(p.where("p_partkey % 4 = 0").select("p_partkey", base(5)))
+    extends = relational.parents(rows.withColumn("type", F.lit("extends")))
+    return graph.longest_path(extends.where("child <> parent"), settle, src="child", dst="parent")
+
+
+@query(f"select src, string_agg(type || ':' || dst || ':' || dst % 7, ',' order by type, dst) relations from ({_REL}) group by src")
+def merged_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every symbol's relations over all files, in order."""
+    m = relational.merged_relations(facts.relationships(spark, sf_dir).withColumn("file", F.col("dst") % 7))
+    one = lambda x: F.concat_ws(":", x["type"], x["dst"].cast("string"), x["file"].cast("string"))
+    return m.select("src", F.array_join(F.transform("relations", one), ",").alias("relations"))
+
+
+@query("with w as (select distinct l_partkey symbol, (l_suppkey % 5)::int as file from lineitem) select symbol, file, p_type kind, p_size::int n from w left join part on p_partkey = symbol and p_partkey % 5 = file")
+def symbol_lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Symbols asked for by name and file, with what is known of them; null where the file has none of the name."""
+    wanted = facts.table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("symbol"), (F.col("l_suppkey") % 5).cast("int").alias("file")).distinct()
+    known = facts.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("name"), (F.col("p_partkey") % 5).cast("int").alias("file"), F.col("p_type").alias("kind"), F.col("p_size").alias("n"))
+    return relational.symbol_info(wanted, known).select("symbol", "file", "kind", "n")
+
+
+@query("""select p_partkey as key, case when p_size % 4 = 0 then p_brand when p_size % 3 = 0 then p_type when k in ('function', 'class') then k when k = 'variable' then 'any' else 'unknown' end as type, case when p_size % 4 = 0 then 1.0 when p_size % 3 = 0 then 0.9 when k in ('function', 'class') then 0.8 when k = 'variable' then 0.3 else 0.0 end::double confidence
+from (select *, case p_partkey % 4 when 0 then 'function' when 1 then 'class' when 2 then 'variable' else 'enum' end k from part)""")
+def inferred_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The type of every symbol by its annotation, else its return type, else its kind."""
+    p, size = facts.table(spark, sf_dir, "part"), F.col("p_size")
+    kind = F.element_at(F.array(*map(F.lit, ("function", "class", "variable", "enum"))), (F.col("p_partkey") % 4 + 1).cast("int"))
+    t = S.inferred_type(F.when(size % 4 == 0, F.col("p_brand")), F.when(size % 3 == 0, F.col("p_type")), kind)
+    return p.select(F.col("p_partkey").alias("key"), t.alias("t")).select("key", "t.type", "t.confidence")

@@ -98,6 +98,19 @@ def import_optimisation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select("file_path", F.array_join("optimized", "\n").alias("optimized"), F.array_join("removed", "\n").alias("removed"), "token_savings")
 
 
+@query(f"""with {_CF}, w as (select path, k, case when k % 10 = 3 then 'side effect lost: import ''./m' || (k + 1) || chr(39) || ';' when k % 10 = 4 then 'side effect lost: import ''./m' || (k - 1) || chr(39) || ';' end side from cf),
+y as (select distinct a.src path, 'import cycle: ' || least(a.src, a.dst) || ' -> ' || greatest(a.src, a.dst) || ' -> ' || least(a.src, a.dst) as cycle from ce a join ce b on a.src = b.dst and a.dst = b.src where a.src <> a.dst)
+select w.path file_path, case when k % 6 = 1 then 'import {{ helper }} from ''kit'';' else '' end added, coalesce(case when y.cycle is null then null else y.cycle end, '') warnings from w left join y using (path)""")
+def import_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the import analysis adds and warns of: a name that is used and imported nowhere, and files that import one another."""
+    f, i, _ = _parsed(spark, sf_dir)
+    used = f.where("p_partkey % 6 = 1").select("file_path", F.lit("helper").alias("symbol"))
+    suggested = spark.createDataFrame([("helper", "import { helper } from 'kit';"), ("other", "import 'other';")], "symbol string, statement string")
+    rings = graph.cycles(_graph(spark, sf_dir)[1].where("src <> dst"), settle)
+    o = requests.optimize_imports(i, used, suggested, rings)
+    return o.select("file_path", F.array_join("added", "\n").alias("added"), F.array_join("warnings", "\n").alias("warnings"))
+
+
 @query("""select p_partkey::varchar as key, case when p_size % 3 = 0 then 'f' || p_size when p_size % 3 = 1 then 'K' || p_partkey % 3 else '' end affected, case when p_size % 3 = 0 then '// REMOVE f' || p_size || ' at line 0' || chr(10) || 'function f' || p_size || '() {}' when p_size % 3 = 1 then '// UPDATE K' || p_partkey % 3 || ' at line 4' || chr(10) || 'export const K' || p_partkey % 3 || ' = 2;' else '' end minimal_update from part""")
 def code_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each file beside a version without its function, one with another constant, or the same."""

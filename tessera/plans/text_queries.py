@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import scalars as S
 from tessera.operators import diff, relational, text
 from tessera.plans.registry import query
-from tessera.sources import facts
+from tessera.plans.tables import settle, shared_dir
+from tessera.sources import facts, snapshots
 
 _LINES = "select doc_id, unnest(generate_series(0, len(l) - 1)) pos, unnest(l) line from (select doc_id, string_split(text, chr(10)) l from documents)"
 _TOKENS = "list_filter(string_split(regexp_replace(lower({}), '[^a-z0-9]+', ' ', 'g'), ' '), lambda t: len(t) > 1)"
@@ -97,6 +100,9 @@ def change_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.groupBy("conv_id").agg(n("added"), n("removed"), n("modified")).withColumn("summary", diff.summary(F.col("added"), F.col("removed"), F.col("modified")))
 
 
+TOUCHED = ["the", "des", "http"]
+
+
 def version_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """key, old, new: each document b beside the first document a < b (by doc_id) that has one of its lines of at least 20 characters, for each such line, where the texts differ."""
     d = facts.table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -120,7 +126,7 @@ def diff_hunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def contextual_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = version_pairs(spark, sf_dir)
+    p = settle(version_pairs(spark, sf_dir))
     new = p.select("key", F.posexplode(F.split("new", "\n", -1)).alias("pos", "line")).withColumn("pos", F.col("pos") + 1)
     return diff.contextual(diff.hunks(diff.line_diff(p, "key"), "key"), new, "key", 2)
 
@@ -131,10 +137,17 @@ def diff_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.withColumn("summary", diff.summary(F.col("added"), F.col("removed"), F.col("modified")))
 
 
+@query()
+def touching_hunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hunks between versions whose text holds one of three words."""
+    h = settle(diff.hunks(diff.line_diff(version_pairs(spark, sf_dir), "key"), "key"))
+    return diff.touching(h, TOUCHED).select("key", "hunk", "type", "content")
+
+
 @query()
 def hunks_applied(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every older version with its hunks applied: whether that gives the newer version back."""
-    p = version_pairs(spark, sf_dir)
+    p = settle(version_pairs(spark, sf_dir))
     made = diff.apply_all(p, diff.hunks(diff.line_diff(p, "key"), "key"), "key")
     return p.select("key", "new").join(made, "key").select("key", (F.col("text") == F.col("new")).alias("same"))
 
@@ -177,3 +190,36 @@ def name_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def source_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = facts.table(spark, sf_dir, "documents").groupBy("source", "lang").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"), F.round(F.avg("n_chars"), 4).alias("mean_chars"))
     return d.withColumn("place", F.rank().over(Window.partitionBy("lang").orderBy(F.desc("chars"), "source")).cast("long"))
+
+
+def _store(spark: SparkSession, sf_dir: str) -> snapshots.Snapshots:
+    """Snapshots of documents in three versions: most of them; every third with another line; without those that were cleared."""
+    d = facts.table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("file_path"), F.col("text").alias("content"))
+    store = snapshots.Snapshots(spark, f"{shared_dir(spark)}/snapshots-{uuid.uuid4().hex}")
+    store.create(d.where("doc_id % 5 <> 4"), 1)
+    for _ in range(2):  # a rerun adds nothing
+        store.create(d.where("doc_id % 3 = 0 or doc_id % 7 = 0").withColumn("content", F.when(F.col("doc_id") % 3 == 0, F.concat("content", F.lit("\n!"))).otherwise(F.col("content"))), 2)
+    store.clear(3, d.where("doc_id % 10 = 2"))
+    return store
+
+
+_SNAP = """d as (select doc_id k, '/' || doc_id || '.txt' file_path, text from documents), v as (select 1 as version, k, file_path, text from d where k % 5 <> 4 union all select 2, k, file_path, case when k % 3 = 0 then text || chr(10) || '!' else text end from d where k % 3 = 0 or (k % 7 = 0 and k % 5 = 4)),
+n as (select *, row_number() over (partition by w, k order by version desc) r from v, (values (1), (2), (3)) x(w) where version <= w), s as (select w, k, file_path, version, text from n where r = 1 and not (w = 3 and k % 10 = 2))"""
+
+
+@query(f"with {_SNAP} select w::int as as_of, version::int as version, count(*) n, sum(len(text))::bigint chars from s group by all")
+def snapshots_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the store holds as of each of its versions, by the version in which it was taken."""
+    store = _store(spark, sf_dir)
+    at = lambda v: store.get(v).groupBy("version").agg(F.count("*").alias("n"), F.sum(F.length("content")).alias("chars")).select(F.lit(v).alias("as_of"), "version", "n", "chars")
+    return at(1).union(at(2)).union(at(3))
+
+
+@query(f"""with {_SNAP}, c as (select k, file_path, case when k % 3 = 0 then text || chr(10) || '!' else text end || case when k % 4 = 0 then '?' else '' end text from d where k % 11 <> 0)
+select coalesce(c.file_path, o.file_path) file_path, case when c.k is null then 'deleted' when o.k is null then 'new' when c.text is not distinct from o.text then 'unchanged' else 'changed' end status from c full join (select * from s where w = 3) o using (k)""")
+def snapshot_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents, some changed and some gone, against the last version of the store."""
+    d = facts.table(spark, sf_dir, "documents").where("doc_id % 11 <> 0").select("doc_id", F.concat(F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("file_path"), F.col("text").alias("content"))
+    third = F.when(F.col("doc_id") % 3 == 0, F.concat("content", F.lit("\n!"))).otherwise(F.col("content"))
+    now = d.withColumn("content", F.concat(third, F.when(F.col("doc_id") % 4 == 0, F.lit("?")).otherwise(F.lit(""))))
+    return _store(spark, sf_dir).compare(now)

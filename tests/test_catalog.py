@@ -21,7 +21,7 @@ def run(spark, sf, name):
     return catalog.QUERIES[name](spark, sf).toPandas()
 
 
-CHECKED = {"line_diff", "diff_hunks", "contextual_diff", "diff_summary", "hunks_applied", "code_contexts", "kmeans_clusters", "pca_projection", "word_vectors", "document_vectors", "mlp_predict"}
+CHECKED = {"line_diff", "diff_hunks", "contextual_diff", "diff_summary", "hunks_applied", "touching_hunks", "code_contexts", "kmeans_clusters", "pca_projection", "word_vectors", "document_vectors", "mlp_predict"}
 
 
 def test_every_query_has_sql_or_a_check_here():
@@ -40,6 +40,8 @@ def test_diff_queries_match_their_texts(spark, sf):
         old, new = pairs[r.key]
         side = old[int(r.old_start) - 1 : int(r.old_end)] if r.type == "removed" else new[int(r.new_start) - 1 : int(r.new_end)]
         assert r.content == "\n".join(side)
+    near = run(spark, sf, "touching_hunks")
+    assert {(r.key, r.hunk) for r in near.itertuples()} == {(r.key, r.hunk) for r in h.itertuples() if any(w in r.content for w in text_queries.TOUCHED)} and 0 < len(near) < len(h)
     for r in run(spark, sf, "diff_summary").itertuples():
         own = h[h.key == r.key]
         want = {t: int(sum(f(x) for x in own[own.type == t].itertuples())) for t, f in size.items()}

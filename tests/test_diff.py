@@ -1,5 +1,9 @@
 """Line diffs: the operations rebuild both texts, hunks and their application."""
 
+import random
+import time
+
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -139,3 +143,24 @@ def test_functions_for_sql(spark):
     made = spark.sql("select v.k, v.new, apply_hunks(v.old, g.hs) t from v join (select k, array_sort(collect_list(struct(hunk, type, old_start, old_end, new_start, new_end, content))) hs from h group by k) g on g.k = v.k")
     assert all(r.new == r.t for r in made.collect()) and made.count() == 2
     assert [tuple(r) for r in spark.sql("select * from declarations('export class A {}\n  def f(x):')").collect()] == [("A", "class", 1, True), ("f", "function", 2, False)]
+
+
+@pytest.mark.parametrize("kept", [2, 64])
+def test_lines_of_one_side_and_kept_points_change_no_operation(monkeypatch, kept):
+    monkeypatch.setattr(diff, "KEPT", kept)
+    r = random.Random(kept)
+    for _ in range(400):
+        a = [r.choice("abcde") for _ in range(r.randrange(40))]
+        b = [x if r.random() < 0.7 else r.choice("abcxyz") for x in a if r.random() < 0.8]
+        old, new = "\n".join(a), "\n".join(b)
+        assert diff.diff_ops(old, new) == plain_ops(old, new)
+
+
+def test_time_follows_the_changes():
+    a = [str(i) for i in range(300_000)]
+    b = list(a)
+    for i in range(5, len(b), 3000):
+        b[i] = "x"
+    start = time.time()
+    ops = diff.diff_ops("\n".join(a), "\n".join(b))  # 9e10 pairs of lines, 100 changed
+    assert time.time() - start < 20 and sum(o[0] != "unchanged" for o in ops) == 200
