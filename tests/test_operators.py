@@ -198,6 +198,20 @@ def test_config(tmp_path):
     assert config.Settings.load(str(path)).budget.max_tokens == 7
 
 
+@pytest.mark.parametrize("spread", [0.05, 3.0])
+def test_cosine_join_of_every_row_is_exact(spark, spread):
+    r = np.random.default_rng(5)
+    x = np.concatenate([r.normal(size=(12, 6))[r.integers(0, 12, 380)] + spread * r.normal(size=(380, 6)), np.zeros((2, 6)), np.ones((18, 6))])
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in enumerate(x)] + [(900, None)], "key long, v array<double>")
+    u = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+    s = np.round(u @ u.T, 12) + 0.0
+    want = {(i, int(j), n) for i in range(len(x)) for n, j in enumerate([j for j in np.lexsort((np.arange(len(x)), -s[i])) if j != i and s[i, j] >= -0.2][:7], 1)}
+    for sizes in ((16, 50, 30), (1, 4096, 1024), (400, 5, 7)):
+        got = vectors.cosine_topk(df, df, 7, -0.2, *sizes).collect()
+        assert {(t.query_id, t.key, t["rank"]) for t in got} == want and all(abs(t.score - s[t.query_id, t.key]) < 1e-11 for t in got)
+    assert vectors.cosine_topk(df, df.where("key = 900")).count() == 0 and vectors.cosine_topk(df.limit(0), df).count() == 0
+
+
 def test_stream_cache_and_file_watch(spark, sf, tmp_path):
     e = spark.readStream.schema(spark.read.parquet(f"{sf}/events.parquet").schema).option("maxFilesPerTrigger", 1).option("pathGlobFilter", "events.parquet").parquet(sf)
     e = e.select("user_id", F.col("ts").cast("timestamp").alias("ts")).withWatermark("ts", "1 hour")
