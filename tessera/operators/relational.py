@@ -96,11 +96,11 @@ def opportunities(crossed: DataFrame, duplicated: Column | None = None) -> DataF
     """
     c, used = F.col, F.col("usage_count")
     rules = [
-        ("extract_method", (used > 3) & (duplicated if duplicated is not None else F.lit(False)), "medium", 2.0, "Extract repeated code pattern into a reusable method"),
-        ("inline_method", (used == 1) & (c("kind") == "function") & (c("line_count") <= 5), "low", 0.5, "Inline simple method that's only used once"),
-        ("remove_unused", (used == 0) & ~c("is_public"), "low", 0.25, "Remove unused symbol"),
-        ("move_method", (c("file_count") > 1) & (c("best_file") != c("file")), "medium", 1.5, "Move method to class where it's most used"),
-        ("rename_symbol", S.confusing(c("name") if "name" in crossed.columns else c("symbol").cast("string")), "low", 1.0, "Rename symbol to be more descriptive"),
+        ("extract_method", (used > 3) & (duplicated if duplicated is not None else F.lit(False)), "medium", 2.0, "the same code stands in several places and could be one function"),
+        ("inline_method", (used == 1) & (c("kind") == "function") & (c("line_count") <= 5), "low", 0.5, "short and called once, so it could stand at the call"),
+        ("remove_unused", (used == 0) & ~c("is_public"), "low", 0.25, "nothing refers to it and it is not public"),
+        ("move_method", (c("file_count") > 1) & (c("best_file") != c("file")), "medium", 1.5, "another file uses it more than its own"),
+        ("rename_symbol", S.confusing(c("name") if "name" in crossed.columns else c("symbol").cast("string")), "low", 1.0, "the name tells too little"),
     ]
     one = lambda t, cond, impact, effort, text: F.when(cond, F.struct(F.lit(t).alias("type"), F.lit(impact).alias("impact"), F.lit(effort).alias("effort"), F.lit(text).alias("description")))
     return crossed.select("symbol", "file", F.explode(F.array_compact(F.array(*[one(*r) for r in rules]))).alias("o")).select("symbol", "file", "o.*")

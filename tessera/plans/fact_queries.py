@@ -154,7 +154,7 @@ def stability(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""with r as (select l_partkey symbol, l_suppkey % 7 as file from lineitem), d as (select p_partkey symbol, p_size % 7 as file, p_partkey, p_size from part), u as (select symbol, count(*) usage from r group by 1), f as (select d.symbol, 1 + count(distinct r.file) filter (r.file <> d.file) files from d left join r using (symbol) group by 1),
 x as (select symbol, file, coalesce(usage, 0) usage, (p_partkey % 10) / 10.0 chg, least(p_size / 50.0 + (p_partkey % 5) / 10.0, 1.0) cx, files from d left join u using (symbol) join f using (symbol)), y as (select *, least(usage / 100.0, 1.0) * 0.3 + chg * 0.4 + cx * 0.3 risk from x)
-select symbol, file::int file, round(risk, 6)::double risk, array_to_string(list_filter([case when cx > 0.7 then 'Consider breaking down into smaller functions' end, case when chg > 0.8 then 'High change frequency - ensure good test coverage' end, case when usage > 50 then 'Widely used symbol - changes require careful review' end, case when files > 5 then 'Used across many files - consider interface stability' end], lambda t: t is not null), '; ') advice from y where risk > 0.7""")
+select symbol, file::int file, round(risk, 6)::double risk, array_to_string(list_filter([case when cx > 0.7 then 'split it up: it is complex' end, case when chg > 0.8 then 'cover it with tests: it changes often' end, case when usage > 50 then 'review every change: it has more than 50 uses' end, case when files > 5 then 'keep its interface fixed: more than 5 files use it' end], lambda t: t is not null), '; ') advice from y where risk > 0.7""")
 def hotspots(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = facts.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("symbol"), (F.col("p_size") % 7).cast("int").alias("file"), "p_size")
     r = facts.table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("symbol"), (F.col("l_suppkey") % 7).cast("int").alias("file"))
@@ -265,7 +265,7 @@ def scope_at_line(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""with {_TREE}, {_VARS}, i as (select l_orderkey scope_id, count(*) symbols, count(*) filter (l_quantity < 5) unused from lineitem group by 1), c as (select parent_id scope_id, count(*) children from t where parent_id is not null group by 1),
 x as (select depth, coalesce(symbols, 0) * 0.3 + coalesce(children, 0) * 0.4 + (end_line - start_line) * 0.001 cx, coalesce(symbols, 0) s, coalesce(unused, 0) u from t left join i using (scope_id) left join c using (scope_id))
 select count(*) scopes, round(avg(depth), 6) mean_depth, max(depth)::int max_depth, round(avg(cx), 6)::double mean_complexity, round(sum(u) / sum(s)::double, 6) unused_rate, round((select count(*) from w where shadows is not null) / sum(s)::double, 6) shadowing_rate,
-  array_to_string(list_filter([case when max(depth) > 6 then 'Consider reducing scope nesting depth for better readability' end, case when (select count(*) from w where shadows is not null) / sum(s)::double > 0.1 then 'High variable shadowing rate - consider renaming variables' end, case when sum(u) / sum(s)::double > 0.2 then 'High unused variable rate - consider cleanup' end], lambda a: a is not null), '; ') advice from x""")
+  array_to_string(list_filter([case when max(depth) > 6 then 'scopes nest more than 6 deep' end, case when (select count(*) from w where shadows is not null) / sum(s)::double > 0.1 then 'more than a tenth of the variables hide others' end, case when sum(u) / sum(s)::double > 0.2 then 'more than a fifth of the variables have no use' end], lambda a: a is not null), '; ') advice from x""")
 def scope_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     tree = settle(scopes.scope_tree(_scopes(spark, sf_dir)))
     v = facts.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("scope_id"), (F.col("l_quantity") >= 5).cast("int").alias("n_uses"))
@@ -275,7 +275,7 @@ def scope_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""with {_TREE}, {_VARS} select name, scope_id, depth, shadows, case when is_parameter then 'warning' when is_constant and not hidden then 'error' else 'warning' end severity,
-  case when is_parameter then 'Consider renaming parameter ' || chr(39) || name || chr(39) || ' to avoid shadowing outer variable' else 'Consider renaming ' || chr(39) || name || chr(39) || ' to avoid confusion with outer scope variable' end suggestion from w where shadows is not null""")
+  case when is_parameter then 'parameter ' else 'variable ' end || chr(39) || name || chr(39) || ' hides one of an outer scope; give it a name of its own' suggestion from w where shadows is not null""")
 def shadowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scopes.shadowing(_variables(scopes.scope_tree(_scopes(spark, sf_dir)))).select("name", "scope_id", "depth", "shadows", "severity", "suggestion")
 
@@ -296,7 +296,7 @@ def accessible_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""with recursive {_ACCESS}, c as (select b.scope_id, b.name, b.origin, t.depth = 0 or contains(b.name, 'cache') or contains(b.name, 'store') leak from b join t on t.scope_id = b.origin where up > 0 and b.scope_id % 2 = 0), g as (select scope_id, count(*) n, bool_or(leak) l from c group by 1)
-select c.*, array_to_string(list_filter([case when n > 5 then 'Consider reducing the number of captured variables' end, case when l then 'Review captured variables for potential memory leaks' end], lambda x: x is not null), '; ') advice from c join g using (scope_id)""")
+select c.*, array_to_string(list_filter([case when n > 5 then 'it captures more than 5 names' end, case when l then 'what it captures may stay in memory' end], lambda x: x is not null), '; ') advice from c join g using (scope_id)""")
 def closure_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
     tree, reachable = _accessible(spark, sf_dir)
     kinds = tree.select("scope_id", F.when(F.col("depth") == 0, "global").otherwise("block").alias("type"))
