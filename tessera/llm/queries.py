@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import ann, decontaminate, html_extract, importance, language_id, license_scan, lm_score, mixing, near_dedup, packing, periodic, quality, toxicity
 from tessera.llm.common import fold, table
 
 
+def _held_out(mod: int, rest: int) -> Column:
+    """Whether the fold of the key is the one kept from learning. A null key has no fold: it is not held out, and nothing is learned from it."""
+    return F.coalesce(fold("doc_id", mod) == rest, F.lit(False)).alias("held_out")
+
+
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.groups(table(spark, sf_dir, "documents", "doc_id", "text"), n_words=4, percent=80)
 
@@ -23,7 +28,7 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "labels", "doc_id", "toxic")
     model = toxicity.fit(docs, labels.where(fold("doc_id", 3) != 1))
     scored = toxicity.score(docs, model)
-    return scored.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+    return scored.select("doc_id", _held_out(3, 1), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
 def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,7 +38,7 @@ def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = lm_score.score(table(spark, sf_dir, "documents", "doc_id", "text"), fold("doc_id", 7) != 2)
-    return found.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "vocabulary")
+    return found.select("doc_id", _held_out(7, 2), "n_tokens", "n_known", "train_tokens", "base_score", "score", "vocabulary")
 
 
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,7 +54,7 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
     model = language_id.fit(docs.where(fold("doc_id", 5) != 0))
     found = language_id.detect(docs, model, spans=False)
-    return found.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score", "n_spans")
+    return found.select("doc_id", _held_out(5, 0), "lang_pred", "score", "n_spans")
 
 
 def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
