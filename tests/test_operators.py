@@ -288,6 +288,23 @@ def test_scope_tree_matches_brute_force(spark):
         assert {n: o for (s, n), o in seen.items() if s == i} == names
 
 
+@pytest.mark.parametrize("limit", [40, 7])
+def test_scope_tree_of_a_file_cut_into_ranges(spark, limit):
+    r = random.Random(limit)
+    rows = [(f"f{min(i % 9, 1)}", i, a := r.randrange(200), a + r.choice((3, 30, 300))) for i in range(260)] + [("g", 1000 + i, i, 500 - i) for i in range(120)] + [("h", 2000, 0, 9)]
+    df = spark.createDataFrame(rows, "file string, scope_id int, start_line int, end_line int")
+    whole, cut = ({x.scope_id: (x.parent_id, x.depth) for x in scopes.scope_tree(df, n).collect()} for n in (10_000, limit))
+    assert whole == cut and len(cut) == len(rows)
+    assert cut[1119] == (1118, 119) and cut[2000] == (None, 0)
+
+
+def test_deep_nesting_takes_linear_time(spark):
+    n = 60_000
+    df = spark.range(n).select(F.lit("f").alias("file"), F.col("id").alias("scope_id"), F.col("id").alias("start_line"), (3 * n - F.col("id")).alias("end_line"))
+    t = scopes.scope_tree(df)
+    assert t.where("depth = scope_id and (parent_id = scope_id - 1 or scope_id = 0)").count() == n
+
+
 def test_shadow_severity_and_captures(spark):
     v = spark.createDataFrame([("f", "a", 1, 0, False, False), ("f", "a", 2, 1, True, True), ("f", "a", 3, 2, False, True), ("f", "b", 1, 0, False, False), ("f", "b", 2, 1, False, True), ("g", "b", 9, 1, False, True)], "file string, name string, scope_id int, depth int, is_parameter boolean, is_constant boolean")
     got = {(r.name, r.scope_id): (r.shadows, r.severity) for r in scopes.shadowing(v).collect()}
