@@ -21,6 +21,11 @@ def failures(nodes: DataFrame) -> DataFrame:
     return nodes.where("error is not null").select("file_path", "error")
 
 
+def meet(a: DataFrame, b: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """A join of two tables that both grow with the files, by a shuffle: written nodes and symbols are far smaller as files than as rows, so a side that looks small enough to broadcast may not fit the driver."""
+    return a.join(b.hint("merge"), on, how)
+
+
 def within(roots: DataFrame, nodes: DataFrame, cell: int = CELL) -> DataFrame:
     """Each root (file_path, root, root_last, ...) with every node whose number lies in its range, itself included.
 
@@ -29,7 +34,7 @@ def within(roots: DataFrame, nodes: DataFrame, cell: int = CELL) -> DataFrame:
     """
     r = roots.withColumn("_cell", F.explode(F.sequence(F.floor(F.col("root") / cell), F.floor(F.col("root_last") / cell))))
     n = nodes.withColumn("_cell", F.floor(F.col("pre") / cell))
-    return r.join(n, ["file_path", "_cell"]).where("pre between root and root_last").drop("_cell")
+    return meet(r, n, ["file_path", "_cell"]).where("pre between root and root_last").drop("_cell")
 
 
 def _kinds(nodes: DataFrame, kinds: dict[str, str], name: str) -> DataFrame:
@@ -41,7 +46,7 @@ def _kinds(nodes: DataFrame, kinds: dict[str, str], name: str) -> DataFrame:
 def _targets(nodes: DataFrame) -> DataFrame:
     """Python's variables: names stored straight below an assignment, with the assignment's span."""
     above = nodes.where(F.col("type").isin("Assign", "AnnAssign")).select("file_path", F.col("pre").alias("parent"), F.col("last").alias("_last"), F.col("end_line").alias("_end"))
-    t = nodes.where((F.col("type") == "Name") & (F.col("role") == "target")).join(above, ["file_path", "parent"])
+    t = meet(nodes.where((F.col("type") == "Name") & (F.col("role") == "target")), above, ["file_path", "parent"])
     return t.withColumn("last", F.col("_last")).withColumn("end_line", F.col("_end")).withColumn("kind", F.lit("variable")).drop("_last", "_end")
 
 
@@ -55,7 +60,7 @@ def symbols(nodes: DataFrame) -> DataFrame:
     bodies = found.where(~F.col("kind").isin("variable", "constant", "package", "type")).select("file_path", F.col("pre").alias("root"), F.col("last").alias("root_last"), F.col("name").alias("_around"))
     inner = within(bodies, found.select("file_path", "pre", "kind")).where("root < pre and kind <> 'package'")
     parent = inner.groupBy("file_path", "pre").agg(F.max_by("_around", "root").alias("parent"))
-    out = found.drop("parent").join(parent, ["file_path", "pre"], "left")
+    out = meet(found.drop("parent"), parent, ["file_path", "pre"], "left")
     return out.select("file_path", "pre", "last", "name", "kind", F.col("line").alias("start_line"), "end_line", "exported", "parent", F.when(F.col("parent").isNull(), "global").otherwise("local").alias("scope"))
 
 
@@ -66,12 +71,12 @@ def dependencies(symbols_: DataFrame, nodes: DataFrame) -> DataFrame:
     first = within(roots, names).groupBy("file_path", "root", "name").agg(F.min("pre").alias("at"))
     listed = F.transform(F.array_sort(F.collect_list(F.struct("at", "name"))), lambda x: x["name"])
     found = first.groupBy("file_path", F.col("root").alias("pre")).agg(listed.alias("dependencies"))
-    return symbols_.select("file_path", "pre").join(found, ["file_path", "pre"], "left").withColumn("dependencies", F.coalesce("dependencies", F.array().cast("array<string>")))
+    return meet(symbols_.select("file_path", "pre"), found, ["file_path", "pre"], "left").withColumn("dependencies", F.coalesce("dependencies", F.array().cast("array<string>")))
 
 
 def first_named(nodes: DataFrame, wanted: DataFrame) -> DataFrame:
     """file_path, name, and the first node in pre-order that has the name, for the rows of ``wanted`` (file_path, name)."""
-    found = nodes.join(wanted.select("file_path", "name").distinct(), ["file_path", "name"])
+    found = meet(nodes, wanted.select("file_path", "name").distinct(), ["file_path", "name"])
     first = F.min(F.struct("pre", "last", "type", "line", "end_line")).alias("n")
     return found.groupBy("file_path", "name").agg(first).select("file_path", "name", "n.*")
 
@@ -79,7 +84,8 @@ def first_named(nodes: DataFrame, wanted: DataFrame) -> DataFrame:
 def _with_lines(spans: DataFrame, files: DataFrame) -> DataFrame:
     """spans (file_path, line, end_line, ...) with code, the lines of each; a file's lines are split once and held once."""
     kept = [c for c in spans.columns if c != "file_path"]
-    held = spans.groupBy("file_path").agg(F.collect_list(F.struct(*kept)).alias("_spans")).join(files.select("file_path", F.split("content", "\n", -1).alias("_lines")), "file_path")
+    lists = spans.groupBy("file_path").agg(F.collect_list(F.struct(*kept)).alias("_spans"))
+    held = meet(lists, files.select("file_path", F.split("content", "\n", -1).alias("_lines")), ["file_path"])
     code = lambda x: F.array_join(F.slice("_lines", x["line"], x["end_line"] - x["line"] + 1), "\n")
     cut = F.explode(F.transform("_spans", lambda x: F.struct(*[x[c].alias(c) for c in kept], code(x).alias("code")))).alias("x")
     return held.select("file_path", cut).select("file_path", "x.*")
@@ -104,7 +110,7 @@ def changes(old: DataFrame, new: DataFrame) -> DataFrame:
     """
     key = ["file_path", "name", "kind", "_parent"]
     first = lambda df, c: df.withColumn("_parent", F.coalesce("parent", F.lit(""))).groupBy(*key).agg(F.min_by("code", "pre").alias(c))
-    both = first(old, "old").join(first(new, "new"), key, "full")
+    both = meet(first(old, "old"), first(new, "new"), key, "full")
     change = F.when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "removed").when(F.col("old") != F.col("new"), "modified")
     return both.select("file_path", "name", "kind", F.nullif("_parent", F.lit("")).alias("parent"), change.alias("change")).where("change is not null")
 
@@ -138,10 +144,10 @@ def references(nodes: DataFrame, symbols_: DataFrame) -> DataFrame:
     kind = F.when(F.col("type") == "NewExpression", "instantiation").when(F.col("type").isin("Call", "CallExpression"), call)
     name = F.when(F.coalesce(F.col("role"), F.lit("")).isin("func", "callee"), None).when(F.col("role") == "target", "write").otherwise("read")
     kind = kind.when(F.col("type").isin(IDENTIFIERS), name)
-    used = nodes.join(own, ["file_path", "name"]).withColumn("kind", kind).where("kind is not null")
+    used = meet(nodes, own, ["file_path", "name"]).withColumn("kind", kind).where("kind is not null")
     bodies = symbols_.where(is_scope(F.col("kind"))).select("file_path", F.col("pre").alias("root"), F.col("last").alias("root_last"), F.col("name").alias("_around"))
     around = within(bodies, used.select("file_path", "pre")).groupBy("file_path", "pre").agg(F.max_by("_around", "root").alias("referenced_by"))
-    return used.join(around, ["file_path", "pre"], "left").select("file_path", F.col("name").alias("symbol"), "kind", "line", "referenced_by")
+    return meet(used, around, ["file_path", "pre"], "left").select("file_path", F.col("name").alias("symbol"), "kind", "line", "referenced_by")
 
 
 def relevant_code(symbols_: DataFrame, files: DataFrame) -> DataFrame:

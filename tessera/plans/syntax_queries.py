@@ -143,7 +143,7 @@ def subtree_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The distinct identifiers below each symbol, in the order in which they come first."""
     _, nodes, found = _parsed(spark, sf_dir)
     ids = ops.dependencies(found, nodes).select("file_path", "pre", F.array_join("dependencies", ",").alias("identifiers"))
-    return found.select("file_path", "pre", "name", "start_line").join(ids, ["file_path", "pre"]).drop("pre")
+    return ops.meet(found.select("file_path", "pre", "name", "start_line"), ids, ["file_path", "pre"]).drop("pre")
 
 
 @query(f"""with {_FILES}, y(l, name, type, line, end_line) as (values (0, 'helper', 'Call', 14, 14), (0, 'C§', 'ClassDef', 8, 14), (1, 'helper', 'CallExpression', 7, 7), (1, 'C§', 'ClassDeclaration', 4, 9), (2, 'helper', 'CallExpression', 15, 15), (2, 'C§', 'StructDeclaration', 6, 8), (3, 'helper', 'CallExpression', 12, 12), (3, 'C§', 'StructDeclaration', 5, 7))
@@ -191,7 +191,7 @@ def parse_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
 def span_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of every file the symbols that its helper needs, by what their spans name; their code is cut from the spans."""
     f, nodes, found = _parsed(spark, sf_dir)
-    own = found.join(ops.dependencies(found, nodes), ["file_path", "pre"])
+    own = ops.meet(found, ops.dependencies(found, nodes), ["file_path", "pre"])
     need = F.array_except("dependencies", F.array("name"))
     s = own.select("file_path", "name", "start_line", "end_line", need.alias("dependencies"))
     ask = found.select("file_path").distinct().withColumn("targets", F.array(F.lit("helper")))
