@@ -23,3 +23,11 @@ def test_references_join_by_shuffles(spark):
     rows, plan = ran(ops.references(nodes, found))
     assert "Broadcast" not in plan and plan.count("SortMergeJoin") >= 3
     assert sorted((r.symbol, r.kind, r.line, r.referenced_by) for r in rows if r.file_path == "/s7.py") == [("f", "call", 7, "g"), ("y", "read", 3, "f"), ("y", "write", 2, "f")]
+
+
+def test_changes_and_code_join_by_shuffles(spark):
+    old_files, _, old = parsed(spark, "f")
+    new_files, _, new = parsed(spark, "h")
+    rows, plan = ran(ops.changes(ops.code_of(old, old_files), ops.code_of(new, new_files)))
+    assert "Broadcast" not in plan and plan.count("SortMergeJoin") >= 3
+    assert sorted((r.name, r.parent, r.change) for r in rows if r.file_path == "/s7.py") == [("f", None, "removed"), ("g", None, "modified"), ("h", None, "added"), ("y", "f", "removed"), ("y", "h", "added")]
